@@ -60,13 +60,13 @@ def money_text_sql(x: str, style: str) -> str:
 
 
 def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as a raw string ledger (one row per lineitem; ``row_id`` keeps file order for 'first' semantics).
+    """lineitem as a raw string ledger (one row per lineitem; ``row_id`` is an orderable struct standing for file
+    order, used for 'first row' semantics).
 
     Columns: row_id, asiento, linea, fecha (dd/MM/yyyy), fecha_hora (yyyy-MM-dd HH:mm:ss), importe (mixed text
     styles by line number; returns 'R' are negative), debe, haber (European text, '' on the other side), signo (D/H).
     """
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate")
+    li = table(spark, sf_dir, "lineitem")
     p = F.col("l_extendedprice").cast(MONEY)
     li = li.withColumn("p", p)
     eu = F.expr(money_text_sql("p", "eu"))
@@ -89,4 +89,11 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~neg, eu).otherwise(F.lit("")).alias("debe"),
         F.when(neg, eu).otherwise(F.lit("")).alias("haber"),
         F.when(neg, F.lit("H")).otherwise(F.lit("D")).alias("signo"),
+        row_order().alias("row_id"),
     )
+
+
+def row_order():
+    """Deterministic file order of lineitem rows: every column, key first ((l_orderkey, l_linenumber) repeats)."""
+    return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
+                    "l_returnflag", "l_quantity", "l_discount", "l_tax", "l_linestatus")
