@@ -318,7 +318,7 @@ def split_datetime(df: DataFrame, fields=("entry_date", "entry_time", "posting_d
     if not decisions_attached:
         # all decisions from the input in one pass; one row per group, attached once
         dec = date_decisions(df, present, order_col, g)
-        df = df.join(F.broadcast(dec), g, "left") if g else df.crossJoin(F.broadcast(dec))
+        df = df.join(dec, g, "left") if g else df.crossJoin(F.broadcast(dec))  # 1-row broadcast only
     for field in present:
         a, d = F.col(f"__a_{field}"), F.coalesce(F.col(f"__d_{field}"), F.lit(True))
         date_field, time_field = time_field_name(field)

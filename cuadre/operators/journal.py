@@ -68,8 +68,10 @@ def _group_flags(df: DataFrame, group_cols: list[str], **flags: Column) -> DataF
 
 
 def _attach(df: DataFrame, flags: DataFrame, group_cols: list[str]) -> DataFrame:
-    # one row per ledger file: size bounded by the number of files, not rows
-    return df.join(F.broadcast(flags), group_cols, "left") if group_cols else df.crossJoin(F.broadcast(flags))
+    """Attach a per-ledger decision table. Without group columns it is one row (a global aggregate): broadcast is
+    safe. Per file it has one row per file, a count that is not bounded in advance, so it is a plain equi-join that
+    AQE turns into a broadcast at run time when small, and splits (skew join) when one file is huge."""
+    return df.join(flags, group_cols, "left") if group_cols else df.crossJoin(F.broadcast(flags))
 
 
 def conform(df: DataFrame, fields: list[str]) -> DataFrame:
