@@ -92,9 +92,9 @@ _CANDIDATE_SQL = " UNION ALL ".join(
   SELECT candidate, COUNT(*) AS entries_count, COUNT(*) FILTER (WHERE abs(s) < 0.01) AS balanced_entries,
          COUNT(*) - COUNT(*) FILTER (WHERE abs(s) < 0.01) AS unbalanced_entries,
          CAST(COUNT(*) FILTER (WHERE abs(s) < 0.01) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS quality_score,
-         CASE candidate WHEN 'l_orderkey' THEN 0.7 WHEN 'l_partkey' THEN 0.6 ELSE 0.6 END AS confidence,
-         0.7 * CAST(COUNT(*) FILTER (WHERE abs(s) < 0.01) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE)
-           + 0.3 * CASE candidate WHEN 'l_orderkey' THEN 0.7 WHEN 'l_partkey' THEN 0.6 ELSE 0.6 END
+         CAST(CASE candidate WHEN 'l_orderkey' THEN 0.7 ELSE 0.6 END AS DOUBLE) AS confidence,
+         CAST(0.7 AS DOUBLE) * (CAST(COUNT(*) FILTER (WHERE abs(s) < 0.01) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE))
+           + CAST(0.3 AS DOUBLE) * CAST(CASE candidate WHEN 'l_orderkey' THEN 0.7 ELSE 0.6 END AS DOUBLE)
            AS combined_score
   FROM k GROUP BY candidate""")
 def q_key_candidate_quality(spark, sf):
