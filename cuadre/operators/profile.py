@@ -267,3 +267,26 @@ def account_name_hint(name: Column, avg_length: Column) -> Column:
     return (F.when(has_name & has_acc, F.lit(0.9))
              .when(has_name & (low.contains("gl") | low.contains("mayor")), F.lit(0.8))
              .when(has_acc & ~_any_in(low, ACCOUNT_NUMBER_WORDS), F.when(avg_length > 10, F.lit(0.7))))
+
+
+def validator_scores(sample: DataFrame, threshold: float = 0.35, field_types: list[str] | None = None) -> DataFrame:
+    """Score every registered validator on every sampled column in one grouped pass; keep scores above
+    ``threshold``. Returns (file_id, column, field_type, score)."""
+    from cuadre.functions import validators as V
+    fts = field_types or [f for f in V.VALIDATORS if f != "amount_credit"]
+    aggs = [V.column_score(f, F.col("value")).alias(f) for f in fts]
+    wide = sample.groupBy("file_id", "column").agg(*aggs)
+    stack = ", ".join(f"'{f}', `{f}`" for f in fts)
+    long = wide.selectExpr("file_id", "`column`", f"stack({len(fts)}, {stack}) AS (field_type, score)")
+    return long.where(F.col("score") > threshold)
+
+
+def learned_pattern_scores(sample: DataFrame, patterns: DataFrame, threshold: float = 0.65) -> DataFrame:
+    """Share of a column's sampled values matching any learned regex of a field; keep > ``threshold``.
+    ``patterns`` is (field_type, regex), a catalogue-sized table (broadcast)."""
+    j = sample.crossJoin(F.broadcast(patterns.select("field_type", "regex")))
+    hit = j.withColumn("__hit", F.expr("value rlike regex"))
+    per_value = hit.groupBy("file_id", "column", "rn", "field_type").agg(F.max("__hit").alias("__m"))
+    share = per_value.groupBy("file_id", "column", "field_type").agg(
+        F.avg(F.col("__m").cast("double")).alias("score"))
+    return share.where(F.col("score") > threshold)

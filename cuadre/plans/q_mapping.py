@@ -210,3 +210,9 @@ def q_mapping_summary(spark, sf):
     m = _mappings(spark, sf)
     return M.mapping_summary(m, s.select("file_id", "column").distinct()).join(
         M.decision_stats(m), "file_id", "left")
+
+
+@query("validator_scores", ("V01", "V02", "V03", "V04", "V05", "V06", "V07", "V08", "V09", "V10", "V11", "V12",
+                            "V13", "V14", "F01"))
+def q_validator_scores(spark, sf):
+    return P.validator_scores(lake_sample(spark, sf))
