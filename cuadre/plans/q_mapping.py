@@ -216,3 +216,115 @@ def q_mapping_summary(spark, sf):
                             "V13", "V14", "F01"))
 def q_validator_scores(spark, sf):
     return P.validator_scores(lake_sample(spark, sf))
+
+
+# DuckDB form of the validator sweep (per-value scores, averaged per column, clamped where the reference clamps)
+def _v_sql():
+    from cuadre.functions import dates as D
+    from cuadre.functions import validators as V
+    s = r"regexp_replace(value, '^\s+|\s+$', '', 'g')"
+    up = f"upper({s})"
+    n = f"length({s})"
+
+    def anyp(x, pats):
+        return "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in pats) + ")"
+
+    def isdigit(x):
+        return f"regexp_matches({x}, '^\\p{{Nd}}+$')"
+
+    date_like = anyp(s, D.DATE_LIKE_5)
+    pf = duck.py_float
+    # explicit-shape date parse: y-m-d (same separator), compact, d/m/y (day first, month-first fallback), time tail
+    tt = r"(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?)?$"
+    ymd = r"^(\d{4})([./-])(\d{1,2})[./-](\d{1,2})" + tt
+    cmp_ = r"^(\d{4})(\d{2})(\d{2})(?:(\d{2})(\d{2})(\d{2}))?$"
+    dmy = r"^(\d{1,2})([./-])(\d{1,2})[./-](\d{4}|\d{2})" + tt
+
+    def g(rx, i):
+        return f"TRY_CAST(NULLIF(regexp_extract({s}, '{rx}', {i}), '') AS INTEGER)"
+
+    def ts(y, m, d, hh, mi, ss):
+        return (f"try_strptime(printf('%04d-%02d-%02d %02d:%02d:%02d', {y}, {m}, {d}, COALESCE({hh}, 0), "
+                f"COALESCE({mi}, 0), COALESCE({ss}, 0)), '%Y-%m-%d %H:%M:%S')")
+
+    yy = f"(CASE WHEN {g(dmy, 4)} < 100 THEN {g(dmy, 4)} + 2000 ELSE {g(dmy, 4)} END)"
+    same_sep_ymd = f"(regexp_matches({s}, '{ymd}') AND regexp_extract({s}, '^\\d{{4}}([./-])', 1) = " \
+                   f"regexp_extract({s}, '^\\d{{4}}[./-]\\d{{1,2}}([./-])', 1))"
+    same_sep_dmy = f"(regexp_matches({s}, '{dmy}') AND regexp_extract({s}, '^\\d{{1,2}}([./-])', 1) = " \
+                   f"regexp_extract({s}, '^\\d{{1,2}}[./-]\\d{{1,2}}([./-])', 1))"
+    parsed = (f"(CASE WHEN {same_sep_ymd} THEN {ts(g(ymd, 1), g(ymd, 3), g(ymd, 4), g(ymd, 5), g(ymd, 6), g(ymd, 7))}"
+              f" WHEN regexp_matches({s}, '{cmp_}') THEN {ts(g(cmp_, 1), g(cmp_, 2), g(cmp_, 3), g(cmp_, 4), g(cmp_, 5), g(cmp_, 6))}"
+              f" WHEN {same_sep_dmy} THEN COALESCE({ts(yy, g(dmy, 3), g(dmy, 1), g(dmy, 5), g(dmy, 6), g(dmy, 7))}, "
+              f"{ts(yy, g(dmy, 1), g(dmy, 3), g(dmy, 5), g(dmy, 6), g(dmy, 7))}) END)")
+    sc = {}
+    sc["journal_entry_id"] = (f"CASE WHEN {anyp(up, V.JE_PATTERNS)} THEN 1.0 ELSE "
+                              f"(CASE WHEN {n} >= 6 AND {isdigit(s)} THEN 0.8 WHEN {n} >= 4 AND "
+                              f"regexp_matches({up}, '^[A-Z0-9]+$') THEN 0.6 ELSE 0.0 END)"
+                              f" - (CASE WHEN {date_like} THEN 0.5 ELSE 0.0 END) - (CASE WHEN {n} < 3 THEN 0.3 ELSE 0.0 END) END")
+    num = pf("replace(value, ',', '.')")
+    sc["line_number"] = (f"CASE WHEN {num} IS NOT NULL THEN (CASE WHEN {num} >= 1 AND {num} <= 9999 AND {num} = floor({num}) THEN 1.0"
+                         f" WHEN {isdigit(s)} AND TRY_CAST({s} AS BIGINT) BETWEEN 1 AND 99999 THEN 0.8"
+                         f" WHEN {num} >= 0 AND {num} < 1 THEN 0.3 ELSE 0.0 END)"
+                         f" ELSE (CASE WHEN {date_like} THEN -0.5 ELSE 0.0 END) + (CASE WHEN {n} <= 5 AND "
+                         f"regexp_matches({up}, '^[A-Z0-9]+$') THEN 0.4 ELSE 0.0 END) END")
+    sc["posting_date"] = (f"CASE WHEN {anyp(s, V.DATE_PATTERNS)} THEN 1.0 WHEN {parsed} IS NOT NULL THEN 0.8 "
+                          f"WHEN {n} > 8 AND {isdigit(s)} THEN -0.3 ELSE 0.0 END")
+    sc["entry_date"] = sc["posting_date"]
+    letters = f"(length({s}) - length(regexp_replace({s}, '\\p{{L}}', '', 'g')))"
+    sc["amount"] = (f"CASE WHEN {anyp(s, V.AMOUNT_PATTERNS)} THEN 1.0 ELSE (CASE WHEN {duck.is_numeric(s)} THEN 0.7 ELSE 0.0 END)"
+                    f" - (CASE WHEN {n} > 2 AND {letters} > {n} * 0.5 THEN 0.5 ELSE 0.0 END)"
+                    f" - (CASE WHEN {date_like} THEN 0.4 ELSE 0.0 END) END")
+    sc["debit_amount"] = sc["amount"]
+    sc["credit_amount"] = sc["amount"]
+    inds = ", ".join(f"'{i}'" for i in V.INDICATORS)
+    yn = ", ".join(f"'{i}'" for i in V.YES_NO)
+    inum = f"abs({pf(f'replace({up}, {chr(39)},{chr(39)}, {chr(39)}.{chr(39)})')})"
+    sc["debit_credit_indicator"] = (
+        f"(CASE WHEN {up} IN ({inds}) THEN 1.0 WHEN length({up}) = 1 AND strpos('{V.INDICATOR_CHARS}', {up}) > 0 THEN 0.8"
+        f" WHEN {up} IN ({yn}) THEN 0.6 ELSE 0.0 END)"
+        f" + (CASE WHEN {duck.is_numeric(up)} AND {inum} IS NOT NULL THEN (CASE WHEN {inum} > 10 THEN -0.8"
+        f" WHEN {inum} <= 1 THEN 0.3 ELSE 0.0 END) ELSE 0.0 END) - (CASE WHEN length({up}) > 10 THEN 0.5 ELSE 0.0 END)")
+    bare = f"regexp_replace({s}, '[.\\-]', '', 'g')"
+    as_int = f"(CASE WHEN regexp_matches({bare}, '^[+-]?[0-9]+$') THEN TRY_CAST({bare} AS BIGINT) END)"
+    sc["gl_account_number"] = (
+        f"CASE WHEN {anyp(s, V.ACCOUNT_PATTERNS)} THEN 1.0 ELSE (CASE WHEN {n} >= 3 AND {isdigit(bare)} THEN 0.8"
+        f" WHEN {n} >= 3 AND regexp_matches({up}, '^[A-Z0-9.\\-]+$') THEN 0.6 ELSE 0.0 END)"
+        f" - (CASE WHEN {as_int} BETWEEN 1 AND 12 THEN 0.4 ELSE 0.0 END) - (CASE WHEN {n} < 3 THEN 0.3 ELSE 0.0 END) END")
+    x = pf("value")
+    trunc = f"(CASE WHEN {x} >= 0 THEN floor({x}) ELSE ceil({x}) END)"
+    sc["fiscal_year"] = (f"CASE WHEN {x} IS NOT NULL AND NOT isnan({x}) THEN (CASE WHEN {trunc} BETWEEN 1950 AND 2100 THEN 1.0"
+                         f" WHEN {trunc} BETWEEN 50 AND 99 THEN 0.8 WHEN {trunc} BETWEEN 0 AND 49 THEN 0.8 ELSE 0.0 END)"
+                         f" WHEN {x} IS NOT NULL THEN 0.0"
+                         f" WHEN regexp_matches({up}, '^FY\\d{{2,4}}$') THEN 0.9 WHEN regexp_matches({s}, '^\\d{{4}}-\\d{{4}}$') THEN 0.9"
+                         f" ELSE 0.0 END")
+    months = " OR ".join(f"strpos({up}, '{m}') > 0" for m in V.MONTH_NAMES)
+    sc["period_number"] = (f"CASE WHEN {x} IS NOT NULL AND NOT isnan({x}) THEN (CASE WHEN {trunc} BETWEEN 1 AND 12 THEN 1.0"
+                           f" WHEN {trunc} BETWEEN 1 AND 53 THEN 0.6 ELSE 0.0 END) WHEN {x} IS NOT NULL THEN 0.0"
+                           f" WHEN {months} THEN 0.9 WHEN regexp_matches({up}, '^Q[1-4]$') THEN 0.9"
+                           f" WHEN regexp_matches({up}, '^T[1-4]$') THEN 0.9 WHEN regexp_matches({up}, '^\\d{{4}}-\\d{{2}}$') THEN 0.8"
+                           f" ELSE 0.0 END")
+    has_l = f"regexp_matches({s}, '\\p{{L}}')"
+    dg = isdigit(f"regexp_replace({s}, '[.,\\- ]', '', 'g')")
+    sc["description"] = (f"(CASE WHEN {n} >= 3 THEN (CASE WHEN {has_l} AND (strpos({s}, ' ') > 0 OR {n} > 10) THEN 1.0"
+                         f" WHEN {has_l} THEN 0.7 WHEN {n} > 5 THEN 0.4 ELSE 0.0 END) ELSE 0.0 END)"
+                         f" - (CASE WHEN {dg} THEN (CASE WHEN {n} < 8 THEN 0.6 ELSE 0.2 END) ELSE 0.0 END)"
+                         f" - (CASE WHEN {date_like} THEN 0.4 ELSE 0.0 END) - (CASE WHEN {n} < 2 THEN 0.5 ELSE 0.0 END)")
+    sc["line_description"] = sc["description"]
+    parts = []
+    for f, (_, clamp) in V.VALIDATORS.items():
+        if f == "amount_credit":
+            continue
+        avg = f"COALESCE(avg(CAST({sc[f]} AS DOUBLE)), 0.0)"
+        expr = f"greatest(0.0, least({avg}, 1.0))" if clamp else avg
+        parts.append(f"SELECT file_id, \"column\", '{f}' AS field_type, {expr} AS score FROM sample GROUP BY ALL")
+    return "\n  UNION ALL ".join(parts)
+
+
+ORACLES_V = f"""
+  WITH {_sample_sql()},
+  v AS ({_v_sql()})
+  SELECT file_id, "column", field_type, score FROM v WHERE score > 0.35"""
+
+from cuadre.plans.registry import ORACLES as _ORACLES  # noqa: E402
+
+_ORACLES["validator_scores"] = ORACLES_V
