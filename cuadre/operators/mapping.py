@@ -266,3 +266,95 @@ def decision_stats(mappings: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("automatic"), F.count_if(F.col("confidence") > 0.8).alias("high_confidence"),
         F.count_if(F.col("confidence") <= 0.8).alias("low_confidence"),
         F.count_if(F.col("resolution_type") != "no_conflict").alias("conflicts_resolved"))
+
+
+# fixed values: ERP column-name signatures
+ERP_SIGNATURES = {
+    "SAP": ["belnr", "bukrs", "hkont", "shkzg", "dmbtr", "waers", "bldat", "budat", "xblnr", "bschl", "kostl"],
+    "Oracle": ["je_header_id", "je_line_num", "code_combination_id", "entered_dr", "entered_cr", "accounted_dr",
+               "accounted_cr"],
+    "Navision": ["document_no", "posting_date", "g_l_account_no", "amount_lcy", "debit_amount", "credit_amount"],
+    "SAGE": ["reference", "account_code", "nominal_code", "transaction_type", "net_amount", "tax_amount"],
+    "PeopleSoft": ["business_unit", "journal_id", "journal_line", "account", "monetary_amount",
+                   "statistics_amount"],
+}
+
+
+def detect_erp(columns: DataFrame) -> DataFrame:
+    """Per file, the lower-cased header names joined by spaces; score per ERP = signature patterns contained
+    / patterns; the best ERP (first on ties) if its score > 0.3, else Generic_ES. ``columns``: (file_id, column,
+    ordinal)."""
+    hdr = columns.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("ordinal", F.lower("column").alias("c")))), lambda x: x["c"]), " ").alias("header"))
+    scores = []
+    for i, (erp, pats) in enumerate(ERP_SIGNATURES.items()):
+        hits = reduce(lambda a, b: a + b, [F.col("header").contains(p).cast("int") for p in pats])
+        scores.append(F.struct((hits / F.lit(len(pats))).alias("score"), F.lit(-i).alias("neg_order"),
+                               F.lit(erp).alias("erp")))
+    best = F.array_max(F.array(*scores))
+    return hdr.select("file_id", best["score"].alias("erp_score"),
+                      F.when(best["score"] > 0.3, best["erp"]).otherwise(F.lit("Generic_ES")).alias("erp"))
+
+
+def merge_candidate_sources(mapper: DataFrame, validators: DataFrame) -> DataFrame:
+    """Per (file, column, field): mapper and validator both -> average; one source -> its score."""
+    m = mapper.select("file_id", "column", "field_type", F.col("confidence").alias("m"))
+    v = validators.select("file_id", "column", "field_type", F.col("score").alias("v"))
+    j = m.join(v, ["file_id", "column", "field_type"], "full")
+    conf = F.when(F.col("m").isNotNull() & F.col("v").isNotNull(), (F.col("m") + F.col("v")) / 2) \
+        .otherwise(F.coalesce("m", "v"))
+    src = F.when(F.col("m").isNotNull() & F.col("v").isNotNull(), F.lit("mapper+validator")) \
+        .when(F.col("m").isNotNull(), F.lit("mapper")).otherwise(F.lit("content_validator"))
+    return j.select("file_id", "column", "field_type", conf.alias("confidence"), src.alias("source"),
+                    F.col("v").alias("validator_score"))
+
+
+def top_candidates(cands: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` best candidates per column (row_number <= k: partial WindowGroupLimit)."""
+    w = Window.partitionBy("file_id", "column").orderBy(F.desc("confidence"), "field_type")
+    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def smart_corrections(top: DataFrame, validator_scores: DataFrame) -> DataFrame:
+    """When the best candidate's own validator score is below 0.3, the best other field whose validator scores
+    above 0.5 replaces it (``corrected_from`` keeps the original)."""
+    best = top.where(F.col("rank") == 1)
+    alt = validator_scores.where(F.col("score") > 0.5).select(
+        "file_id", "column", F.col("field_type").alias("alt_field"), F.col("score").alias("alt_score"))
+    j = best.join(alt, ["file_id", "column"], "left").where(
+        F.col("alt_field").isNull() | (F.col("alt_field") != F.col("field_type")))
+    w = Window.partitionBy("file_id", "column").orderBy(F.desc_nulls_last("alt_score"), "alt_field")
+    j = j.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1)
+    weak = F.coalesce(F.col("validator_score"), F.lit(0.0)) < 0.3
+    fix = weak & F.col("alt_field").isNotNull()
+    return j.select("file_id", "column", F.when(fix, F.col("alt_field")).otherwise(F.col("field_type"))
+                    .alias("field_type"),
+                    F.when(fix, F.col("alt_score")).otherwise(F.col("confidence")).alias("confidence"),
+                    F.when(fix, F.col("field_type")).alias("corrected_from"))
+
+
+def detection_quality(detected: DataFrame, columns: DataFrame, cells_nonnull: DataFrame) -> DataFrame:
+    """Per file: detected columns, detection rate, mean confidence and the share of non-null cells in the
+    detected columns. ``cells_nonnull``: (file_id, column, nonnull, rows)."""
+    c = columns.groupBy("file_id").agg(F.count_distinct("column").alias("columns"))
+    d = detected.groupBy("file_id").agg(F.count_distinct("column").alias("detected"),
+                                        F.avg("confidence").alias("mean_confidence"))
+    cov = cells_nonnull.join(detected.select("file_id", "column").distinct(), ["file_id", "column"]) \
+                       .groupBy("file_id").agg((F.sum("nonnull") / F.sum("rows")).alias("coverage"))
+    return c.join(d, "file_id", "left").join(cov, "file_id", "left").withColumn(
+        "detection_rate", F.coalesce(F.col("detected"), F.lit(0)) / F.col("columns"))
+
+
+def single_year_date_fix(mappings: DataFrame, date_years: DataFrame) -> DataFrame:
+    """A file whose only date mapping is entry_date (confidence >= 0.8) and whose parsed years are all equal
+    gets it re-tagged as posting_date with confidence + 0.1 (capped at 1). ``date_years``: (file_id, column,
+    distinct_years)."""
+    dates = mappings.where(F.col("field_type").isin("entry_date", "posting_date"))
+    per_file = dates.groupBy("file_id").agg(F.count(F.lit(1)).alias("__n"))
+    j = mappings.join(per_file, "file_id", "left").join(date_years, ["file_id", "column"], "left")
+    hit = ((F.col("__n") == 1) & (F.col("field_type") == "entry_date") & (F.col("confidence") >= 0.8)
+           & (F.col("distinct_years") == 1))
+    return j.select(*[c for c in mappings.columns if c not in ("field_type", "confidence")],
+                    F.when(hit, F.lit("posting_date")).otherwise(F.col("field_type")).alias("field_type"),
+                    F.when(hit, F.least(F.col("confidence") + 0.1, F.lit(1.0))).otherwise(F.col("confidence"))
+                    .alias("confidence"))

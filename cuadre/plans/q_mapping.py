@@ -39,7 +39,10 @@ def lake_files(spark, sf):
 
 
 def lake_sample(spark, sf, n=P.SAMPLE_N):
-    return P.lake_sample(lake_files(spark, sf), n)
+    """The lake's first-N sample, checkpointed once into the shared checkpoint folder: every profile, validator and
+    mapping branch reads this small table instead of re-running scan + unpivot + window per branch."""
+    from cuadre.session import cut_lineage
+    return cut_lineage(P.lake_sample(lake_files(spark, sf), n))
 
 
 # ---------------------------------------------------------------------------------------------------------------
