@@ -151,3 +151,12 @@ def q_catalog_learn(spark, sf):
     v2 = CO.upsert_synonyms(syn, CO.learned_synonyms(mappings, syn))
     stats = CO.catalogue_stats(v2)
     return CO.display_names(stats, C.field_definitions(spark))
+
+
+@query("review_queue", ("X06", "A16", "A17", "K06"))
+def q_review_queue(spark, sf):
+    from cuadre.operators import review as R
+    s = lake_sample(spark, sf)
+    mappings = M.map_columns(s, C.synonyms(spark), C.field_definitions(spark))
+    scores = R.content_scores(R.manual_type_profile(s))
+    return R.review_queue(mappings, R.alternatives(scores, mappings, s))
