@@ -191,10 +191,13 @@ _COMB = " OR ".join(f"regexp_matches(t, '{p}')" for p in D.COMBINED_PATTERNS)
 def q_iso_dates(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", _order_date_text().alias("date_text"))
     t = F.col("date_text")
-    return o.select("o_orderkey", "date_text", D.to_iso_date(t, True).alias("iso_date"),
+    # parse once (staged), derive the ISO text, the parse flag and the year from the same timestamp
+    o = D.with_parsed(o, {"__ts": "date_text"}, True, with_time=True)
+    ts = F.col("__ts")
+    return o.select("o_orderkey", "date_text", D.to_iso_date(t, True, ts=ts).alias("iso_date"),
                     D.is_pure_date(t).alias("is_pure_date"), D.is_pure_time(t).alias("is_pure_time"),
                     D.has_date_and_time(t).alias("has_date_and_time"), D.is_date_like(t).alias("is_date_like"),
-                    D.parses_as_date(t).alias("parses_as_date"), D.year_of(t).alias("year_of"))
+                    ts.isNotNull().alias("parses_as_date"), F.year(ts).alias("year_of"))
 
 
 @query("split_datetime", ("D06", "D07", "D04"), oracle="""

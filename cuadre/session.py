@@ -27,6 +27,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.ui.showConsoleProgress": "false",
         # size-checked broadcasts only: anything Catalyst cannot prove small goes through a shuffle join
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+        # generated methods above HotSpot's 8 KB JIT limit run as interpreted bytecode: fall back to per-operator
+        # code (split into small methods) instead of one huge whole-stage method
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
