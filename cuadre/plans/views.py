@@ -67,11 +67,14 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     styles by line number; returns 'R' are negative), debe, haber (European text, '' on the other side), signo (D/H).
     """
     li = table(spark, sf_dir, "lineitem")
-    p = F.col("l_extendedprice").cast(MONEY)
-    li = li.withColumn("p", p)
-    eu = F.expr(money_text_sql("p", "eu"))
-    us = F.expr(money_text_sql("p", "us"))
-    plain = F.expr(money_text_sql("p", "plain"))
+    # staged rendering: the decimal text and its integer / fraction parts are computed once per row, then the
+    # European and US forms once each, and every output column reuses them
+    li = li.withColumn("__ps", F.col("l_extendedprice").cast(MONEY).cast("string"))
+    li = li.withColumns({"__ip": F.split_part("__ps", F.lit("."), F.lit(1)),
+                         "__fr": F.split_part("__ps", F.lit("."), F.lit(2))})
+    li = li.withColumns({"__eu": F.concat(F.expr(grouped_digits_sql("__ip", ".")), F.lit(","), F.col("__fr")),
+                         "__us": F.concat(F.expr(grouped_digits_sql("__ip", ",")), F.lit("."), F.col("__fr"))})
+    eu, us, plain = F.col("__eu"), F.col("__us"), F.col("__ps")
     neg = F.col("l_returnflag") == "R"
     style = F.col("l_linenumber") % 4
     importe = (F.when(style == 0, F.when(neg, F.concat(F.lit("-"), eu)).otherwise(eu))
