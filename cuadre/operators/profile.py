@@ -86,27 +86,38 @@ ACCOUNT_WORDS = ["cuenta", "account", "conto", "compte", "konto"]
 ACCOUNT_NUMBER_WORDS = ["num", "number", "codigo", "code"]
 
 
-def cells(df: DataFrame, file_id: str, order: Column, columns: list[str] | None = None) -> DataFrame:
-    """One file -> (file_id, column, ordinal, row_order, value) with every value as text."""
+def cells(df: DataFrame, file_id: str, order: Column, columns: list[str] | None = None,
+          major: Column | None = None) -> DataFrame:
+    """One file -> (file_id, column, ordinal, row_major, row_order, value) with every value as text.
+
+    ``major`` is the leading primitive component of the row order (e.g. the first field of a struct key); sorting
+    on (row_major, row_order) gives the same order, but lets Spark's sorter compare 8-byte prefixes and fall back to
+    the full key only on ties."""
     cols = columns or [c for c in df.columns]
-    wide = df.select(order.alias("row_order"), *[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    long = wide.unpivot(ids=["row_order"], values=cols, variableColumnName="column", valueColumnName="value")
+    major = order if major is None else major
+    wide = df.select(major.alias("row_major"), order.alias("row_order"),
+                     *[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+    long = wide.unpivot(ids=["row_major", "row_order"], values=cols, variableColumnName="column",
+                        valueColumnName="value")
     ordinal = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("column")).cast("int")
-    return long.select(F.lit(file_id).alias("file_id"), "column", ordinal.alias("ordinal"), "row_order", "value")
+    return long.select(F.lit(file_id).alias("file_id"), "column", ordinal.alias("ordinal"), "row_major",
+                       "row_order", "value")
 
 
 def first_values(cell_df: DataFrame, n: int = SAMPLE_N) -> DataFrame:
     """First ``n`` non-null values per (file_id, column) in row order, numbered ``rn`` from 1."""
-    w = Window.partitionBy("file_id", "column").orderBy("row_order")
+    order = ["row_major", "row_order"] if "row_major" in cell_df.columns else ["row_order"]
+    w = Window.partitionBy("file_id", "column").orderBy(*order)
     return (cell_df.where(F.col("value").isNotNull())
                    .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
-                   .drop("row_order"))
+                   .drop("row_order", "row_major"))
 
 
 def lake_sample(files: list[tuple], n: int = SAMPLE_N) -> DataFrame:
     """Samples of several files (each with its own row order), unioned: (file_id, column, ordinal, value, rn).
-    ``files`` holds (file_id, df, order column[, data columns])."""
-    parts = [first_values(cells(f[1], f[0], f[2], f[3] if len(f) > 3 else None), n) for f in files]
+    ``files`` holds (file_id, df, order column[, data columns[, leading order component]])."""
+    parts = [first_values(cells(f[1], f[0], f[2], f[3] if len(f) > 3 else None, f[4] if len(f) > 4 else None), n)
+             for f in files]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

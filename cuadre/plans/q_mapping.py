@@ -30,7 +30,7 @@ def lake_files(spark, sf):
     for fid, (tname, cols, order) in LAKE.items():
         if fid == "ledger":
             df = raw_ledger(spark, sf)
-            files.append((fid, df.select(*cols, "row_id"), F.col("row_id"), cols))
+            files.append((fid, df.select(*cols, "row_id"), F.col("row_id"), cols, F.col("row_id.l_orderkey")))
         else:
             df = table(spark, sf, tname)
             conv = [F.date_format(c, "yyyy-MM-dd").alias(c) if c.endswith("date") else F.col(c) for c in cols]
