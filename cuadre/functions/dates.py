@@ -53,7 +53,8 @@ def _any(v: Column, patterns: list[str]) -> Column:
 
 
 def _strip(v: Column) -> Column:
-    return F.regexp_replace(v.cast("string"), r"(?U)^\s+|\s+$", "")
+    from cuadre.functions.text import py_strip
+    return py_strip(v)
 
 
 def is_pure_date(v) -> Column:

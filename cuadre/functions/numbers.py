@@ -29,7 +29,8 @@ def _last_pos(s: Column, ch: str) -> Column:
 
 def _strip(s: Column) -> Column:
     """Python ``str.strip()``: Unicode whitespace at both ends."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    from cuadre.functions.text import py_strip
+    return py_strip(s)
 
 
 def _py_float(s: Column) -> Column:

@@ -10,13 +10,22 @@ ACCENTED_UPPER = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
 PLAIN_UPPER = "AAAAAAEEEEIIIIOOOOOUUUUNCY"
 
 
+# every character Python's str.strip() removes (all of them lie below U+3001)
+PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
+def py_strip(v: Column) -> Column:
+    """Python ``str.strip()``: ``trim`` with the exact whitespace set (no regex)."""
+    return F.trim(v.cast("string"), F.lit(PY_WHITESPACE))
+
+
 def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
 def normalize_text(v: Column | str) -> Column:
     """Trim, upper, strip accents, collapse whitespace runs to one space."""
-    t = F.upper(F.regexp_replace(_c(v).cast("string"), r"(?U)^\s+|\s+$", ""))
+    t = F.upper(py_strip(_c(v)))
     return F.regexp_replace(F.translate(t, ACCENTED_UPPER, PLAIN_UPPER), r"(?U)\s+", " ")
 
 

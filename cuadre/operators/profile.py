@@ -122,7 +122,8 @@ def lake_sample(files: list[tuple], n: int = SAMPLE_N) -> DataFrame:
 
 
 def py_float(v: Column) -> Column:
-    t = F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
+    from cuadre.functions.text import py_strip
+    t = py_strip(v)
     return F.when(t.rlike(FLOAT_LITERAL) | t.rlike(SPECIAL_FLOAT), t.try_cast("double"))
 
 
