@@ -220,9 +220,10 @@ def map_columns(sample: DataFrame, synonyms: DataFrame, fields: DataFrame,
 
 def mapping_table(mappings: DataFrame, files: DataFrame, standard: list[str] | None = None) -> DataFrame:
     """Every standard field of every file with its mapped column or 'No mapeado' and 0.0."""
-    std = files.select("file_id").distinct().crossJoin(
-        mappings.sparkSession.createDataFrame([(f, i) for i, f in enumerate(standard or STANDARD_FIELDS)],
-                                              "field_type string, field_order int"))
+    fields = standard or STANDARD_FIELDS
+    pairs = F.array(*[F.struct(F.lit(f).alias("field_type"), F.lit(i).alias("field_order"))
+                      for i, f in enumerate(fields)])
+    std = files.select("file_id").distinct().select("file_id", F.inline(pairs))  # 17 rows per file, no join
     j = std.join(mappings, ["file_id", "field_type"], "left")
     return j.select("file_id", "field_type", "field_order", F.coalesce("column", F.lit("No mapeado")).alias("column"),
                     F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
@@ -230,8 +231,8 @@ def mapping_table(mappings: DataFrame, files: DataFrame, standard: list[str] | N
 
 def unmapped_fields(mappings: DataFrame, files: DataFrame, standard: list[str] | None = None) -> DataFrame:
     """Standard fields without a mapping, per file."""
-    std = files.select("file_id").distinct().crossJoin(
-        mappings.sparkSession.createDataFrame([(f,) for f in (standard or STANDARD_FIELDS)], "field_type string"))
+    fields = F.array(*[F.lit(f) for f in (standard or STANDARD_FIELDS)])
+    std = files.select("file_id").distinct().select("file_id", F.explode(fields).alias("field_type"))
     return std.join(mappings.select("file_id", "field_type"), ["file_id", "field_type"], "left_anti")
 
 

@@ -295,10 +295,19 @@ def validator_scores(sample: DataFrame, threshold: float = 0.35, field_types: li
 
 def learned_pattern_scores(sample: DataFrame, patterns: DataFrame, threshold: float = 0.65) -> DataFrame:
     """Share of a column's sampled values matching any learned regex of a field; keep > ``threshold``.
-    ``patterns`` is (field_type, regex), a catalogue-sized table (broadcast)."""
-    j = sample.crossJoin(F.broadcast(patterns.select("field_type", "regex")))
-    hit = j.withColumn("__hit", F.expr("value rlike regex"))
-    per_value = hit.groupBy("file_id", "column", "rn", "field_type").agg(F.max("__hit").alias("__m"))
-    share = per_value.groupBy("file_id", "column", "field_type").agg(
-        F.avg(F.col("__m").cast("double")).alias("score"))
-    return share.where(F.col("score") > threshold)
+
+    ``patterns`` (field_type, regex) is the learned-pattern catalogue: configuration whose size is the catalogue's,
+    so it is read once and turned into one alternation per field - a plain aggregate over the sample, no join."""
+    rows = patterns.select("field_type", "regex").collect()  # catalogue-sized metadata
+    by_field: dict[str, list[str]] = {}
+    for r in rows:
+        by_field.setdefault(r.field_type, []).append(r.regex)
+    if not by_field:
+        return sample.sparkSession.createDataFrame([], "file_id string, column string, field_type string, "
+                                                       "score double")
+    aggs = [F.avg(F.col("value").rlike("|".join(f"(?:{p})" for p in pats)).cast("double")).alias(f)
+            for f, pats in by_field.items()]
+    wide = sample.groupBy("file_id", "column").agg(*aggs)
+    stack = ", ".join(f"'{f}', `{f}`" for f in by_field)
+    long = wide.selectExpr("file_id", "`column`", f"stack({len(by_field)}, {stack}) AS (field_type, score)")
+    return long.where(F.col("score") > threshold)

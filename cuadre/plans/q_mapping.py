@@ -38,11 +38,20 @@ def lake_files(spark, sf):
     return files
 
 
+_SAMPLES: dict[tuple, object] = {}
+
+
 def lake_sample(spark, sf, n=P.SAMPLE_N):
-    """The lake's first-N sample, checkpointed once into the shared checkpoint folder: every profile, validator and
-    mapping branch reads this small table instead of re-running scan + unpivot + window per branch."""
+    """The lake's first-N sample, checkpointed into the shared checkpoint folder once per (application, data
+    folder, N): every profile, validator, mapping and review query of the session reads this small materialised
+    table instead of re-running scan + unpivot + window."""
+    import os
+
     from cuadre.session import cut_lineage
-    return cut_lineage(P.lake_sample(lake_files(spark, sf), n))
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf), n)
+    if key not in _SAMPLES:
+        _SAMPLES[key] = cut_lineage(P.lake_sample(lake_files(spark, sf), n))
+    return _SAMPLES[key]
 
 
 # ---------------------------------------------------------------------------------------------------------------

@@ -26,7 +26,7 @@ def tb_cells(spark, sf):
     eu = F.expr(money_text_sql("__abs", "eu"))
     us = F.expr(money_text_sql("__abs", "us"))
     neg = F.col("c_acctbal") < 0
-    data = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select(
+    data = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(
         F.col("n_name").alias("file_id"), (F.col("c_custkey") + 2).alias("row_no"),
         F.array(F.col("c_mktsegment"), F.col("c_nationkey").cast("string"),
                 F.concat(F.col("c_custkey").cast("string"), F.lit(".0")),

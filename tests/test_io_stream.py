@@ -96,3 +96,24 @@ def test_streaming_entry_balance(spark):
     latest = spark.sql("SELECT journal_entry_id, max_by(is_balanced, lines) AS ok FROM bal_test "
                        "GROUP BY journal_entry_id").collect()
     assert {r.journal_entry_id: r.ok for r in latest} == {"A": True, "B": True}
+
+
+def test_learned_patterns_and_mapping_table(spark):
+    from cuadre.operators import mapping as M
+    from cuadre.operators import patterns as PT
+    from cuadre.operators import profile as P
+    sample = spark.createDataFrame([("f", "c1", 1, "AB12", i) for i in range(1, 5)] +
+                                   [("f", "c2", 2, "hello", i) for i in range(1, 5)],
+                                   "file_id string, column string, ordinal int, value string, rn int")
+    pats = spark.createDataFrame([("vendor_id", "^[A-Z]{2}\\d{2}$"), ("vendor_id", "^X")], "field_type string, regex string")
+    got = {(r.column, r.field_type): r.score for r in P.learned_pattern_scores(sample, pats).collect()}
+    assert got == {("c1", "vendor_id"): 1.0}
+    cp = PT.char_class_pattern(sample).withColumn("rx", PT.pattern_to_regex("char_pattern"))
+    assert {r.column: r.rx for r in cp.collect()} == {"c1": "^[A-Z]{2}\\d{2}$", "c2": "^[a-z]{5}$"}
+    maps = spark.createDataFrame([("f", "c1", "vendor_id", 0.9)], "file_id string, column string, field_type string, "
+                                                                  "confidence double")
+    files = sample.select("file_id").distinct()
+    table = M.mapping_table(maps, files)
+    assert table.count() == len(M.STANDARD_FIELDS)
+    assert table.where("column = 'No mapeado'").count() == len(M.STANDARD_FIELDS) - 1
+    assert M.unmapped_fields(maps, files).count() == len(M.STANDARD_FIELDS) - 1
