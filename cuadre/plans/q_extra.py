@@ -40,7 +40,7 @@ def _erp_sql():
   b AS (SELECT file_id, arg_max(erp, (score, -o)) AS erp, max(score) AS erp_score FROM s GROUP BY file_id)
   SELECT file_id, erp_score, CASE WHEN erp_score > 0.3 THEN erp ELSE 'Generic_ES' END AS erp FROM b""")
 def q_erp_detect(spark, sf):
-    cols = lake_sample(spark, sf, 1).select("file_id", "column", "ordinal").distinct()
+    cols = lake_sample(spark, sf).select("file_id", "column", "ordinal").distinct()
     return M.detect_erp(cols)
 
 

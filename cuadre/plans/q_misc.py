@@ -84,5 +84,6 @@ _RX = "CASE letter " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PT.CLASS_RE
          CASE WHEN nl = 1 AND ml > 0 THEN r END AS regex
   FROM lens l LEFT JOIN pat USING (file_id, "column") LEFT JOIN rx USING (file_id, "column")""")
 def q_char_pattern(spark, sf):
-    p = PT.char_class_pattern(lake_sample(spark, sf, 10))
+    # the first 10 values of the shared 100-value sample are exactly the first 10 values (same row order)
+    p = PT.char_class_pattern(lake_sample(spark, sf), first_n=10)
     return p.withColumn("regex", PT.pattern_to_regex("char_pattern"))
