@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuadre.llm import bpe, exact_dedup, langid, mixing
+from cuadre.llm import bpe, exact_dedup, langid, mixing, ngram_join
 from cuadre.llm.common import documents, stage
 from cuadre.llm.queries import VOCABULARY
 
@@ -27,6 +27,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_rows(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of every component of near copies."""
+    return ngram_join.keep_rows(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
@@ -37,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(docs, VOCABULARY))
 
 
-STAGES = [("language_id", language_id), ("exact_dedup", drop_copies), ("mixing", mix_sources), ("bpe", encode)]
+STAGES = [("language_id", language_id), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
 
 #: Language ID and BPE have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None

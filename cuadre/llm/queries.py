@@ -6,17 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuadre.llm import bpe, exact_dedup, langid, mixing
+from cuadre.llm import bpe, exact_dedup, langid, mixing, ngram_join, ppm
 from cuadre.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and unigram scores of every document, learned from four fifths of them."""
+    return ppm.score(documents(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str, vocab_path: str = VOCABULARY) -> DataFrame:
     """Ids of every document by the pair occurrence index, and the text they decode to, as digests."""
     return bpe.digests(bpe.encode_documents(documents(spark, sf_dir), vocab_path))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of at least 0.8 Jaccard on 5-word shingles."""
+    return ngram_join.components_of(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from four fifths of them."""
     docs = documents(spark, sf_dir)
@@ -74,5 +84,6 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY size DESC, doc_id)
 """
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op7_langid": op7_langid, "op8_mixing": op8_mixing, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_ppm": op1_ppm, "op2_bpe": op2_bpe, "op4_ngram_join": op4_ngram_join,
+           "op7_langid": op7_langid, "op8_mixing": op8_mixing, "op9_exact_dedup": op9_exact_dedup}
 ORACLES = {"op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL}
