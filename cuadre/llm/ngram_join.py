@@ -75,6 +75,10 @@ def df_keys(sets: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(sets) >> np.uint64(64 - DF_BITS) if sets else np.zeros(0, np.uint64)
 
 
+def text_key(text_col: str):
+    return F.xxhash64(text_or_empty(text_col))
+
+
 def prefix_choice(n: int, unique: int, df: np.ndarray, most: int = MOST_MATCHES) -> tuple[int, int]:
     """Matches asked for and prefix length in shared shingles; ``df`` of the shared ones in order, after the unique."""
     need = -(-PERCENT * n // 100)
@@ -87,9 +91,10 @@ def prefix_choice(n: int, unique: int, df: np.ndarray, most: int = MOST_MATCHES)
 
 
 def prepared_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, n, digest of the set and, for rows that can link at all, shared shingles in prefix order."""
-    src, n_blocks = blocks.deal(docs, id_col, text_col)
-    src = src.select("block", "doc_id", "text")
+    """Per row: id, hash of the text, n, digest of the set and, for rows that can link at all, shared shingles in
+    prefix order."""
+    src, n_blocks = blocks.deal(docs, id_col, text_col, columns=[text_key(text_col).alias("key")])
+    src = src.select("block", "doc_id", "key", "text")
     id_type = src.schema["doc_id"].dataType.simpleString()
     shards = n_blocks
     width = (1 << DF_BITS) // shards + 1
@@ -145,14 +150,14 @@ def prepared_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 row = (None, None, None, None, None)
             for name, v in zip(out, row):
                 out[name].append(v)
-        return pa.table({"doc_id": table["doc_id"], "n": pa.array(size), "digest": pa.array(out["digest"], pa.binary()),
+        return pa.table({"doc_id": table["doc_id"], "key": table["key"], "n": pa.array(size), "digest": pa.array(out["digest"], pa.binary()),
                          "unique": pa.array(out["unique"], pa.int64()), "matches": pa.array(out["matches"], pa.int32()),
                          "prefix": pa.array(out["prefix"], pa.int32()), "shingles": pa.array(out["shingles"], pa.list_(pa.int64()))})
 
     asked = src.groupBy("block").applyInArrow(ask, "shard int, block int, keys binary")
     counts = asked.groupBy("shard").applyInArrow(count, "block int, shard int, n int, mask binary, df binary")
     return src.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
-        answer, f"doc_id {id_type}, n bigint, digest binary, unique bigint, matches int, prefix int, shingles array<bigint>")
+        answer, f"doc_id {id_type}, key bigint, n bigint, digest binary, unique bigint, matches int, prefix int, shingles array<bigint>")
 
 
 def links(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -217,7 +222,7 @@ def link_labels(reps: DataFrame) -> DataFrame:
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``row`` number, doc_id, n_shingles, ``digest`` of its set, component_id and whether the row stays
+    """Per row: ``row`` number, doc_id, ``key`` (hash of the text), n_shingles, component_id and whether the row stays
     (the first row of the smallest id of its component)."""
     sets = stage(prepared_sets(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sets")
     able = sets.where("digest is not null")
@@ -226,10 +231,10 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                  .select(F.col("row").alias("rep"), "n", "unique", "matches", "prefix", "shingles"), "reps")
     labels = link_labels(reps)
     groups = classes.join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
-    rows = sets.select("row", "doc_id", "n", "digest").join(groups, "digest", "left").withColumn("label", F.coalesce("label", "row"))
+    rows = sets.select("row", "doc_id", "key", "n", "digest").join(groups, "digest", "left").withColumn("label", F.coalesce("label", "row"))
     first = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"),
                                       F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
-    return rows.join(first, "label").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id",
+    return rows.join(first, "label").select("row", "doc_id", "key", F.col("n").alias("n_shingles"), "component_id",
                                             (F.col("first.row") == F.col("row")).alias("stays"))
 
 
@@ -239,12 +244,10 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Rows find their verdict by id and a 64-bit hash of their text.
     """
     key, verdict = free_names(docs, "text_key", "verdict")
-    keyed = docs.withColumn(key, F.xxhash64(text_or_empty(text_col)))
+    keyed = docs.withColumn(key, text_key(text_col))
     ident = F.col(f"`{id_col}`")
-    found = components_of(keyed.select(F.struct(ident.alias("id"), F.col(key).alias("key")).alias("doc_id"), F.col(f"`{text_col}`").alias("text")),
-                          "doc_id", "text")
-    keep = stage(found.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("same")).where("stays")
-                 .select(F.col("doc_id.id").alias("k_id"), F.col("doc_id.key").alias("k_key"), "same"), "keep")
+    found = components_of(docs, id_col, text_col).groupBy(F.col("doc_id").alias("k_id"), F.col("key").alias("k_key"))
+    keep = stage(found.agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("same")).where("stays").drop("stays"), "keep")
     cols = [f"`{c}`" for c in docs.columns]
     match = (F.col(key) == F.col("k_key")) & ident.eqNullSafe(F.col("k_id"))
     one = keyed.join(keep.where("same = 1"), match, "left_semi").select(*cols)
