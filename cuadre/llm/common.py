@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Sequence
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,12 @@ def ranked(df: DataFrame, order: Sequence[str], group: str | None = None, partit
         joined = rows.join(offsets, part)
     within = Window.partitionBy(*by).orderBy(*order)
     return joined.withColumn("rank", F.row_number().over(within) + F.col(off)).drop(part, off)
+
+
+def broadcast_by_value(spark, thing) -> Broadcast:
+    """Broadcast an object of a bounded size whose class the executors need not have."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def received(shared: Broadcast):
+    return pickle.loads(shared.value)

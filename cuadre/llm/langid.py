@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuadre.llm.bpe import _Numbered, chunks
+from cuadre.llm.common import broadcast_by_value, received
 
 TRAIN_ROWS = 2000
 MAX_LANGS = 512
@@ -218,11 +219,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     names = [f"c{i}" for i in range(len(carry))]
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
                       *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets
+    shared = broadcast_by_value(docs.sparkSession, model)  # languages x buckets
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "text")
 
     def run(batches):
-        m = shared.value
+        m = received(shared)
         index, known = _Numbered(), np.zeros((0, len(m.langs) + 1), np.float32)
         for batch in batches:
             table = batch.column("text")
@@ -241,10 +242,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.0,
                     penalty: float = PENALTY) -> DataFrame:
     """``docs`` without the rows whose language can't be told (``und``) or whose score is under ``min_score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets
+    shared = broadcast_by_value(docs.sparkSession, model)  # languages x buckets
 
     def run(batches):
-        m = shared.value
+        m = received(shared)
         index, known = _Numbered(), np.zeros((0, len(m.langs) + 1), np.float32)
         for batch in batches:
             table = batch.column(text_col)

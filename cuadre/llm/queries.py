@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuadre.llm import bpe, exact_dedup, langid, mixing, ngram_join, ppm
+from cuadre.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, ppm
 from cuadre.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,6 +84,12 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY size DESC, doc_id)
 """
 
 
+def op10_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors of every twentieth vector."""
+    found = ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 20 == 0, k=20)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {"op1_ppm": op1_ppm, "op2_bpe": op2_bpe, "op4_ngram_join": op4_ngram_join,
-           "op7_langid": op7_langid, "op8_mixing": op8_mixing, "op9_exact_dedup": op9_exact_dedup}
+           "op7_langid": op7_langid, "op8_mixing": op8_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_curves": op10_curves}
 ORACLES = {"op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL}
