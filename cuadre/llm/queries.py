@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuadre.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, ppm
+from cuadre.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, ppm, preference, training_order
 from cuadre.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,18 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components_of(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as the chosen one of a pair: prompt, completions and masks."""
+    pairs = preference.pairs_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return preference.format_pairs(pairs, ("chosen_id", "rejected_id"))
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and place of every sequence of every document, and the digest of its ids."""
+    made = training_order.sequences(documents(spark, sf_dir))
+    return made.select("slot", "shard", "shard_offset", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from four fifths of them."""
     docs = documents(spark, sf_dir)
@@ -91,5 +103,5 @@ def op10_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ppm": op1_ppm, "op2_bpe": op2_bpe, "op4_ngram_join": op4_ngram_join,
-           "op7_langid": op7_langid, "op8_mixing": op8_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_curves": op10_curves}
+           "op5_preference": op5_preference, "op6_training_order": op6_training_order, "op7_langid": op7_langid, "op8_mixing": op8_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_curves": op10_curves}
 ORACLES = {"op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL}
