@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuadre.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, ppm, preference, training_order
+from cuadre.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, pii, ppm, preference, training_order
 from cuadre.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str, vocab_path: str = VOCABULARY) -> D
     return bpe.digests(bpe.encode_documents(documents(spark, sf_dir), vocab_path))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of its entities."""
+    return pii.replace(documents(spark, sf_dir))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of at least 0.8 Jaccard on 5-word shingles."""
     return ngram_join.components_of(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
@@ -102,6 +107,7 @@ def op10_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {"op1_ppm": op1_ppm, "op2_bpe": op2_bpe, "op4_ngram_join": op4_ngram_join,
-           "op5_preference": op5_preference, "op6_training_order": op6_training_order, "op7_langid": op7_langid, "op8_mixing": op8_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_curves": op10_curves}
+QUERIES = {"op1_ppm": op1_ppm, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_ngram_join": op4_ngram_join,
+           "op5_preference": op5_preference, "op6_training_order": op6_training_order, "op7_langid": op7_langid,
+           "op8_mixing": op8_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_curves": op10_curves}
 ORACLES = {"op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL}
