@@ -18,13 +18,14 @@ Entities are handled as a distributed table; nothing is collected or broadcast.
 gives the same surrogates wherever the set of entities is the same.
 
 Null text stays null, without entities. Repeated rows are replaced alike. Overlapping matches: the one that begins
-first, then the type listed first. Other columns are ignored. An empty table gives an empty result.
+first, then the type listed first; names of persons come last. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 
 import pyarrow as pa
 import regex
@@ -57,7 +58,9 @@ TITLES = {"mr": "m", "mrs": "f", "ms": "f", "miss": "f", "herr": "m", "frau": "f
 GENDER = {n.lower(): (s, g) for (s, g), names in FIRST_NAMES.items() for n in names}
 
 _NAME = r"\p{Lu}\p{L}+"
-PATTERN = regex.compile("|".join((
+_TITLE = "(?i:" + "|".join(regex.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + ")"
+_FIRST = "(?:" + "|".join(n for names in FIRST_NAMES.values() for n in names) + ")"
+ENTITY = regex.compile("|".join((
     r"(?P<email>[\p{L}\p{N}_.+%-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+)",
     r"(?P<secret>(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,}|(?:sk|pk|ghp|xox[bp])[-_][\p{L}\p{N}_-]{16,}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}]))",
     r"(?P<iban>(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}]))",
@@ -65,11 +68,31 @@ PATTERN = regex.compile("|".join((
     r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
     r"(?P<phone>(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\d])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d))",
     r"(?P<number>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))",
-    rf"(?P<titled>(?<!\p{{L}})(?i:{'|'.join(regex.escape(t) for t in sorted(TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME}){{0,2}})",
-    rf"(?P<named>(?<!\p{{L}})(?:{'|'.join(n for names in FIRST_NAMES.values() for n in names)})(?: {_NAME}){{1,2}})",
 )))
-#: A text without any of these has no entity.
-HINT = regex.compile(rf"[@\d]|(?<!\p{{L}})(?:(?i:{'|'.join(regex.escape(t) for t in sorted(TITLES, key=len, reverse=True))})\.? \p{{Lu}}|(?:{'|'.join(n for names in FIRST_NAMES.values() for n in names)}) \p{{Lu}})")
+PERSON = regex.compile(rf"(?P<titled>(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: {_NAME}){{0,2}})|(?P<named>(?<!\p{{L}}){_FIRST}(?: {_NAME}){{1,2}})")
+#: Where an entity other than a person may be: it has a digit or "@", or begins like an API key.
+SPOT = re.compile(r"[@\d]+|sk[-_]|pk[-_]|ghp[-_]|xox[bp]")
+AROUND = 48
+#: Words of which one must be in a text that names a person.
+NAME_WORDS = {f(t) for t in TITLES for f in (str.lower, str.title, str.upper)} | {n for names in FIRST_NAMES.values() for n in names}
+_APART = {c: " " for c in range(128) if not chr(c).isalpha() and chr(c) != "-"}
+
+
+def places(text: str):
+    """Stretches of the text, from white space to white space, around every spot."""
+    a = b = 0
+    for m in SPOT.finditer(text):
+        if m.start() - AROUND > b:
+            if b > a:
+                yield a, b
+            a = max(0, m.start() - AROUND, b)
+            while a > 0 and not text[a - 1].isspace():
+                a -= 1
+        b = min(len(text), m.end() + AROUND)
+        while b < len(text) and not text[b].isspace():
+            b += 1
+    if b > a:
+        yield a, b
 
 
 def script_of(word: str) -> str:
@@ -93,10 +116,15 @@ def iban_check(body: str) -> str:
 
 def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, type, canonical form, part); a person's form is "script|gender|first|surname"."""
-    if not text or not HINT.search(text):
+    if not text:
         return []
     found, people = [], []
-    for m in PATTERN.finditer(text):
+    matches = [m for a, b in places(text) for m in ENTITY.finditer(text, a, b)]
+    if not NAME_WORDS.isdisjoint(text.translate(_APART).split()):
+        ends = [m.span() for m in matches]
+        matches += [m for m in PERSON.finditer(text) if not any(a < m.end() and m.start() < b for a, b in ends)]
+        matches.sort(key=lambda m: m.start())
+    for m in matches:
         kind, raw = m.lastgroup, m.group()
         a, b = m.span()
         if kind in ("titled", "named"):
