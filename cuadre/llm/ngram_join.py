@@ -15,7 +15,7 @@ A document's set is its distinct 5-word shingles (fewer words: the whole sequenc
 4. Links. Each prefix shingle's list pairs its members with one leader, so a list of k documents gives k - 1 pairs, not
    k^2. Pairs are verified exactly and linked classes get a common label. A pair of a list needs no test once both have
    the same label; what is left are lists with several labels: there, members outside the list's largest label lead
-   in turn, 8, 32, 128 ... a round, until every pair of different labels was tested. So no link is lost and a group of
+   in turn, 16, 128, 1024 ... a round, until all of them have. Shingles with the same members share one list. So no link is lost and a group of
    near copies is never expanded into its pairs.
 
 Null or empty text, or text without words, has no shingles and links with nothing. Repeated rows are rows of their own
@@ -40,7 +40,7 @@ PERCENT = 80
 DF_BITS = 40
 MOST_MATCHES = 16
 VERIFY = 8.0
-LEADERS = 8
+LEADERS = 16
 
 _STEP = np.array([blocks.mix64(np.array([k + 1], np.uint64))[0] | np.uint64(1) for k in range(WORDS)], np.uint64)
 
@@ -189,36 +189,52 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("rep", "label")
 
 
+def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """``labels`` after the links ``new``: components of the labels that the new links join."""
+    name = lambda x: labels.select(F.col("rep").alias(x), F.col("label").alias(f"l{x}"))
+    ends = new.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    ends = stage(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "ends")
+    joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct())
+    every = labels.union(ends.select("a", "la")).union(ends.select("b", "lb")).distinct()
+    return stage(every.join(joined.select(F.col("rep").alias("label"), F.col("label").alias("low")), "label", "left")
+                 .select("rep", F.coalesce("low", "label").alias("label")), "labels")
+
+
 def link_labels(reps: DataFrame) -> DataFrame:
     """(rep, label) of the classes that are linked with another."""
     posts = reps.select("rep", "n", F.explode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("s"))
-    sizes = posts.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min_by("rep", F.xxhash64("rep")).alias("lead")).where("k > 1")
+    sizes = posts.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min_by("rep", F.xxhash64("rep")).alias("lead"),
+                                   F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("y"))).alias("y"))
+    # shingles with the same members give the same pairs: one list stands for all of them
+    sizes = sizes.where("k > 1").groupBy("k", "x", "y").agg(F.min(F.struct("s", "lead")).alias("one")).select("one.*")
     lists = stage(posts.join(sizes, "s").select("s", "rep", "n", "lead"), "lists")
     near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & (F.col("a") != F.col("b"))
     ordered = lambda x: x.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     leads = lists.where("rep = lead").select("s", F.col("rep").alias("a"), F.col("n").alias("n_a"))
     others = lists.select("s", F.col("rep").alias("b"), F.col("n").alias("n_b"))
     tested = stage(ordered(leads.join(others, "s")), "pairs")
-    edges = stage(links(tested, reps), "links")
-    led = lists.where("rep = lead").select("s", "rep")
-    most = LEADERS
+    labels = components(stage(links(tested, reps), "links"))
+    still, most = lists, LEADERS
     while True:
-        labels = components(edges)
-        now = stage(lists.join(labels, "rep", "left").select("s", "rep", "n", F.coalesce("label", "rep").alias("label")), "now")
+        now = stage(still.join(labels, "rep", "left").select("s", "rep", "n", F.coalesce("label", "rep").alias("label")), "now")
         per = now.groupBy("s", "label").agg(F.count(F.lit(1)).alias("k"))
-        mixed = per.groupBy("s").agg(F.max_by("label", "k").alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        fresh = now.join(mixed, "s").where("label <> major").join(led, ["s", "rep"], "left_anti")
+        mixed = per.groupBy("s").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
         turn = Window.partitionBy("s").orderBy(F.xxhash64("rep"), "rep")
-        fresh = stage(fresh.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most)
-                      .select("s", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")), "leaders")
-        if fresh.isEmpty():
-            return labels
+        outside = stage(now.join(mixed, "s").where("label <> major").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most + 1)
+                        .select("s", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), "turn"), "leaders")
         others = now.select("s", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-        pairs = stage(ordered(fresh.join(others, "s").where("label_a <> label_b")).join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges = edges.union(stage(links(pairs, reps), "links"))
+        pairs = ordered(outside.where(F.col("turn") <= most).join(others, "s").where("label_a <> label_b"))
+        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = stage(links(pairs, reps), "links")
+        if not new.isEmpty():
+            labels = merged(labels, new)
+        # a list whose outside members have all led is done, as labels only grow together
+        longer = outside.where(F.col("turn") > most).select("s")
+        if longer.isEmpty():
+            return labels
+        still = now.join(longer, "s", "left_semi").select("s", "rep", "n")
         tested = tested.union(pairs)
-        led = led.union(fresh.select("s", F.col("a").alias("rep")))
-        most *= 4
+        most *= 8
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
