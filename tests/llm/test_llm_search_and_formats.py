@@ -1,0 +1,250 @@
+"""Nearest neighbours, preference pairs, training order and surrogates against plain Python."""
+
+import hashlib
+import json
+import math
+import os
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from cuadre.llm import ann, pii, preference, training_order
+
+
+def brute_search(rows, k, asks):
+    good = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    sizes = Counter(len(v) for _, v in good)
+    size = max(sizes, key=lambda s: (sizes[s], s)) if sizes else 0
+    good = [(i, np.array(v)) for i, v in good if len(v) == size]
+    out = []
+    for q, x in good:
+        if asks(q):
+            near = sorted((-float((x * y).sum()), i) for i, y in good if i != q)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(near)]
+    return out
+
+
+def searched(spark, rows, k=5, asks=lambda i: i % 3 == 0, **how):
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, point string, rank int")
+    return [(r.query_id, r["rank"], r.id, r.score) for r in ann.search(df, asks, k, **how).collect()]
+
+
+def same(got, want):
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got), sorted(want)):
+        assert g[:3] == w[:3] and math.isclose(g[3], w[3], rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_search_odd_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(60)]  # many ties and equal vectors
+    rows += [(100 + i, [1.0, 0.0, 2.0, 0.0]) for i in range(40)]
+    rows += [(rows[0][0], rows[0][1]), (200, None), (201, [0.0] * 4), (202, [1.0, None, 0.0, 0.0]), (203, [1.0, float("nan"), 0.0, 0.0]),
+             (204, [float("inf"), 0.0, 0.0, 0.0]), (205, [1.0, 2.0]), (None, [1.0, 1.0, 1.0, 1.0]), (206, []), (207, [1.0, 0.0, 0.0, 0.0])]
+    same(searched(spark, rows), brute_search(rows, 5, lambda i: i % 3 == 0))
+
+
+def test_search_few_and_none(spark):
+    rows = [(0, [1.0, 2.0]), (3, [2.0, 1.0]), (4, [0.5, 0.5])]
+    same(searched(spark, rows, k=20), brute_search(rows, 20, lambda i: i % 3 == 0))
+    assert searched(spark, []) == [] and searched(spark, [(0, None)]) == []
+
+
+def test_search_cells_and_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    want = brute_search(rows, 20, lambda i: i % 20 == 0)
+    got = [(r.query_id, r["rank"], r.id, r.score) for r in ann.search(df, lambda i: i % 20 == 0, 20, least=60, cell=50).collect()]
+    found = {(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}
+    assert len(got) == len(want) and len(found) / len(want) >= 0.9
+
+
+def test_hilbert_neighbours():
+    """Places that follow each other on the curve differ by one step in one coordinate, and every cell has one place."""
+    for dims, bits in ((2, 4), (3, 3), (4, 2)):
+        cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+        key = ann.hilbert_keys(cells, bits)
+        assert sorted(key) == list(range(len(cells)))
+        assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
+
+
+def convs(spark, rows):
+    return spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, prompt string")
+
+
+TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "more"), (1, 3, "assistant", "good"),
+         (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "less"), (2, 3, "assistant", "bad"),
+         (3, 0, "user", "hi"), (3, 1, "assistant", "hello"), (4, 0, "user", "alone"), (4, 1, "assistant", "a"), (4, 2, "user", "b"), (4, 3, "assistant", "c"),
+         (5, 0, None, None), (5, 0, None, None), (6, None, "user", "only"), (None, 0, "system", "lost"), (7, 1, "user", "hi"), (7, 2, "assistant", "hello")]
+
+
+def brute_pairs(rows):
+    by = defaultdict(list)
+    for c, t, r, x in rows:
+        by[c].append((t is not None, t or 0, r is not None, r or "", x or "", r))
+    conv = {c: [(t[5], t[4]) for t in sorted(v, key=lambda t: t[:5])] for c, v in by.items()}
+    group = defaultdict(list)
+    for c in sorted(conv, key=lambda c: (c is not None, c or 0)):
+        group[conv[c][0]].append(c)
+    out = {}
+    text = lambda ts: "".join(f"<|{r or ''}|>\n{x}<|end|>\n" for r, x in ts)
+    for ids in group.values():
+        for n, c in enumerate(ids):
+            a, other = conv[c], ids[(n + 1) % len(ids)]
+            b = conv[other]
+            if len(ids) == 1:
+                answers = [i for i, (r, _) in enumerate(a) if r == "assistant"]
+                b = a[:answers[-1]] if answers else a[:-1]
+            k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            trained = lambda ts: [x + "<|end|>\n" for r, x in ts if r == "assistant"]
+            out[c] = (other, k, text(a[:k]), text(a[k:]), trained(a[k:]), text(b[k:]), trained(b[k:]))
+    return out
+
+
+def check_pairs(spark, rows):
+    got = preference.format_pairs(preference.pairs_of(convs(spark, rows)), ("chosen_id", "rejected_id")).collect()
+    cut = lambda text, spans: [text[s.start:s.start + s.length] for s in spans]
+    assert {r.chosen_id: (r.rejected_id, r.n_common, r.prompt, r.chosen, cut(r.chosen, r.chosen_mask), r.rejected, cut(r.rejected, r.rejected_mask))
+            for r in got} == brute_pairs(rows)
+    assert len(got) == len({r[0] for r in rows})
+
+
+def test_pairs_odd_rows(spark):
+    check_pairs(spark, TURNS)
+
+
+def test_pairs_sample(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    copies = [(c + 1000, t, r, x if t < 2 else x + "!") for c, t, r, x in rows] + [(c + 2000, t, r, x) for c, t, r, x in rows]
+    check_pairs(spark, rows + copies)
+
+
+def test_pairs_empty(spark):
+    assert preference.format_pairs(preference.pairs_of(convs(spark, []))).count() == 0
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 4, 5, 17, 1000, 4097])
+def test_slots_are_a_permutation(count):
+    at = training_order.slots(np.arange(count), count)
+    assert sorted(at.tolist()) == list(range(count))
+    if count > 100:
+        assert at.tolist() != list(range(count)) and at.tolist() != training_order.slots(np.arange(count), count, "other").tolist()
+
+
+def check_sequences(rows, got, length, shard_size):
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+    parts = defaultdict(dict)
+    for r in got:
+        ids = np.frombuffer(bytes(r.ids), "<u2")
+        assert len(ids) == length and (ids[r.n_tokens:] == training_order.PAD_ID).all()
+        assert (r.shard, r.shard_offset) == (r.slot // shard_size, r.slot % shard_size * length * 2)
+        parts[r.doc_id].setdefault(r.part, []).append(ids[:r.n_tokens].tolist())
+    want = defaultdict(list)
+    for i, t, *_ in rows:
+        want[i].append([*(t or "").encode(), training_order.END_ID])
+    for i, texts in want.items():
+        if len(texts) == 1:
+            assert [x for p in sorted(parts[i]) for x in parts[i][p][0]] == texts[0]
+        assert sum(len(x) for p in parts[i].values() for x in p) == sum(map(len, texts))
+
+
+def test_sequences_odd_rows(make_docs, odd_rows):
+    got = training_order.sequences(make_docs(odd_rows), length=64, shard_size=100).collect()
+    check_sequences(odd_rows, got, 64, 100)
+    again = training_order.sequences(make_docs(odd_rows).repartition(5), length=64, shard_size=100).collect()
+    assert Counter((r.slot, bytes(r.ids)) for r in got) == Counter((r.slot, bytes(r.ids)) for r in again)
+
+
+def test_sequences_of_token_ids(spark):
+    ids = np.arange(10, dtype="<u4") * 70000
+    df = spark.createDataFrame([(1, bytearray(ids.tobytes())), (2, None)], "doc_id long, ids binary")
+    got = {(r.doc_id, r.part): np.frombuffer(bytes(r.ids), "<u4").tolist() for r in training_order.sequences(df, text_col=None, tokens_col="ids", length=6).collect()}
+    assert got[1, 0] + got[1, 1] == [*ids.tolist(), 256, 257] and got[2, 0] == [256] + [257] * 5
+
+
+def test_shards_on_disk(make_docs, sample_rows, tmp_path):
+    made = training_order.sequences(make_docs(sample_rows), length=128, shard_size=500)
+    manifest = training_order.write_shards(made, f"file://{tmp_path}").collect()
+    rows = {r.slot: bytes(r.ids) for r in made.collect()}
+    assert sum(m.n_sequences for m in manifest) == len(rows) and len({m.shard for m in manifest}) == len(manifest)
+    for m in manifest:
+        raw = open(os.path.join(tmp_path, f"shard-{m.shard:08d}.bin"), "rb").read()
+        assert m.first_slot == m.shard * 500 and len(raw) == m.n_bytes == m.n_sequences * 256 and hashlib.sha256(raw).hexdigest() == m.sha256
+        k = random.Random(m.shard).randrange(m.n_sequences)  # any slot by its place
+        assert raw[k * 256:(k + 1) * 256] == rows[m.first_slot + k]
+    assert len([f for f in os.listdir(tmp_path) if f.endswith(".bin")]) == len(manifest)
+
+
+def test_sequences_empty(make_docs):
+    assert training_order.sequences(make_docs([])).count() == 0
+
+
+PRIVATE = [
+    (1, "Mr. John Smith wrote from J.SMITH@Example.COM (j.smith@example.com). Smith called +1 (017) 555-7713, that is (017) 555-7713."),
+    (2, "john.doe@mail.example.com paid with 4111 1111 1111 1111 and 4111111111111111, then 9807915762804490 from 192.168.3.4 and 97.51.17.173."),
+    (3, "Frau Anna Becker, г-н Иван Петров and Mrs. Clara Jones; ssn 123-45-6789; DE89 3704 0044 0532 0130 00."),
+    (4, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" TOKEN = "04DBEBAB91AB85687D33EEAAF9AC699E1188F962" sk-abcdefghijklmnopqrst'),
+    (5, "again j.smith@example.com and 97.51.17.173, version 2.0. of 2024, section 4.1"), (6, None), (7, ""), (7, ""), (8, "nothing private here"),
+    (9, "x" * 300 + " a@b.co\nund.34@mail7.example.com***"), (None, "call (017) 555-7713"),
+]
+SECRETS = ["Smith", "smith@", "555-7713", "john.doe", "4111 1111 1111", "4111111111111111", "9807915762804490", "192.168.3.4", "97.51.17.173", "Becker", "Петров",
+           "Jones", "123-45-6789", "3704 0044", "04dbebab", "04DBEBAB", "sk-abcdefghijklmnopqrst", "a@b.co", "und.34"]
+
+
+def test_surrogates(make_docs):
+    rows = pii.replace(make_docs(PRIVATE)).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(PRIVATE) and got[6].text is None and got[7].text == "" and got[8].text == PRIVATE[8][1]
+    whole = json.dumps([r.text for r in rows], ensure_ascii=False)
+    assert [s for s in SECRETS if s in whole] == []
+    for r in rows:  # the spans are where the surrogates are
+        at = [(e.start, e.end) for e in r.entities]
+        assert at == sorted(at) and all(0 <= a < b <= len(r.text) for a, b in at)
+    part = lambda i, kind: [got[i].text[e.start:e.end] for e in got[i].entities if e.kind == kind]
+    mail = part(1, "email")
+    assert mail[0].lower() == mail[1] == part(5, "email")[0]  # the same person everywhere
+    assert mail[0].split("@")[0].isupper()
+    phones = part(1, "phone")
+    assert phones[0] == "+1 " + phones[1] and part(None, "phone") == phones[1:]
+    assert part(2, "ip")[0].startswith("192.168.") and part(2, "ip")[1] == part(5, "ip")[0]
+    cards = part(2, "number")
+    assert cards[0].replace(" ", "") == cards[1] and pii.luhn(cards[1]) and not cards[2] == cards[1]
+    names = part(1, "person")
+    assert names[0].split()[0] in pii.FIRST_NAMES["Latin", "m"] and names[0].split()[1] == names[1]
+    people = part(3, "person")
+    assert people[0].split()[0] in pii.FIRST_NAMES["Latin", "f"] and people[1].split()[0] in pii.FIRST_NAMES["Cyrillic", "m"]
+    iban = part(3, "iban")[0].replace(" ", "")
+    assert iban[:2] == "DE" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    tokens = part(4, "secret")
+    assert tokens[0].upper() == tokens[1] and tokens[2].startswith("sk-") and len(tokens[0]) == 40
+
+
+def test_surrogates_stay_distinct(spark, make_docs):
+    """All but a few numbers of a small space are taken: draws collide with originals and with each other."""
+    used = [f"10.{a}.{b}.9" for a in range(20) for b in range(30)]
+    docs = make_docs([(i, f"from {ip} to {used[-1 - i]}") for i, ip in enumerate(used)])
+    new = {}
+    for r in pii.replace(docs).collect():
+        for old, e in zip((used[r.doc_id], used[-1 - r.doc_id]), r.entities):
+            assert new.setdefault(old, r.text[e.start:e.end]) == r.text[e.start:e.end]
+    assert len(new) == len(used) == len(set(new.values())) and not set(new.values()) & set(used)
+    tight = spark.createDataFrame([("ssn", f"{i:01d}") for i in range(4)], "kind string, canon string")
+    given = {r.canon: r.new for r in pii.assign(tight).collect()}
+    assert len(set(given.values())) == 4 and not set(given.values()) & set(given)
+    full = spark.createDataFrame([("ssn", f"{i:01d}") for i in range(6)], "kind string, canon string")
+    with pytest.raises(ValueError):
+        pii.assign(full)
+
+
+def test_surrogates_key_and_rerun(make_docs):
+    docs = make_docs(PRIVATE[:5])
+    texts = lambda **how: sorted((r.doc_id, r.text) for r in pii.replace(docs, **how).collect())
+    assert texts() == texts() != texts(key="other")
+
+
+def test_surrogates_empty_and_odd_rows(make_docs, odd_rows):
+    assert pii.replace(make_docs([])).count() == 0
+    got = Counter((r.doc_id, r.text) for r in pii.replace(make_docs(odd_rows)).collect())
+    assert got == Counter((r[0], r[1]) for r in odd_rows)
