@@ -12,11 +12,14 @@ A document's set is its distinct 5-word shingles (fewer words: the whole sequenc
    that makes the estimated cost least: frequencies in its prefix, for looking up, plus ``VERIFY`` times those over l
    for verifying. A pair must share min(l, l') in both prefixes of that length before it is verified.
 3. Classes. Documents with the same set are one class; only its representative goes on.
-4. Links. Each prefix shingle's list pairs its members with one leader, so a list of k documents gives k - 1 pairs, not
-   k^2. Pairs are verified exactly and linked classes get a common label. A pair of a list needs no test once both have
-   the same label; what is left are lists with several labels: there, members outside the list's largest label lead
-   in turn, 16, 128, 1024 ... a round, until all of them have. Shingles with the same members share one list. So no link is lost and a group of
-   near copies is never expanded into its pairs.
+4. Neighbourhoods. Two linked classes share one of their shortest prefixes' shingles (l = 1), so each such shingle's
+   list ties its members to one of them: k - 1 edges for k members, not k^2. Connected neighbourhoods of these edges
+   hold every link. A neighbourhood of up to ``MOST`` classes is one task's (many small ones share a task); a larger
+   one is cut into blocks, and each task gets two of them.
+5. Links. A task counts shared prefix shingles of all its pairs (sparse lists for rare shingles, a matrix product for
+   frequent ones), keeps pairs with min(l, l') or more, verifies those exactly and returns a spanning forest of the
+   links. Pairs are never rows, and no link between different texts is lost. The components of the forests' edges are
+   the result.
 
 Null or empty text, or text without words, has no shingles and links with nothing. Repeated rows are rows of their own
 with the same set. The component's id is the smallest id in it; a null id counts only where there is no other. Other
@@ -29,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuadre.llm import blocks
@@ -40,7 +43,10 @@ PERCENT = 80
 DF_BITS = 40
 MOST_MATCHES = 16
 VERIFY = 8.0
-LEADERS = 16
+#: Classes that one task compares, shingles per task of small neighbourhoods, and how the counting is split.
+MOST = 2048
+TASK_SHINGLES = 4_000_000
+RARE, COLUMNS = 8, 2048
 
 _STEP = np.array([blocks.mix64(np.array([k + 1], np.uint64))[0] | np.uint64(1) for k in range(WORDS)], np.uint64)
 
@@ -160,19 +166,70 @@ def prepared_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         answer, f"doc_id {id_type}, key bigint, n bigint, digest binary, unique bigint, matches int, prefix int, shingles array<bigint>")
 
 
-def links(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that share enough of their prefixes and then enough shingles."""
-    side = lambda x: reps.select(*[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "unique", "matches", "shingles")])
-    both = pairs.join(side("a"), F.col("a") == F.col("rep_a")).join(side("b"), F.col("b") == F.col("rep_b"))
-    l = F.least("matches_a", "matches_b")
+def shared_counts(members: list[np.ndarray]) -> np.ndarray:
+    """How many values each two arrays of distinct values share."""
+    m = len(members)
+    out = np.zeros((m, m), np.float32)
+    flat = np.concatenate(members)
+    owner = np.repeat(np.arange(m), np.fromiter(map(len, members), np.int64, m))
+    order = np.lexsort((owner, flat))
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(flat)))
+    for t in range(2, RARE + 1):
+        cols = first[times == t]
+        if len(cols):
+            who = owner[cols[:, None] + np.arange(t)]
+            i, j = np.triu_indices(t, 1)
+            out += np.bincount((who[:, i] * m + who[:, j]).ravel(), minlength=m * m).reshape(m, m)
+    often = np.flatnonzero(times > RARE)
+    for at in range(0, len(often), COLUMNS):
+        part = often[at:at + COLUMNS]
+        x = np.zeros((m, len(part)), np.float32)
+        rows = np.repeat(first[part], times[part]) + np.arange(times[part].sum()) - np.repeat(np.cumsum(times[part]) - times[part], times[part])
+        x[owner[rows], np.repeat(np.arange(len(part)), times[part])] = 1
+        out += np.triu(x @ x.T, 1)
+    return out
 
-    def prefix(x):
-        n, need = F.col(f"n_{x}"), F.ceil(F.col(f"n_{x}") * PERCENT / 100)
-        return F.slice(f"shingles_{x}", F.lit(1), F.greatest(n - need + l - F.col(f"unique_{x}"), F.lit(0)).cast("int"))
 
-    both = both.where(F.size(F.array_intersect(prefix("a"), prefix("b"))) >= l)
-    same = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return both.where((100 + PERCENT) * same >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+def forest(size: np.ndarray, matches: np.ndarray, prefixes: list[np.ndarray], shingles: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that connect what the links of these sets connect."""
+    i, j = np.nonzero(shared_counts(prefixes) >= np.maximum(1, np.minimum.outer(matches, matches)))
+    keep = (i < j) & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))
+    i, j = i[keep], j[keep]
+    if not len(i):
+        return []
+    used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+    same = shared_counts([shingles[u] for u in used])[back[:len(i)], back[len(i):]]
+    link = (100 + PERCENT) * same >= PERCENT * (size[i] + size[j])
+    up = np.arange(len(size))
+    edges = []
+    for a, b in zip(i[link].tolist(), j[link].tolist()):
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            edges.append((a, b))
+    return edges
+
+
+def task_links(table: pa.Table) -> pa.Table:
+    """Spanning links of every neighbourhood (or two blocks of one) in a task."""
+    table = table.sort_by([("home", "ascending"), ("rep", "ascending")])
+    home, rep, n = (table[c].to_numpy() for c in ("home", "rep", "n"))
+    matches, prefix = table["matches"].to_numpy(), table["prefix"].to_numpy()
+    column = table["shingles"].combine_chunks()
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    cut = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]]))
+    a_out, b_out = [], []
+    for x, y in zip(cut[:-1], cut[1:]):
+        for a, b in forest(n[x:y], matches[x:y], [s[:k] for s, k in zip(sets[x:y], prefix[x:y])], sets[x:y]):
+            a_out.append(rep[x + a])
+            b_out.append(rep[x + b])
+    return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,52 +246,26 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("rep", "label")
 
 
-def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """``labels`` after the links ``new``: components of the labels that the new links join."""
-    name = lambda x: labels.select(F.col("rep").alias(x), F.col("label").alias(f"l{x}"))
-    ends = new.join(name("a"), "a", "left").join(name("b"), "b", "left")
-    ends = stage(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "ends")
-    joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct())
-    every = labels.union(ends.select("a", "la")).union(ends.select("b", "lb")).distinct()
-    return stage(every.join(joined.select(F.col("rep").alias("label"), F.col("label").alias("low")), "label", "left")
-                 .select("rep", F.coalesce("low", "label").alias("label")), "labels")
-
-
 def link_labels(reps: DataFrame) -> DataFrame:
     """(rep, label) of the classes that are linked with another."""
-    posts = reps.select("rep", "n", F.explode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("s"))
-    sizes = posts.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min_by("rep", F.xxhash64("rep")).alias("lead"),
-                                   F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("y"))).alias("y"))
-    # shingles with the same members give the same pairs: one list stands for all of them
-    sizes = sizes.where("k > 1").groupBy("k", "x", "y").agg(F.min(F.struct("s", "lead")).alias("one")).select("one.*")
-    lists = stage(posts.join(sizes, "s").select("s", "rep", "n", "lead"), "lists")
-    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & (F.col("a") != F.col("b"))
-    ordered = lambda x: x.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    leads = lists.where("rep = lead").select("s", F.col("rep").alias("a"), F.col("n").alias("n_a"))
-    others = lists.select("s", F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    tested = stage(ordered(leads.join(others, "s")), "pairs")
-    labels = components(stage(links(tested, reps), "links"))
-    still, most = lists, LEADERS
-    while True:
-        now = stage(still.join(labels, "rep", "left").select("s", "rep", "n", F.coalesce("label", "rep").alias("label")), "now")
-        per = now.groupBy("s", "label").agg(F.count(F.lit(1)).alias("k"))
-        mixed = per.groupBy("s").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        turn = Window.partitionBy("s").orderBy(F.xxhash64("rep"), "rep")
-        outside = stage(now.join(mixed, "s").where("label <> major").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most + 1)
-                        .select("s", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), "turn"), "leaders")
-        others = now.select("s", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-        pairs = ordered(outside.where(F.col("turn") <= most).join(others, "s").where("label_a <> label_b"))
-        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = stage(links(pairs, reps), "links")
-        if not new.isEmpty():
-            labels = merged(labels, new)
-        # a list whose outside members have all led is done, as labels only grow together
-        longer = outside.where(F.col("turn") > most).select("s")
-        if longer.isEmpty():
-            return labels
-        still = now.join(longer, "s", "left_semi").select("s", "rep", "n")
-        tested = tested.union(pairs)
-        most *= 8
+    spark = reps.sparkSession
+    shortest = F.greatest(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("unique"), F.lit(0)).cast("int")
+    posts = reps.select("rep", F.explode(F.slice("shingles", F.lit(1), shortest)).alias("s"))
+    leads = posts.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min_by("rep", F.xxhash64("rep")).alias("lead")).where("k > 1")
+    near = posts.join(leads, "s").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    homes = components(near).withColumnRenamed("label", "home")
+    sizes = stage(homes.groupBy("home").agg(F.count(F.lit(1)).alias("members")), "homes")
+    members = reps.join(homes.join(sizes, "home"), "rep").select("home", "members", "rep", "n", "matches", "prefix", "shingles")
+    total = members.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SHINGLES))
+    small = members.where(F.col("members") <= MOST).withColumn(
+        "task", F.concat(F.lit("t"), F.pmod(F.xxhash64("home"), F.lit(tasks)).cast("string")))
+    parts = F.ceil(F.col("members") / (MOST // 2)).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    large = members.where(F.col("members") > MOST).withColumn("part", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    large = large.withColumn("task", F.concat_ws("/", "home", F.least("part", "other"), F.greatest("part", "other"))).drop("part", "other")
+    found = small.unionByName(large).drop("members").groupBy("task").applyInArrow(task_links, "a bigint, b bigint")
+    return components(found)
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

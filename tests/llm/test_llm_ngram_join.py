@@ -80,12 +80,21 @@ def test_near_copies(make_docs):
     same(make_docs(rows), rows)
 
 
-def test_many_rounds(make_docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LEADERS", 1)
+def test_neighbourhoods_in_blocks(make_docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOST", 20)
     rows = near_copies()
     same(make_docs(rows), rows)
 
 
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(6)
+    for columns in (2048, 7):
+        monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+        sets = [rng.choice(120, rng.integers(0, 60), replace=False).astype(np.int64) for _ in range(40)]
+        got = ngram_join.shared_counts(sets)
+        assert all(got[i, j] == len(set(sets[i].tolist()) & set(sets[j].tolist())) for i in range(40) for j in range(i + 1, 40))
+
+
 def test_keep_rows(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     kept = ngram_join.keep_rows(docs)
