@@ -74,9 +74,14 @@ def _attach(df: DataFrame, flags: DataFrame, group_cols: list[str]) -> DataFrame
     return df.join(flags, group_cols, "left") if group_cols else df.crossJoin(F.broadcast(flags))
 
 
+def conform_columns(df: DataFrame, fields: list[str]) -> list[Column]:
+    """The fields in their fixed order, missing ones as ''."""
+    return [F.col(f) if f in df.columns else F.lit("").alias(f) for f in fields]
+
+
 def conform(df: DataFrame, fields: list[str]) -> DataFrame:
     """Add missing columns as '' and project in the fixed order."""
-    return df.select(*[F.col(f) if f in df.columns else F.lit("").alias(f) for f in fields])
+    return df.select(*conform_columns(df, fields))
 
 
 def regenerate_indicator(df: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
@@ -92,16 +97,6 @@ def regenerate_indicator(df: DataFrame, group_cols: list[str] | None = None) ->
                            .otherwise(F.col("debit_credit_indicator"))).drop("__ind_all_null")
 
 
-def header_projection(df: DataFrame) -> DataFrame:
-    """P05 + P03."""
-    return conform(regenerate_indicator(df), HEADER_FIELDS)
-
-
-def detail_projection(df: DataFrame) -> DataFrame:
-    """P06 + P03 (+ P04 on the indicator)."""
-    return conform(regenerate_indicator(df), DETAIL_FIELDS)
-
-
 def available_projection(df: DataFrame, fields: list[str]) -> DataFrame:
     """Only the listed fields that exist."""
     return df.select(*[f for f in fields if f in df.columns])
@@ -221,26 +216,35 @@ def signed_amount(df: DataFrame, group_cols: list[str] | None = None) -> DataFra
 # ---------------------------------------------------------------------------------------------------------------
 # header / detail
 
-def header_dedup(df: DataFrame, key: str = "journal_entry_id", order_col: str = "row_id") -> DataFrame:
-    """One row per key, the first in ``order_col`` order; a null key is kept once.
+def header_dedup(df: DataFrame, key: str = "journal_entry_id", order_col: str = "row_id",
+                 group_cols: list[str] | None = None) -> DataFrame:
+    """One row per key (and ledger, ``group_cols``), the first in ``order_col`` order; a null key is kept once.
 
     ``min_by(struct, row_id)`` is a partial aggregate: each partition pre-reduces its rows per key before the shuffle.
     """
-    others = [c for c in df.columns if c not in (key, order_col)]
+    g = [*(group_cols or []), key]
+    others = [c for c in df.columns if c not in (*g, order_col)]
+    if not others:
+        return df.select(*g).distinct()
     first = F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order_col)).alias("__first")
-    return df.groupBy(key).agg(first).select(key, *[F.col(f"__first.{c}").alias(c) for c in others])
+    return df.groupBy(*g).agg(first).select(*g, *[F.col(f"__first.{c}").alias(c) for c in others])
 
 
-def header_first_nonnull(df: DataFrame, key: str = "journal_entry_id", order_col: str = "row_id") -> DataFrame:
-    """Per key, the first non-null value of every other column; null keys dropped."""
-    others = [c for c in df.columns if c not in (key, order_col)]
+def header_first_nonnull(df: DataFrame, key: str = "journal_entry_id", order_col: str = "row_id",
+                         group_cols: list[str] | None = None) -> DataFrame:
+    """Per key (and ledger), the first non-null value of every other column; null keys dropped."""
+    g = [*(group_cols or []), key]
+    others = [c for c in df.columns if c not in (*g, order_col)]
     aggs = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_col))).alias(c) for c in others]
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
+    return df.where(F.col(key).isNotNull()).groupBy(*g).agg(*aggs)
 
 
-def keyless_header(df: DataFrame, order_col: str = "row_id") -> DataFrame:
-    """A ledger without journal id yields one sample header row (the first)."""
-    return df.orderBy(order_col).limit(1).drop(order_col)
+def keyless_header(df: DataFrame, order_col: str = "row_id", group_cols: list[str] | None = None) -> DataFrame:
+    """A ledger without journal id yields one sample header row (its first)."""
+    g = group_cols or []
+    others = [c for c in df.columns if c not in (*g, order_col)]
+    first = df.groupBy(*g).agg(F.min_by(F.struct(*map(F.col, others)), F.col(order_col)).alias("__first"))
+    return first.where(F.col("__first").isNotNull()).select(*g, *[F.col(f"__first.{c}").alias(c) for c in others])
 
 
 def sort_by_journal_id(df: DataFrame, key: str = "journal_entry_id", order_col: str | None = "row_id") -> DataFrame:
@@ -304,12 +308,17 @@ def canonical_journal(raw: DataFrame, mapping: dict[str, str], group_cols: list[
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
-def journal_header(canonical: DataFrame, key: str = "journal_entry_id", order_col: str = "row_id") -> DataFrame:
-    """S13 shape: header columns, deduplicated by journal id (first row wins)."""
-    proj = conform(canonical, HEADER_FIELDS + [order_col])
+def journal_header(canonical: DataFrame, key: str = "journal_entry_id", order_col: str = "row_id",
+                   group_cols: list[str] | None = None) -> DataFrame:
+    """S13 shape: header columns, deduplicated by journal id (first row wins). Only the columns that are there go
+    through the aggregation; the absent ones are added after it."""
+    g = group_cols or []
+    present = [c for c in HEADER_FIELDS if c in canonical.columns]
     if key in canonical.columns:
-        return header_dedup(proj, key, order_col)
-    return proj.drop(order_col)
+        first = header_dedup(canonical.select(*g, *present, order_col), key, order_col, g)
+    else:
+        first = canonical.select(*g, *present)
+    return first.select(*g, *conform_columns(first, HEADER_FIELDS))
 
 
 def journal_detail(canonical: DataFrame) -> DataFrame:

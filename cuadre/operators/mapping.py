@@ -58,27 +58,28 @@ def name_specificity(name: Column, field: Column) -> Column:
     return out
 
 
-def exact_matches(columns: DataFrame, synonyms: DataFrame, fields: DataFrame, erp: Column | None = None) -> DataFrame:
+def exact_matches(columns: DataFrame, synonyms: DataFrame, fields: DataFrame, erp: Column | str | None = None) -> DataFrame:
     """(file_id, column, field_type, exact_conf, field_order). ``columns`` has (file_id, column); ``erp`` an
     optional per-row ERP hint column name present on ``columns``.
 
     own-ERP hit: min(0.95 + 0.05 * boost, 1); any-ERP hit: min(0.85 + 0.1 * boost, 1); field-code hit: 0.90; best
-    per field. The catalogue side is broadcast (bounded by the catalogue)."""
+    per field. The catalogue may grow by learning, so the join side is left to Spark's own size check."""
     cols = columns.withColumn("__norm", normalize_field_name(F.col("column")))
     syn = synonyms.select("field_type", F.col("erp").alias("syn_erp"), F.col("name").alias("syn_name"), "boost",
                           normalize_field_name(F.col("name")).alias("__norm"))
-    hits = cols.join(F.broadcast(syn), "__norm").where(~is_problematic_partial(F.col("column"), F.col("syn_name")))
+    hits = cols.join(syn, "__norm").where(~is_problematic_partial(F.col("column"), F.col("syn_name")))
     any_erp = F.least(F.lit(0.85) + F.lit(0.1) * F.col("boost"), F.lit(1.0))
     conf = any_erp
     if erp is not None:
+        erp = F.col(erp) if isinstance(erp, str) else erp
         conf = F.greatest(any_erp, F.when(F.col("syn_erp") == erp,
                                           F.least(F.lit(0.95) + F.lit(0.05) * F.col("boost"), F.lit(1.0))))
     syn_hits = hits.select("file_id", "column", "field_type", conf.alias("c"))
     code = fields.select("field_type", normalize_field_name(F.col("field_type")).alias("__norm"))
-    code_hits = cols.join(F.broadcast(code), "__norm").select("file_id", "column", "field_type", F.lit(0.9).alias("c"))
+    code_hits = cols.join(code, "__norm").select("file_id", "column", "field_type", F.lit(0.9).alias("c"))
     allh = syn_hits.unionByName(code_hits)
     best = allh.groupBy("file_id", "column", "field_type").agg(F.max("c").alias("exact_conf"))
-    return best.join(F.broadcast(fields.select("field_type", "field_order")), "field_type", "left")
+    return best.join(fields.select("field_type", "field_order"), "field_type", "left")
 
 
 def content_candidates(sample: DataFrame) -> DataFrame:
@@ -147,74 +148,146 @@ def better_amount_flags(sample: DataFrame) -> DataFrame:
                     .alias("better_amount"))
 
 
-def resolve_conflicts(best: DataFrame, better_amount: DataFrame) -> DataFrame:
-    """K04 + W06 + W07: sequential fold per (file, field) then the final winner.
-
-    Processing order: columns whose names hold an amount word first (by ordinal), then the rest. The first claimant
-    of a field is kept; a later one is kept (and becomes current) if its confidence beats the current by more than
-    0.2, or, for ``amount``, if it is a better amount candidate (A18), or, for other fields, if its name is more
-    specific (T06) - ``journal_entry_id`` needs a strictly higher confidence. Losers are dropped. Among the kept
-    columns: one -> no_conflict; amount -> first whose name holds local/loc./ml/lm; otherwise the highest confidence,
-    first on ties.
+def forced_headers(best: DataFrame) -> DataFrame:
+    """The first column (by ordinal) of a file whose name holds cabecera or header and description is forced to
+    ``description`` at 0.95 and processed before all others; later ones keep their normal match."""
+    low = F.lower(F.col("column"))
+    named = (low.contains("cabecera") | low.contains("header")) & low.contains("description")
+    first = Window.partitionBy("file_id").orderBy(F.when(named, F.col("ordinal")).asc_nulls_last(), "column")
+    force = named & (F.row_number().over(first) == 1)
+    return (best.withColumn("__force", force)
+                .withColumn("field_type", F.when(F.col("__force"), F.lit("description")).otherwise(F.col("field_type")))
+                .withColumn("confidence", F.when(F.col("__force"), F.lit(0.95)).otherwise(F.col("confidence"))))
+
+
+def fold_claims(best: DataFrame, better_amount: DataFrame, balance: DataFrame | None = None) -> DataFrame:
+    """K04 + W06: the columns each field keeps, (file_id, field_type, pos, column, confidence, quality).
+
+    Processing order: the forced header (T05), then columns whose names hold an amount word (by ordinal), then the
+    rest. The first claimant of a field is kept; a later one is kept (and becomes current) if its confidence beats
+    the current by more than 0.2, or, for ``amount``, if it is a better amount candidate (A18), or, for other fields,
+    if its name is more specific (T06). For ``journal_entry_id`` the combined score 0.7 * balance + 0.3 * confidence
+    must be strictly greater (W10); ``balance`` holds the trial's (file_id, column, quality), and without a trial the
+    balance part falls back to the confidence. Losers are dropped.
     """
     low = F.lower(F.col("column"))
     amount_first = reduce(lambda a, b: a | b, [low.contains(w) for w in AMOUNT_PRIORITY_WORDS])
-    forced = (low.contains("cabecera") | low.contains("header")) & low.contains("description")
-    b = (best.join(better_amount, ["file_id", "column"], "left")
-             .withColumn("proc_order", F.when(forced, F.lit(0)).when(amount_first, F.lit(1)).otherwise(F.lit(2)))
-             .withColumn("field_type", F.when(forced, F.lit("description")).otherwise(F.col("field_type")))
-             .withColumn("confidence", F.when(forced, F.lit(0.95)).otherwise(F.col("confidence")))
-             .withColumn("spec", name_specificity(F.col("column"), F.col("field_type"))))
+    b = forced_headers(best).join(better_amount, ["file_id", "column"], "left")
+    b = (b.join(balance.select("file_id", "column", "quality"), ["file_id", "column"], "left") if balance is not None
+         else b.withColumn("quality", F.lit(None).cast("double")))
+    b = (b.withColumn("proc_order", F.when(F.col("__force"), F.lit(0)).when(amount_first, F.lit(1)).otherwise(F.lit(2)))
+          .withColumn("spec", name_specificity(F.col("column"), F.col("field_type"))))
     cand = F.struct(F.col("proc_order"), F.col("ordinal"), F.col("column"), F.col("confidence"),
-                    F.coalesce(F.col("better_amount"), F.lit(False)).alias("better_amount"), F.col("spec"))
+                    F.coalesce(F.col("better_amount"), F.lit(False)).alias("better_amount"), F.col("spec"), F.col("quality"))
     grouped = b.groupBy("file_id", "field_type").agg(F.array_sort(F.collect_list(cand)).alias("cands"))
-    kept_t = "array<struct<proc_order:int,ordinal:int,column:string,confidence:double,better_amount:boolean," \
-             "spec:int>>"
     init = F.struct(F.lit(None).cast("double").alias("cur_conf"), F.lit(None).cast("int").alias("cur_spec"),
-                    F.array().cast(kept_t).alias("kept"))
+                    F.lit(None).cast("double").alias("cur_trial"),
+                    F.array().cast(grouped.schema["cands"].dataType).alias("kept"))
     field = F.col("field_type")
 
     def step(acc, x):
-        first = acc["cur_conf"].isNull()
-        wins = F.when(field == "journal_entry_id", x["confidence"] > acc["cur_conf"]).otherwise(
+        trial = F.coalesce(x["quality"], x["confidence"]) * 0.7 + x["confidence"] * 0.3
+        wins = F.when(field == "journal_entry_id", trial > acc["cur_trial"]).otherwise(
             (x["confidence"] > acc["cur_conf"] + 0.2)
             | F.when(field == "amount", x["better_amount"]).otherwise(x["spec"] > acc["cur_spec"]))
-        take = first | wins
-        return F.when(take, F.struct(x["confidence"].alias("cur_conf"), x["spec"].alias("cur_spec"),
-                                     F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
-
-    folded = grouped.withColumn("kept", F.aggregate("cands", init, step)["kept"])
-    ex = folded.select("file_id", "field_type", F.size("kept").alias("n_kept"),
-                       F.posexplode("kept").alias("pos", "k"))
-    ex = ex.select("file_id", "field_type", "n_kept", "pos", F.col("k.column").alias("column"),
-                   F.col("k.confidence").alias("confidence"))
-    klow = F.lower(F.col("column"))
-    is_local = reduce(lambda a, b: a | b, [klow.contains(m) for m in LOCAL_AMOUNT_MARKERS])
-    has_local = F.max(F.when(is_local, 1).otherwise(0)).over(Window.partitionBy("file_id", "field_type"))
-    ex = ex.withColumn("__is_local", is_local).withColumn("__has_local", has_local)
-    rule = F.when(F.col("n_kept") == 1, F.lit(0)).when(
-        (F.col("field_type") == "amount") & (F.col("__has_local") == 1), F.when(F.col("__is_local"), 0).otherwise(1)
-    ).otherwise(F.lit(0))
-    w = Window.partitionBy("file_id", "field_type").orderBy(rule, F.desc("confidence"), "pos")
-    win = ex.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1)
-    res = (F.when(F.col("n_kept") == 1, F.lit("no_conflict"))
-            .when((F.col("field_type") == "amount") & (F.col("__has_local") == 1), F.lit("amount_local_priority"))
-            .otherwise(F.lit("highest_confidence")))
-    return win.select("file_id", "column", "field_type", "confidence", res.alias("resolution_type"))
-
-
-def map_columns(sample: DataFrame, synonyms: DataFrame, fields: DataFrame,
-                threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
+        return F.when(acc["cur_conf"].isNull() | wins, F.struct(
+            x["confidence"].alias("cur_conf"), x["spec"].alias("cur_spec"), trial.alias("cur_trial"),
+            F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+
+    kept = grouped.select("file_id", "field_type", F.posexplode(F.aggregate("cands", init, step)["kept"]).alias("pos", "k"))
+    return kept.select("file_id", "field_type", "pos", F.col("k.column").alias("column"),
+                       F.col("k.confidence").alias("confidence"), F.col("k.quality").alias("quality"))
+
+
+def final_winners(kept: DataFrame) -> DataFrame:
+    """The column of each field. One kept column -> no_conflict; ``amount`` -> the first whose name holds
+    local/loc./ml/lm; ``journal_entry_id`` with a balance trial -> the best balance score, ties to the higher
+    confidence, then the first; otherwise the highest confidence, first on ties."""
+    low = F.lower(F.col("column"))
+    is_local = (F.col("field_type") == "amount") & reduce(lambda a, b: a | b, [low.contains(m) for m in LOCAL_AMOUNT_MARKERS])
+    per = Window.partitionBy("file_id", "field_type")
+    tried = (F.col("field_type") == "journal_entry_id") & (F.count("quality").over(per) > 0)
+    k = (kept.withColumn("__n", F.count(F.lit(1)).over(per)).withColumn("__local", is_local)
+             .withColumn("__any_local", F.max(is_local).over(per)).withColumn("__tried", tried))
+    order = per.orderBy(F.desc("__local"), F.when(F.col("__local"), F.col("pos")),
+                        F.when(F.col("__tried"), F.coalesce("quality", F.lit(0.0))).desc_nulls_last(), F.desc("confidence"), "pos")
+    res = (F.when(F.col("__n") == 1, F.lit("no_conflict")).when(F.col("__any_local"), F.lit("amount_local_priority"))
+            .when(F.col("__tried"), F.lit("balance_validation_winner")).otherwise(F.lit("highest_confidence")))
+    return (k.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") == 1)
+             .select("file_id", "column", "field_type", "confidence", res.alias("resolution_type")))
+
+
+def resolve_conflicts(best: DataFrame, better_amount: DataFrame, balance: DataFrame | None = None) -> DataFrame:
+    """K04 + W06 + W07 (+ W10 with ``balance``)."""
+    return final_winners(fold_claims(best, better_amount, balance))
+
+
+def trusted_amounts(mappings: DataFrame) -> DataFrame:
+    """Amount, debit and credit mappings with confidence >= 0.75."""
+    return mappings.where(F.col("field_type").isin("amount", "debit_amount", "credit_amount")
+                          & (F.col("confidence") >= CONFIDENCE_THRESHOLD))
+
+
+def id_conflicts(best: DataFrame) -> DataFrame:
+    """Files in which more than one column claims ``journal_entry_id``."""
+    return (best.where(F.col("field_type") == "journal_entry_id").groupBy("file_id")
+                .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("file_id"))
+
+
+def balance_trial(cells: DataFrame, best: DataFrame, amounts: DataFrame, tol: float = 0.01) -> DataFrame:
+    """J08 over a lake: (file_id, column, quality) for the journal-id candidates of every file that has more than
+    one and a trusted amount.
+
+    ``cells`` is (file_id, column, row_key, value); ``row_key`` names a row within its file. A row's amount is its
+    cleaned ``amount`` (N01), else debit - credit. Candidate cells meet the amount of their row on (file_id, row_key),
+    then one aggregation per (file, candidate, id) gives the entry sums: all candidates of all files in one pass, and
+    a hot id is summed before it is shuffled.
+    """
+    from cuadre.functions import numbers as N
+    cands = best.where(F.col("field_type") == "journal_entry_id").select("file_id", "column")
+    several = id_conflicts(best)
+    cands = cands.join(several, "file_id", "left_semi").join(amounts.select("file_id"), "file_id", "left_semi")
+    roles = cands.withColumn("role", F.lit("id")).unionByName(
+        amounts.join(several, "file_id", "left_semi").select("file_id", "column", F.col("field_type").alias("role")))
+    used = cells.join(roles, ["file_id", "column"])
+    money = N.with_cleaned(used.where("role <> 'id'"), {"__x": "value"})
+    pick = lambda r: F.max(F.when(F.col("role") == r, F.col("__x").cast("decimal(18,2)")))
+    money = money.groupBy("file_id", "row_key").agg(pick("amount").alias("a"), pick("debit_amount").alias("d"), pick("credit_amount").alias("c"))
+    zero = F.lit(0).cast("decimal(18,2)")
+    money = money.select("file_id", "row_key", F.coalesce("a", F.when(F.col("d").isNotNull() | F.col("c").isNotNull(),
+                                                                     F.coalesce("d", zero) - F.coalesce("c", zero))).alias("amount"))
+    ids = used.where((F.col("role") == "id") & F.col("value").isNotNull()).select("file_id", "column", "row_key", "value")
+    sums = (ids.join(money, ["file_id", "row_key"], "left").groupBy("file_id", "column", "value")
+               .agg(F.coalesce(F.sum("amount"), zero).alias("s")))
+    share = F.count_if(F.abs("s") < tol).cast("double") / F.count(F.lit(1)).cast("double")
+    return sums.groupBy("file_id", "column").agg(share.alias("quality"))
+
+
+def best_matches(sample: DataFrame, columns: DataFrame, synonyms: DataFrame, fields: DataFrame) -> DataFrame:
+    """J03 -> J01 -> J02 -> W05: the best field of every column. ``columns`` is (file_id, column, ordinal) from the
+    headers, so a column without any value still has its name match."""
+    hinted = columns.join(detect_erp(columns).select("file_id", "erp"), "file_id", "left")
+    return best_match(exact_matches(hinted, synonyms, fields, "erp"), content_candidates(sample), columns)
+
+
+def map_columns(sample: DataFrame, synonyms: DataFrame, fields: DataFrame, threshold: float = CONFIDENCE_THRESHOLD,
+                columns: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """The lake's sample -> final mappings (file_id, column, field_type, confidence, resolution_type), P08
-    applied (confidence >= threshold)."""
-    ordinals = sample.select("file_id", "column", "ordinal").distinct()
-    exact = exact_matches(ordinals, synonyms, fields)
-    content = content_candidates(sample)
-    best = best_match(exact, content, ordinals)
-    final = resolve_conflicts(best, better_amount_flags(sample))
+    applied (confidence >= threshold). With ``cells`` journal-id conflicts are decided by balance (J08, W10)."""
+    columns = sample.select("file_id", "column", "ordinal").distinct() if columns is None else columns
+    best = best_matches(sample, columns, synonyms, fields)
+    flags = better_amount_flags(sample)
+    final = resolve_conflicts(best, flags)
+    if cells is not None and not id_conflicts(best).isEmpty():  # the whole ledger is read only where ids compete
+        final = resolve_conflicts(best, flags, balance_trial(cells, best, trusted_amounts(final)))
     return final.where(F.col("confidence") >= threshold)
 
 
+def by_priority(mappings: DataFrame) -> DataFrame:
+    """Mappings with the most certain first (for written output only: a global sort)."""
+    return mappings.orderBy(F.desc("confidence"), "file_id", "column")
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # reports over mappings
 
@@ -247,13 +320,18 @@ def mapping_summary(mappings: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def cross_file_summary(summary: DataFrame) -> DataFrame:
-    """Mean rate and confidence over files, best and worst file."""
-    return summary.agg(F.avg("mapping_rate_pct").alias("mean_rate_pct"),
-                       F.avg("mean_confidence").alias("mean_confidence"),
+    """Mean rate and confidence over files, best and worst file (lake-level columns)."""
+    return summary.agg(F.avg("mapping_rate_pct").alias("lake_mean_rate_pct"),
+                       F.avg("mean_confidence").alias("lake_mean_confidence"),
                        F.max_by("file_id", F.struct("mapping_rate_pct", F.col("file_id"))).alias("best_file"),
                        F.min_by("file_id", F.struct("mapping_rate_pct", F.col("file_id"))).alias("worst_file"))
 
 
+def erp_distribution(columns: DataFrame) -> DataFrame:
+    """Files per detected ERP."""
+    return detect_erp(columns).groupBy("erp").agg(F.count(F.lit(1)).alias("files"))
+
+
 def mapping_coherence(best: DataFrame, critical: list[str] | None = None) -> DataFrame:
     """Critical fields claimed by more than one column of a file (before conflict resolution)."""
     crit = critical or ["journal_entry_id", "amount", "posting_date", "gl_account_number"]
@@ -311,8 +389,12 @@ def merge_candidate_sources(mapper: DataFrame, validators: DataFrame) -> DataFra
 
 
 def top_candidates(cands: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` best candidates per column (row_number <= k: partial WindowGroupLimit)."""
-    w = Window.partitionBy("file_id", "column").orderBy(F.desc("confidence"), "field_type")
+    """The ``k`` best candidates per column (row_number <= k: partial WindowGroupLimit). Ties go to the mapper's
+    own candidate, then to the validators' order."""
+    from cuadre.functions.validators import VALIDATORS
+    place = F.array_position(F.array(*[F.lit(v) for v in VALIDATORS]), F.col("field_type"))
+    w = Window.partitionBy("file_id", "column").orderBy(F.desc("confidence"), F.col("source") == "content_validator",
+                                                        place, "field_type")
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

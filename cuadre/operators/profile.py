@@ -128,9 +128,8 @@ def py_float(v: Column) -> Column:
 
 
 def column_profile(sample: DataFrame, cell_df: DataFrame | None = None) -> DataFrame:
-    """Per column: non-null values seen, distinct values, inferred type (A19) and 5 sample values. With
-    ``cell_df`` (all cells) also rows and null % over the whole column (one grouped pass; distinct counts use
-    ``approx_count_distinct`` there since they are unbounded)."""
+    """Per column: inferred type (A19) and 5 sample values, and with ``cell_df`` (all cells) rows, null %
+    and distinct values of the whole column."""
     g = ["file_id", "column", "ordinal"]
     prof = sample.groupBy(*g).agg(
         F.count(F.lit(1)).alias("sampled"),
@@ -140,11 +139,17 @@ def column_profile(sample: DataFrame, cell_df: DataFrame | None = None) -> DataF
     prof = prof.withColumn("samples", F.transform("__s5", lambda s: s["value"])).drop("__s5")
     if cell_df is None:
         return prof
-    whole = cell_df.groupBy("file_id", "column").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("nulls"),
-        F.approx_count_distinct("value").alias("approx_distinct"))
-    whole = whole.withColumn("null_pct", F.round(F.col("nulls") * 100.0 / F.greatest(F.col("rows"), F.lit(1)), 2))
-    return prof.join(whole, ["file_id", "column"], "left")
+    return whole_column_counts(cell_df).join(prof, g, "left").fillna({"inferred_type": "unknown", "sampled": 0, "distinct_in_sample": 0})
+
+
+def whole_column_counts(cell_df: DataFrame) -> DataFrame:
+    """Rows, non-null values, exact distinct values and null % of every column of the lake, columns
+    without a value included. Values are counted per (column, value) first, so a hot value is one row per task."""
+    g = ["file_id", "column", "ordinal"]
+    values = cell_df.groupBy(*g, "value").agg(F.count(F.lit(1)).alias("__n"))
+    out = values.groupBy(*g).agg(F.sum("__n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("__n"))), F.lit(0)).alias("nonnull"),
+                                 F.count("value").alias("distinct_values"))
+    return out.withColumn("null_pct", F.round((F.col("rows") - F.col("nonnull")) * 100.0 / F.greatest(F.col("rows"), F.lit(1)), 2))
 
 
 def infer_type_agg() -> Column:

@@ -116,12 +116,14 @@ def alternatives(scores: DataFrame, suggestions: DataFrame, sample: DataFrame, k
         F.concat(F.col("field_type"), F.lit(" pattern: "), F.coalesce("__s3", F.lit(""))).alias("reason"))
 
 
-def review_queue(mappings: DataFrame, alts: DataFrame) -> DataFrame:
-    """X06 suggestions: every mapped column with its band (high > 0.8) and its alternatives as an array."""
+def review_queue(columns: DataFrame, mappings: DataFrame, alts: DataFrame) -> DataFrame:
+    """X06 suggestions: every column of every file with its suggestion, if there is one, its band (high > 0.8, low,
+    none) and its alternatives as an array. ``columns`` is (file_id, column, ordinal) from the headers."""
     a = alts.groupBy("file_id", "column").agg(F.array_sort(F.collect_list(
         F.struct("rank", "field_type", "confidence", "reason"))).alias("alternatives"))
-    return mappings.join(a, ["file_id", "column"], "left").withColumn(
-        "band", F.when(F.col("confidence") > HIGH_BAND, F.lit("high")).otherwise(F.lit("low")))
+    q = columns.select("file_id", "column", "ordinal").join(mappings, ["file_id", "column"], "left").join(a, ["file_id", "column"], "left")
+    return q.withColumn("band", F.when(F.col("confidence") > HIGH_BAND, F.lit("high"))
+                        .when(F.col("confidence").isNotNull(), F.lit("low")).otherwise(F.lit("none")))
 
 
 def apply_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -136,7 +138,8 @@ def apply_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:
              .when(F.col("choice") == "manual", F.lit(0.8)).otherwise(F.col("confidence")))
     kind = (F.when(F.col("choice") == "alternative", F.lit("user_correction"))
              .when(F.col("choice") == "manual", F.lit("manual_selection")).otherwise(F.lit("automatic")))
-    return j.where(F.coalesce(F.col("choice"), F.lit("accept")) != "reject").select(
+    kept = (F.coalesce(F.col("choice"), F.lit("accept")) != "reject") & field.isNotNull()
+    return j.where(kept).select(
         "file_id", "column", field.alias("field_type"), conf.alias("confidence"), kind.alias("decision_type"),
         (F.col("choice").isin("alternative", "manual") & (F.col("chosen_field") != F.col("field_type")))
         .alias("learn"))

@@ -109,3 +109,37 @@ def q_key_candidate_quality(spark, sf):
     conf = spark.createDataFrame([("l_orderkey", 0.7), ("l_partkey", 0.6), ("l_suppkey", 0.6)],
                                  "candidate string, confidence double")
     return B.key_candidate_quality(jr, ["l_orderkey", "l_partkey", "l_suppkey"], confidence=conf)
+
+
+# two ledgers with the same journal ids: the second holds the first's entries of fulfilled lines only, all negative,
+# so an id that is open in one ledger may balance or not in the other, and never both together
+TWO_LEDGERS_SQL = f"""
+  SELECT 'f1' AS file_id, journal_entry_id, amount FROM ({JOURNAL_SQL}) j
+  UNION ALL
+  SELECT 'f2', l_orderkey, -CAST(l_extendedprice AS {MONEY}) FROM lineitem WHERE l_linestatus <> 'F'
+"""
+
+
+def two_ledgers(spark, sf):
+    j = lineitem_journal(spark, sf).select(F.lit("f1").alias("file_id"), "journal_entry_id", "amount")
+    li = table(spark, sf, "lineitem").where(F.col("l_linestatus") != "F")
+    return j.unionByName(li.select(F.lit("f2").alias("file_id"), F.col("l_orderkey").alias("journal_entry_id"),
+                                   (-F.col("l_extendedprice").cast(MONEY)).alias("amount")))
+
+
+@query("lake_entry_balance", ("A02", "A03", "A04"), oracle=f"""
+  WITH e AS (SELECT file_id, journal_entry_id, sum(amount) AS s FROM ({TWO_LEDGERS_SQL}) t GROUP BY ALL)
+  SELECT file_id, journal_entry_id, CAST(s AS DOUBLE) AS amount_sum, CAST(s AS DOUBLE) AS balance_difference,
+         abs(s) < 0.01 AS is_balanced FROM e""")
+def q_lake_entry_balance(spark, sf):
+    return _money_out(B.entry_balance(two_ledgers(spark, sf), group_cols=["file_id"]), "amount_sum", "balance_difference")
+
+
+@query("lake_balance_report", ("A01", "A05", "A06", "A07", "A08"), oracle=f"""
+  WITH e AS (SELECT file_id, journal_entry_id, sum(amount) AS s FROM ({TWO_LEDGERS_SQL}) t GROUP BY ALL),
+  r AS (SELECT file_id, sum(s) AS tot, count(*) AS n, count(*) FILTER (WHERE abs(s) < 0.01) AS b FROM e GROUP BY file_id)
+  SELECT file_id, CAST(tot AS DOUBLE) AS total_amount_sum, abs(tot) < 0.01 AS is_balanced, n AS entries_count,
+         b AS balanced_entries_count, n - b AS unbalanced_entries_count, CAST(b AS DOUBLE) / n * 100.0 AS balance_rate_pct,
+         CAST(abs(tot) < 0.01 AS DOUBLE) * 0.5 + CAST(b AS DOUBLE) / n * 0.5 AS quality_score FROM r""")
+def q_lake_balance_report(spark, sf):
+    return _money_out(B.balance_report(two_ledgers(spark, sf), group_cols=["file_id"]), "total_amount_sum")

@@ -18,7 +18,7 @@ from cuadre.plans import duck
 from cuadre.plans.q_balance import ENTRY_SQL, JOURNAL_SQL
 from cuadre.plans.q_journal import RAW, ROW_ORDER
 from cuadre.plans.q_lines import _CONV_SQL, conv_lines
-from cuadre.plans.q_mapping import _sample_sql, lake_sample
+from cuadre.plans.q_mapping import _mappings, _sample_sql, lake_cells, lake_columns, lake_sample
 from cuadre.plans.registry import query
 from cuadre.plans.views import lineitem_journal, raw_ledger
 from cuadre.sources import catalog as C
@@ -35,13 +35,12 @@ def _erp_sql():
 @query("erp_detect", ("J03",), oracle=f"""
   WITH {_sample_sql(1)},
   h AS (SELECT file_id, string_agg(lower("column"), ' ' ORDER BY ordinal) AS header
-        FROM (SELECT DISTINCT file_id, "column", ordinal FROM sample) c GROUP BY file_id),
+        FROM headers GROUP BY file_id),
   s AS ({_erp_sql()}),
   b AS (SELECT file_id, arg_max(erp, (score, -o)) AS erp, max(score) AS erp_score FROM s GROUP BY file_id)
   SELECT file_id, erp_score, CASE WHEN erp_score > 0.3 THEN erp ELSE 'Generic_ES' END AS erp FROM b""")
 def q_erp_detect(spark, sf):
-    cols = lake_sample(spark, sf).select("file_id", "column", "ordinal").distinct()
-    return M.detect_erp(cols)
+    return M.detect_erp(lake_columns(spark))
 
 
 @query("weighted_balance_score", ("A09",), oracle=f"""
@@ -113,41 +112,46 @@ def q_examples_per_label(spark, sf):
 
 @query("detect_fields", ("X03", "K05", "N14", "J10", "A20", "V14", "A34"))
 def q_detect_fields(spark, sf):
-    s = lake_sample(spark, sf)
-    ords = s.select("file_id", "column", "ordinal").distinct()
-    exact = M.exact_matches(ords, C.synonyms(spark), C.field_definitions(spark))
-    best = M.best_match(exact, M.content_candidates(s), ords)
+    s, cols = lake_sample(spark, sf, 20), lake_columns(spark)
+    best = M.best_matches(s, cols, C.synonyms(spark), C.field_definitions(spark))
     vals = P.validator_scores(s)
-    cands = M.merge_candidate_sources(best, vals)
-    top = M.top_candidates(cands, 3)
+    top = M.top_candidates(M.merge_candidate_sources(best, vals), 3)
     fixed = M.smart_corrections(top, vals)
-    nonnull = s.groupBy("file_id", "column").agg(F.count("value").alias("nonnull"), F.count(F.lit(1)).alias("rows"))
-    quality = M.detection_quality(fixed, ords, nonnull)
+    quality = M.detection_quality(fixed, cols, P.whole_column_counts(lake_cells(spark, sf)))
     return fixed.join(quality, "file_id", "left")
 
 
-@query("mapping_checks", ("A22", "A24", "A25", "D12"))
+@query("column_coverage", ("A20", "A33"), oracle=f"""
+  WITH {_sample_sql(1)}
+  SELECT file_id, "column", ordinal, count(*) AS "rows", count(value) AS nonnull, count(DISTINCT value) AS distinct_values,
+         round((count(*) - count(value)) * 100.0::DOUBLE / count(*), 2) AS null_pct FROM allcells GROUP BY ALL""")
+def q_column_coverage(spark, sf):
+    return P.whole_column_counts(lake_cells(spark, sf))
+
+
+@query("mapping_checks", ("A21", "A22", "A24", "A25", "D12"))
 def q_mapping_checks(spark, sf):
-    s = lake_sample(spark, sf)
-    ords = s.select("file_id", "column", "ordinal").distinct()
-    exact = M.exact_matches(ords, C.synonyms(spark), C.field_definitions(spark))
-    best = M.best_match(exact, M.content_candidates(s), ords)
+    s, cols = lake_sample(spark, sf), lake_columns(spark)
+    best = M.best_matches(s, cols, C.synonyms(spark), C.field_definitions(spark))
     final = M.resolve_conflicts(best, M.better_amount_flags(s)).where(F.col("confidence") >= M.CONFIDENCE_THRESHOLD)
-    years = s.groupBy("file_id", "column").agg(F.count_distinct(D.year_of(F.col("value"))).alias("distinct_years"))
-    fixed = M.single_year_date_fix(final, years)
-    summary = M.mapping_summary(fixed, ords)
+    # years of the whole column, but only of the columns that could be re-tagged
+    dates = final.where(F.col("field_type") == "entry_date").select("file_id", "column")
+    whole = lake_cells(spark, sf).join(dates, ["file_id", "column"], "left_semi")
+    years = whole.groupBy("file_id", "column").agg(F.count_distinct(D.year_of(F.col("value"))).alias("distinct_years"))
+    summary = M.mapping_summary(M.single_year_date_fix(final, years), cols)
     coherence = M.mapping_coherence(best).groupBy("file_id").agg(
         F.count(F.lit(1)).alias("critical_conflicts"))
+    erp = M.detect_erp(cols).select("file_id", "erp")
+    same = M.erp_distribution(cols).withColumnRenamed("files", "erp_files")
     cross = M.cross_file_summary(summary)
-    return summary.join(coherence, "file_id", "left").fillna({"critical_conflicts": 0}).crossJoin(
-        F.broadcast(cross))  # 1-row global summary
+    out = summary.join(coherence, "file_id", "left").fillna({"critical_conflicts": 0}).join(erp, "file_id").join(same, "erp")
+    return out.crossJoin(F.broadcast(cross))  # 1-row global summary
 
 
 @query("catalog_learn", ("U02", "U03", "U04", "U05", "A32", "J11", "X06"))
 def q_catalog_learn(spark, sf):
-    s = lake_sample(spark, sf)
     syn = C.synonyms(spark)
-    mappings = M.map_columns(s, syn, C.field_definitions(spark))
+    mappings = _mappings(spark, sf)
     v2 = CO.upsert_synonyms(syn, CO.learned_synonyms(mappings, syn))
     stats = CO.catalogue_stats(v2)
     return CO.display_names(stats, C.field_definitions(spark))
@@ -156,7 +160,7 @@ def q_catalog_learn(spark, sf):
 @query("review_queue", ("X06", "A16", "A17", "K06"))
 def q_review_queue(spark, sf):
     from cuadre.operators import review as R
-    s = lake_sample(spark, sf)
-    mappings = M.map_columns(s, C.synonyms(spark), C.field_definitions(spark))
+    s = lake_sample(spark, sf, 20)
+    mappings = _mappings(spark, sf)
     scores = R.content_scores(R.manual_type_profile(s))
-    return R.review_queue(mappings, R.alternatives(scores, mappings, s))
+    return R.review_queue(lake_columns(spark), mappings, R.alternatives(scores, mappings, s))

@@ -4,6 +4,8 @@ J01, J04, J05, X01)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cuadre.operators import mapping as M
@@ -20,9 +22,23 @@ LAKE = {  # file_id -> (table, columns, row order)
     "orders": ("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
                           "o_orderpriority"], "o_orderkey"),
     "customer": ("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "c_custkey"),
-    "supplier": ("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "s_suppkey"),
+    "supplier": ("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal", "s_vacio"], "s_suppkey"),
     "part": ("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "p_partkey"),
 }
+NULL_COLUMNS = {"s_vacio"}  # a header without any value below it
+
+
+def lake_columns(spark):
+    """(file_id, column, ordinal) from the files' headers."""
+    rows = [(fid, c, i) for fid, (_, cols, _) in LAKE.items() for i, c in enumerate(cols, 1)]
+    return spark.createDataFrame(rows, "file_id string, column string, ordinal int")
+
+
+def lake_cells(spark, sf):
+    """Every cell of the lake: (file_id, column, ordinal, row_key, value)."""
+    parts = [P.cells(f[1], f[0], f[2], f[3]).withColumn("row_key", F.to_json(F.struct("row_order"))) for f in lake_files(spark, sf)]
+    parts = [p.select("file_id", "column", "ordinal", "row_key", "value") for p in parts]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def lake_files(spark, sf):
@@ -33,7 +49,8 @@ def lake_files(spark, sf):
             files.append((fid, df.select(*cols, "row_id"), F.col("row_id"), cols, F.col("row_id.l_orderkey")))
         else:
             df = table(spark, sf, tname)
-            conv = [F.date_format(c, "yyyy-MM-dd").alias(c) if c.endswith("date") else F.col(c) for c in cols]
+            conv = [F.lit(None).cast("string").alias(c) if c in NULL_COLUMNS
+                    else F.date_format(c, "yyyy-MM-dd").alias(c) if c.endswith("date") else F.col(c) for c in cols]
             files.append((fid, df.select(*conv, F.col(order).alias("__order")), F.col("__order"), cols))
     return files
 
@@ -67,12 +84,16 @@ def _sample_sql(n=P.SAMPLE_N):
                 src, ordby, expr = "raw", raw_order, c
             else:
                 src, ordby = tname, order
-                expr = f"strftime({c}, '%Y-%m-%d')" if c.endswith("date") else f"CAST({c} AS VARCHAR)"
+                expr = (f"strftime({c}, '%Y-%m-%d')" if c.endswith("date")
+                        else f"CAST({'NULL' if c in NULL_COLUMNS else c} AS VARCHAR)")
             parts.append(f"SELECT '{fid}' AS file_id, '{c}' AS \"column\", {i} AS ordinal, {expr} AS value, "
-                         f"row_number() OVER (ORDER BY {ordby}) AS ro FROM {src} WHERE {expr} IS NOT NULL")
+                         f"row_number() OVER (ORDER BY {ordby}) AS ro FROM {src}")
     union = "\n    UNION ALL ".join(parts)
+    headers = ", ".join(f"('{fid}', '{c}', {i})" for fid, (_, cols, _) in LAKE.items() for i, c in enumerate(cols, 1))
     return f"""{duck.raw_ledger_cte()},
-  cells AS ({union}),
+  headers(file_id, "column", ordinal) AS (VALUES {headers}),
+  allcells AS ({union}),
+  cells AS (SELECT * FROM allcells WHERE value IS NOT NULL),
   sample AS (SELECT file_id, "column", ordinal, value,
                     row_number() OVER (PARTITION BY file_id, "column" ORDER BY ro) AS rn FROM cells
              QUALIFY rn <= {n})"""
@@ -83,8 +104,10 @@ def _pyfloat(v):
 
 
 @query("column_profile", ("A10", "A19", "A33", "W08", "S02"), oracle=f"""
-  WITH {_sample_sql()}
-  SELECT file_id, "column", ordinal, count(*) AS sampled, count(DISTINCT value) AS distinct_in_sample,
+  WITH {_sample_sql()},
+  w AS (SELECT file_id, "column", ordinal, count(*) AS "rows", count(value) AS nonnull, count(DISTINCT value) AS distinct_values,
+               round((count(*) - count(value)) * 100.0::DOUBLE / count(*), 2) AS null_pct FROM allcells GROUP BY ALL),
+  t AS (SELECT file_id, "column",
          CASE WHEN count(*) FILTER (WHERE rn <= 10) = 0 THEN 'unknown'
               WHEN CAST(count(*) FILTER (WHERE rn <= 10 AND ({' OR '.join(f"regexp_matches(trim(value), '{p}')" for p in
               __import__('cuadre.functions.dates', fromlist=['x']).DATE_LIKE_3)})) AS DOUBLE)
@@ -93,10 +116,11 @@ def _pyfloat(v):
                    / count(*) FILTER (WHERE rn <= 10) > 0.6 THEN 'numeric'
               ELSE 'text' END AS inferred_type,
          string_agg(CASE WHEN rn <= 5 THEN value END, '|' ORDER BY rn) AS samples_text
-  FROM sample GROUP BY file_id, "column", ordinal""")
+  FROM sample GROUP BY file_id, "column")
+  SELECT w.*, coalesce(inferred_type, 'unknown') AS inferred_type, samples_text FROM w LEFT JOIN t USING (file_id, "column")""")
 def q_column_profile(spark, sf):
-    prof = P.column_profile(lake_sample(spark, sf))
-    return prof.select("file_id", "column", "ordinal", "sampled", "distinct_in_sample", "inferred_type",
+    prof = P.column_profile(lake_sample(spark, sf), lake_cells(spark, sf))
+    return prof.select("file_id", "column", "ordinal", "rows", "nonnull", "distinct_values", "null_pct", "inferred_type",
                        F.array_join("samples", "|").alias("samples_text"))
 
 
@@ -184,7 +208,7 @@ _PROBLEM = " OR ".join(f"(starts_with(lower(c.\"column\"), '{p}') AND strpos('{p
 
 @query("name_matches", ("J01", "T01", "T04"), oracle=f"""
   WITH {_sample_sql()}, {_catalogue_sql()},
-  cols AS (SELECT DISTINCT file_id, "column" FROM sample),
+  cols AS (SELECT file_id, "column" FROM headers),
   hits AS (
     SELECT c.file_id, c."column", s.field_type,
            least(CAST(0.85 AS DOUBLE) + CAST(0.1 AS DOUBLE) * CAST(s.boost AS DOUBLE), CAST(1.0 AS DOUBLE)) AS conf
@@ -195,13 +219,13 @@ _PROBLEM = " OR ".join(f"(starts_with(lower(c.\"column\"), '{p}') AND strpos('{p
   SELECT h.file_id, h."column", h.field_type, max(conf) AS exact_conf, any_value(f.field_order) AS field_order
   FROM hits h LEFT JOIN fld f USING (field_type) GROUP BY h.file_id, h."column", h.field_type""")
 def q_name_matches(spark, sf):
-    cols = lake_sample(spark, sf).select("file_id", "column").distinct()
-    return M.exact_matches(cols, C.synonyms(spark), C.field_definitions(spark)).select(
+    return M.exact_matches(lake_columns(spark), C.synonyms(spark), C.field_definitions(spark)).select(
         "file_id", "column", "field_type", "exact_conf", "field_order")
 
 
 def _mappings(spark, sf):
-    return M.map_columns(lake_sample(spark, sf), C.synonyms(spark), C.field_definitions(spark))
+    return M.map_columns(lake_sample(spark, sf), C.synonyms(spark), C.field_definitions(spark),
+                         columns=lake_columns(spark), cells=lake_cells(spark, sf))
 
 
 @query("map_columns", ("X01", "J02", "N13", "W05", "W06", "W07", "K04", "P08", "A14", "A15", "A18", "T05", "T06"))
@@ -212,18 +236,61 @@ def q_map_columns(spark, sf):
 @query("mapping_table", ("J04", "J05"))
 def q_mapping_table(spark, sf):
     m = _mappings(spark, sf)
-    files = lake_sample(spark, sf).select("file_id").distinct()
-    return M.mapping_table(m, files)
+    return M.mapping_table(m, lake_columns(spark))
 
 
 @query("mapping_summary", ("A21", "A23"))
 def q_mapping_summary(spark, sf):
-    s = lake_sample(spark, sf)
     m = _mappings(spark, sf)
-    return M.mapping_summary(m, s.select("file_id", "column").distinct()).join(
+    return M.mapping_summary(m, lake_columns(spark)).join(
         M.decision_stats(m), "file_id", "left")
 
 
+# a ledger whose columns compete: two journal ids (the name match prefers the wrong one, only the order key balances),
+# a total and a local amount, a forced header, a more specific date name
+CONFLICT_COLS = ["NumAsiento", "Asiento", "Header description", "Fecha", "Fecha date", "Importe", "Importe Local"]
+CONFLICT_SYNONYMS = C.SYNONYMS + [("amount", "Generic_ES", "Importe Local", 0.9), ("posting_date", "Generic_ES", "Fecha date", 0.9)]
+
+
+def conflict_ledger(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_shipdate", "l_linestatus")
+    side = F.explode(F.when(F.col("l_linestatus") == "F", F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1))))
+    price = F.col("l_extendedprice").cast("decimal(18,2)") * F.col("side")
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    return li.withColumn("side", side).select(
+        F.col("l_suppkey").alias("NumAsiento"), F.col("l_orderkey").alias("Asiento"), F.lit("cierre").alias("Header description"),
+        day.alias("Fecha"), day.alias("Fecha date"), price.cast("decimal(18,2)").alias("Importe"), price.cast("decimal(18,2)").alias("Importe Local"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "side").alias("__order"))
+
+
+def conflict_inputs(spark, sf):
+    wide = conflict_ledger(spark, sf)
+    cells = P.cells(wide, "cierre", F.col("__order"), CONFLICT_COLS, F.col("__order.l_orderkey"))
+    columns = spark.createDataFrame([("cierre", c, i) for i, c in enumerate(CONFLICT_COLS, 1)], "file_id string, column string, ordinal int")
+    keyed = cells.select("file_id", "column", "ordinal", F.to_json(F.struct("row_order")).alias("row_key"), "value")
+    return P.first_values(cells), columns, keyed
+
+
+@query("map_columns_conflicts", ("X01", "W06", "W07", "W10", "J08", "P21", "T05", "T06", "A18"))
+def q_map_columns_conflicts(spark, sf):
+    sample, columns, cells = conflict_inputs(spark, sf)
+    return M.map_columns(sample, C.synonyms(spark, CONFLICT_SYNONYMS), C.field_definitions(spark), columns=columns, cells=cells)
+
+
+@query("balance_trial", ("J08", "W10", "P21", "A05"), oracle="""
+  WITH j AS (SELECT l_orderkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem
+             UNION ALL SELECT l_orderkey, l_suppkey, -CAST(l_extendedprice AS DECIMAL(18,2)) FROM lineitem WHERE l_linestatus = 'F'),
+  e AS (SELECT 'Asiento' AS "column", l_orderkey AS k, sum(amount) AS s FROM j GROUP BY l_orderkey
+        UNION ALL SELECT 'NumAsiento', l_suppkey, sum(amount) FROM j GROUP BY l_suppkey)
+  SELECT 'cierre' AS file_id, "column", CAST(count(*) FILTER (WHERE abs(s) < 0.01) AS DOUBLE) / count(*) AS quality
+  FROM e GROUP BY "column" """)
+def q_balance_trial(spark, sf):
+    sample, columns, cells = conflict_inputs(spark, sf)
+    best = M.best_matches(sample, columns, C.synonyms(spark, CONFLICT_SYNONYMS), C.field_definitions(spark))
+    amounts = M.trusted_amounts(M.resolve_conflicts(best, M.better_amount_flags(sample)))
+    return M.balance_trial(cells, best, amounts)
+
+
 @query("validator_scores", ("V01", "V02", "V03", "V04", "V05", "V06", "V07", "V08", "V09", "V10", "V11", "V12",
                             "V13", "V14", "F01"))
 def q_validator_scores(spark, sf):

@@ -26,16 +26,22 @@ def ledger_stream(spark: SparkSession, folder: str, columns: list[str], sep: str
             .withColumn("file_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)))
 
 
-def streaming_entry_balance(lines: DataFrame, mapping: dict[str, str], tol: float = DEFAULT_TOLERANCE) -> DataFrame:
+def streaming_entry_balance(lines: DataFrame, mapping: dict[str, str], tol: float = DEFAULT_TOLERANCE,
+                            group_cols: list[str] | None = None) -> DataFrame:
     """Per-entry running balance: rename (P01), amount from debit/credit or amount text (N01/N06), then a
-    stateful ``groupBy(journal_entry_id).sum`` with the balanced flag (A02)."""
+    stateful sum per journal id with the balanced flag (A02). ``group_cols`` names the ledger (``file_id`` where each
+    file is one), so that ids of different ledgers stay apart; without it all files belong to one ledger.
+
+    An entry may get lines at any time, so its sum stays in the state until the query is restarted on a new
+    checkpoint (a close-out period); the state has one row per entry, not per line."""
     df = lines.withColumnsRenamed({k: v for k, v in mapping.items() if k in lines.columns})
     if "amount" in df.columns:
         amount = N.clean_amount("amount")
     else:
         amount = N.debit_credit_to_amount(N.clean_amount("debit_amount"), N.clean_amount("credit_amount"))
-    df = df.select(F.col("journal_entry_id"), amount.cast("decimal(18,2)").alias("amount"))
-    agg = df.where(F.col("journal_entry_id").isNotNull()).groupBy("journal_entry_id").agg(
+    g = group_cols or []
+    df = df.select(*g, F.col("journal_entry_id"), amount.cast("decimal(18,2)").alias("amount"))
+    agg = df.where(F.col("journal_entry_id").isNotNull()).groupBy(*g, "journal_entry_id").agg(
         F.coalesce(F.sum("amount"), F.lit(0)).alias("amount_sum"), F.count(F.lit(1)).alias("lines"))
     return agg.withColumn("is_balanced", F.abs(F.col("amount_sum")) < F.lit(tol))
 
