@@ -1,7 +1,7 @@
 """Date and time text handling (D01-D12) as native Column expressions.
 
 Parsing uses explicit formats with ``try_to_timestamp`` (never a lenient guesser), and the day-first / month-first
-reading is decided once per column (see ``column_date_profile``), so one column never mixes both readings.
+reading is decided once per column (see ``date_decisions``), so one column never mixes both readings.
 """
 
 from __future__ import annotations
@@ -185,50 +185,6 @@ def year_of(v) -> Column:
 # ---------------------------------------------------------------------------------------------------------------
 # per-column decision (D04) and split
 
-def column_date_profile(df: DataFrame, column: str, order_col: str, group_cols: list[str] | None = None,
-                        sample: int = 10) -> DataFrame:
-    """Per group (e.g. file_id), from the first ``sample`` non-null values in ``order_col`` order: shares of pure
-    dates / pure times counted up to the first combined date-time value, whether one was seen, the action
-    ('convert' | 'leave' | 'split') and the day-first decision.
-
-    Day-first is decided over the whole column: month-first iff some second component exceeds 12 and no first
-    component does. The sample uses ``row_number() <= sample``, which Spark plans with a partial WindowGroupLimit
-    before the shuffle, so a huge group never reaches one task whole.
-    """
-    from pyspark.sql import Window as W
-    g = group_cols or []
-    v = _strip(F.col(column))
-    base = df.select(*g, F.col(order_col).alias("__o"), v.alias("__v")).where(F.col("__v").isNotNull())
-    w = W.partitionBy(*g).orderBy("__o") if g else W.orderBy("__o")
-    smp = (base.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= sample)
-               .select(*g, "__rn", _any(F.col("__v"), PURE_DATE_PATTERNS).alias("pd"),
-                       _any(F.col("__v"), PURE_TIME_PATTERNS).alias("pt"),
-                       _any(F.col("__v"), COMBINED_PATTERNS).alias("cb")))
-    agg_exprs = [F.count(F.lit(1)).alias("n"),
-                 F.min(F.when(~F.col("pd") & ~F.col("pt") & F.col("cb"), F.col("__rn"))).alias("first_cb")]
-    s1 = smp.groupBy(*g).agg(*agg_exprs) if g else smp.agg(*agg_exprs)
-    s2 = smp.join(s1, g, "inner") if g else smp.crossJoin(s1)
-    cnt = [F.count_if(F.col("pd") & (F.col("first_cb").isNull() | (F.col("__rn") < F.col("first_cb"))))
-            .alias("pure_dates"),
-           F.count_if(F.col("pt") & (F.col("first_cb").isNull() | (F.col("__rn") < F.col("first_cb"))))
-            .alias("pure_times"),
-           F.first("n").alias("samples"), F.max(F.col("first_cb").isNotNull()).alias("datetime_detected")]
-    prof = s2.groupBy(*g).agg(*cnt) if g else s2.agg(*cnt)
-    parts = F.regexp_extract(v, r"^(\d{1,2})[./-](\d{1,2})[./-]\d{2,4}", 1).try_cast("int")
-    parts2 = F.regexp_extract(v, r"^(\d{1,2})[./-](\d{1,2})[./-]\d{2,4}", 2).try_cast("int")
-    dfa = [F.max(F.coalesce(parts > 12, F.lit(False))).alias("first_gt12"),
-           F.max(F.coalesce(parts2 > 12, F.lit(False))).alias("second_gt12")]
-    day = df.groupBy(*g).agg(*dfa) if g else df.agg(*dfa)
-    prof = prof.join(day, g, "left") if g else prof.crossJoin(day)
-    pd_ratio = F.col("pure_dates") / F.col("samples")
-    pt_ratio = F.col("pure_times") / F.col("samples")
-    return prof.select(
-        *g, "samples", "pure_dates", "pure_times", "datetime_detected",
-        F.when(pd_ratio >= 0.7, F.lit("convert")).when(pt_ratio >= 0.7, F.lit("leave"))
-         .when(~F.col("datetime_detected"), F.lit("convert")).otherwise(F.lit("split")).alias("action"),
-        (~(F.col("second_gt12") & ~F.col("first_gt12"))).alias("dayfirst"))
-
-
 def date_decisions(df: DataFrame, fields: list[str], order_col: str, group_cols: list[str] | None = None,
                    sample: int = 10) -> DataFrame:
     """D04 for several date fields in one pass: one row per group with ``__a_<field>`` (action) and ``__d_<field>``

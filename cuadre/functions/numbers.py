@@ -147,7 +147,20 @@ def _n04() -> S.Formula:
     ]
 
 
-FORMULAS = {"clean_amount": _n01, "clean_trial_balance_number": _n02, "parse_amount_manual": _n03,
+def _n01_fixed() -> S.Formula:
+    """N01 with its quirks mended: a trailing minus counts, '1.234.567' is an integer, text without digits is 0."""
+    steps = _n01()
+    steps[0] = {"s0": lambda g: _strip(g("v").cast("string"))}
+    late = r"^[^-]*[0-9][^0-9-]*-$"  # a minus only after the last digit
+    groups = r"^[^0-9.,]*[0-9]{1,3}(\.[0-9]{3}){2,}[^0-9.,]*$"
+    steps.insert(1, {"s1": lambda g: F.when(g("s0").rlike(late), F.concat(F.lit("-"), F.regexp_replace(g("s0"), "-$", ""))).otherwise(g("s0"))})
+    steps.insert(2, {"s": lambda g: F.when(g("s1").rlike(groups), F.regexp_replace(g("s1"), r"\.", "")).otherwise(g("s1"))})
+    quirk = steps[-1]["out"]
+    steps[-1] = {"out": lambda g: F.coalesce(quirk(g), F.lit(0.0))}
+    return steps
+
+
+FORMULAS = {"clean_amount": _n01, "clean_amount_fixed": _n01_fixed, "clean_trial_balance_number": _n02, "parse_amount_manual": _n03,
             "first_number": _n04}
 
 

@@ -33,9 +33,3 @@ def clean_account_number(v: Column | str) -> Column:
     """Null -> '', '123.0' (integral float text) -> '123', otherwise the trimmed text."""
     t = F.trim(_c(v).cast("string"))
     return F.when(_c(v).isNull(), F.lit("")).otherwise(F.regexp_replace(t, r"^(\d+)\.0+$", "$1"))
-
-
-def forced_header_description(name: Column | str) -> Column:
-    """A column named like a header description ('cabecera'/'header' and 'description')."""
-    low = F.lower(_c(name))
-    return (low.contains("cabecera") | low.contains("header")) & low.contains("description")

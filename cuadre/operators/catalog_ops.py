@@ -60,5 +60,5 @@ def catalogue_stats(synonyms: DataFrame) -> DataFrame:
 def display_names(df: DataFrame, fields: DataFrame, col: str = "field_type") -> DataFrame:
     """Field type -> catalogue display name, else the code itself."""
     f = fields.select(F.col("field_type").alias("__f"), F.col("display_name"))
-    return df.join(F.broadcast(f), df[col] == f["__f"], "left").drop("__f") \
+    return df.join(f, df[col] == f["__f"], "left").drop("__f") \
              .withColumn("display_name", F.coalesce("display_name", F.col(col)))

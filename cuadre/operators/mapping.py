@@ -15,13 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuadre.operators import profile as P
+from cuadre.operators.journal import STANDARD_FIELDS
 
 # fixed values: rule lists
-STANDARD_FIELDS = [
-    "journal_entry_id", "line_number", "description", "line_description", "posting_date", "fiscal_year",
-    "period_number", "gl_account_number", "amount", "debit_amount", "credit_amount", "debit_credit_indicator",
-    "prepared_by", "entry_date", "entry_time", "gl_account_name", "vendor_id",
-]
 AMOUNT_PRIORITY_WORDS = ["amount", "importe", "saldo", "debe", "haber", "debit", "credit"]
 AMOUNT_INDICATORS = ["saldo", "balance", "importe", "amount", "total"]
 LOCAL_AMOUNT_MARKERS = ["local", "loc.", "ml", "lm"]
@@ -275,11 +271,14 @@ def map_columns(sample: DataFrame, synonyms: DataFrame, fields: DataFrame, thres
     """The lake's sample -> final mappings (file_id, column, field_type, confidence, resolution_type), P08
     applied (confidence >= threshold). With ``cells`` journal-id conflicts are decided by balance (J08, W10)."""
     columns = sample.select("file_id", "column", "ordinal").distinct() if columns is None else columns
+    from cuadre.session import cut_lineage
     best = best_matches(sample, columns, synonyms, fields)
     flags = better_amount_flags(sample)
+    if cells is not None:  # one row per column: computed once, read by every step below
+        best, flags = cut_lineage(best), cut_lineage(flags)
     final = resolve_conflicts(best, flags)
     if cells is not None and not id_conflicts(best).isEmpty():  # the whole ledger is read only where ids compete
-        final = resolve_conflicts(best, flags, balance_trial(cells, best, trusted_amounts(final)))
+        final = resolve_conflicts(best, flags, cut_lineage(balance_trial(cells, best, trusted_amounts(final))))
     return final.where(F.col("confidence") >= threshold)
 
 

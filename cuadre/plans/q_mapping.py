@@ -8,11 +8,13 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from cuadre.operators import closeout as X
 from cuadre.operators import mapping as M
 from cuadre.operators import profile as P
 from cuadre.plans import duck
 from cuadre.plans.registry import query
 from cuadre.plans.views import raw_ledger
+from cuadre.session import cut_lineage
 from cuadre.sources import catalog as C
 from cuadre.sources.tables import table
 
@@ -64,7 +66,6 @@ def lake_sample(spark, sf, n=P.SAMPLE_N):
     table instead of re-running scan + unpivot + window."""
     import os
 
-    from cuadre.session import cut_lineage
     key = (spark.sparkContext.applicationId, os.path.abspath(sf), n)
     if key not in _SAMPLES:
         _SAMPLES[key] = cut_lineage(P.lake_sample(lake_files(spark, sf), n))
@@ -268,7 +269,7 @@ def conflict_inputs(spark, sf):
     cells = P.cells(wide, "cierre", F.col("__order"), CONFLICT_COLS, F.col("__order.l_orderkey"))
     columns = spark.createDataFrame([("cierre", c, i) for i, c in enumerate(CONFLICT_COLS, 1)], "file_id string, column string, ordinal int")
     keyed = cells.select("file_id", "column", "ordinal", F.to_json(F.struct("row_order")).alias("row_key"), "value")
-    return P.first_values(cells), columns, keyed
+    return cut_lineage(P.first_values(cells)), columns, keyed
 
 
 @query("map_columns_conflicts", ("X01", "W06", "W07", "W10", "J08", "P21", "T05", "T06", "A18"))
@@ -291,6 +292,38 @@ def q_balance_trial(spark, sf):
     return M.balance_trial(cells, best, amounts)
 
 
+def close_out_inputs(spark, sf):
+    """Cells and mappings of the raw ledger export and the conflict ledger, each mapped from its own cells."""
+    s1, c1, k1 = conflict_inputs(spark, sf)
+    ledger = lake_files(spark, sf)[0]
+    k2 = P.cells(ledger[1], ledger[0], ledger[2], ledger[3], ledger[4])
+    k2 = k2.select("file_id", "column", "ordinal", F.to_json(F.struct("row_order")).alias("row_key"), "value")
+    s2 = lake_sample(spark, sf).where("file_id = 'ledger'")
+    c2 = lake_columns(spark).where("file_id = 'ledger'")
+    cells = k1.unionByName(k2)
+    m = M.map_columns(s1.unionByName(s2), C.synonyms(spark, CONFLICT_SYNONYMS), C.field_definitions(spark), columns=c1.unionByName(c2), cells=cells)
+    return cells, cut_lineage(m)
+
+
+@query("close_out", ("X05", "X01", "X12", "J08", "A06", "A07", "A08"), oracle="""
+  WITH j AS (SELECT 'cierre' AS file_id, l_orderkey AS k, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem
+             UNION ALL SELECT 'cierre', l_orderkey, -CAST(l_extendedprice AS DECIMAL(18,2)) FROM lineitem WHERE l_linestatus = 'F'
+             UNION ALL SELECT 'ledger', l_orderkey, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(l_extendedprice AS DECIMAL(18,2)) FROM lineitem),
+  e AS (SELECT file_id, k, sum(amount) AS s, count(*) AS n FROM j GROUP BY ALL),
+  r AS (SELECT file_id, sum(s) AS tot, count(*) AS n, count(*) FILTER (WHERE abs(s) < 0.01) AS b, CAST(sum(n) AS BIGINT) AS rws FROM e GROUP BY file_id)
+  SELECT file_id, CAST(tot AS DOUBLE) AS total_amount_sum, abs(tot) < 0.01 AS is_balanced, n AS entries_count, b AS balanced_entries_count,
+         n - b AS unbalanced_entries_count, CAST(b AS DOUBLE) / n * 100.0 AS balance_rate_pct,
+         CAST(abs(tot) < 0.01 AS DOUBLE) * 0.5 + CAST(b AS DOUBLE) / n * 0.5 AS quality_score, rws AS "rows", rws AS rows_with_amount FROM r""")
+def q_close_out(spark, sf):
+    out = X.close_out(*close_out_inputs(spark, sf))
+    return out.withColumn("total_amount_sum", F.col("total_amount_sum").cast("double"))
+
+
+@query("decision_report", ("X13", "A23"))
+def q_decision_report(spark, sf):
+    return X.decision_report(close_out_inputs(spark, sf)[1])
+
+
 @query("validator_scores", ("V01", "V02", "V03", "V04", "V05", "V06", "V07", "V08", "V09", "V10", "V11", "V12",
                             "V13", "V14", "F01"))
 def q_validator_scores(spark, sf):

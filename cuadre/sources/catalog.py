@@ -137,3 +137,20 @@ def valid_synonyms(syn: DataFrame) -> tuple[DataFrame, DataFrame]:
                .when(~F.col("field_type").rlike(r"^[a-z][a-z0-9_]*$"), F.lit("invalid field code")))
     tagged = syn.withColumn("reason", reason)
     return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())
+
+
+#: fixed values: data types of field definitions
+FIELD_TYPES = ["numeric", "text", "date", "time", "datetime", "alphanumeric", "currency", "percentage", "boolean", "email", "url", "phone"]
+
+
+def valid_fields(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """P20 on field definitions: a well-formed code, used once, a name and a known type. Returns (valid, rejected with
+    a ``reason``)."""
+    from pyspark.sql import Window
+    again = F.row_number().over(Window.partitionBy("field_type").orderBy("field_order")) > 1
+    reason = (F.when(F.col("field_type").isNull() | ~F.col("field_type").rlike(r"^[a-z][a-z0-9_]*$"), F.lit("invalid field code"))
+               .when(F.col("display_name").isNull() | (F.trim("display_name") == ""), F.lit("empty name"))
+               .when(~F.coalesce(F.col("data_type").isin(*FIELD_TYPES), F.lit(False)), F.lit("unknown type"))
+               .when(again, F.lit("code used twice")))
+    tagged = fields.withColumn("reason", reason)
+    return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())
