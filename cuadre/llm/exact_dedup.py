@@ -69,14 +69,17 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Rows find their verdict by SHA-256 and id. Where the id that stays is on several rows of its group (the same row
     again, or a shorter copy under the same id), the longest of them is taken.
     """
-    sha, size, key = free_names(docs, "text_sha", "text_size", "kept_id")
+    sha, size, key, k_sha, k_id = free_names(docs, "text_sha", "text_size", "kept_id", "k_sha", "k_id")
     groups = dedup(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    keep = stage(groups.groupBy(F.col("text_sha256").alias("k_sha"), F.col("keep_id").alias("k_id"))
+    keep = stage(groups.groupBy(F.col("text_sha256").alias(k_sha), F.col("keep_id").alias(k_id))
                  .agg(F.count(F.lit(1)).alias("same")), "keep")
     cols = [f"`{c}`" for c in docs.columns]
     mine = docs.withColumn(sha, F.sha2(normalised(text_col).cast("binary"), 256))
-    match = (F.col(sha) == F.col("k_sha")) & F.col(f"`{id_col}`").eqNullSafe(F.col("k_id"))
-    one = mine.join(keep.where("same = 1"), match, "left_semi").select(*cols)
-    many = mine.join(keep.where("same > 1"), match, "left_semi").withColumn(size, F.length(text_or_empty(text_col)))
+    match = (F.col(sha) == F.col(k_sha)) & F.col(f"`{id_col}`").eqNullSafe(F.col(k_id))
+    single, repeated = keep.where("same = 1").drop("same"), keep.where("same > 1").drop("same")
+    one = mine.join(single, match, "left_semi").select(*cols)
+    if repeated.isEmpty():
+        return one
+    many = mine.join(repeated, match, "left_semi").withColumn(size, F.length(text_or_empty(text_col)))
     many = many.groupBy(sha).agg(F.max_by(F.struct(*map(F.col, cols)), F.col(size)).alias(key)).select(f"{key}.*")
     return one.unionByName(many)

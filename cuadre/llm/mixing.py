@@ -76,21 +76,25 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows find their copies by id and the hash of their text; rows that repeat an id and text share the sum of their
     copies out among themselves.
     """
-    key, n, no = free_names(docs, "text_key", "copies", "copy_no")
+    key, n, no, m_id, m_key, m_source, every, same = free_names(
+        docs, "text_key", "copies", "copy_no", "m_id", "m_key", "m_source", "all_copies", "same")
     cols = docs.columns
     keyed = docs.withColumn(key, F.xxhash64(text_or_empty(text_col)))
     ident, src = F.col(f"`{id_col}`"), F.col(f"`{source_col}`")
     plan = mix(keyed.select(F.struct(ident.alias("id"), F.col(key).alias("key")).alias("doc_id"), src.alias("source"), F.col(f"`{text_col}`").alias("text")),
                "doc_id", "text", "source", **how)
-    plan = plan.groupBy("doc_id", "source").agg(F.sum("copies").alias("all_copies"), F.count(F.lit(1)).alias("same")).where("all_copies > 0")
-    plan = stage(plan.select(F.col("doc_id.id").alias("m_id"), F.col("doc_id.key").alias("m_key"),
-                             F.col("source").alias("m_source"), "all_copies", "same"), "copies")
-    match = (F.col(key) == F.col("m_key")) & ident.eqNullSafe(F.col("m_id")) & src.eqNullSafe(F.col("m_source"))
-    one = keyed.join(plan.where("same = 1"), match).withColumn(n, F.col("all_copies"))
-    # the same row several times: which of the equal rows carries the extra copy makes no difference
-    w = Window.partitionBy("m_key", "m_id", "m_source").orderBy(F.lit(1))
-    share = lambda k: F.floor(k * F.col("all_copies") / F.col("same"))
-    many = keyed.join(plan.where("same > 1"), match).withColumn(no, F.row_number().over(w))
-    many = many.withColumn(n, share(F.col(no)) - share(F.col(no) - 1)).drop(no)
-    out = one.unionByName(many).where(F.col(n) > 0)
+    plan = plan.groupBy("doc_id", "source").agg(F.sum("copies").alias(every), F.count(F.lit(1)).alias(same)).where(F.col(every) > 0)
+    plan = stage(plan.select(F.col("doc_id.id").alias(m_id), F.col("doc_id.key").alias(m_key),
+                             F.col("source").alias(m_source), every, same), "copies")
+    match = (F.col(key) == F.col(m_key)) & ident.eqNullSafe(F.col(m_id)) & src.eqNullSafe(F.col(m_source))
+    out = keyed.join(plan.where(F.col(same) == 1), match).withColumn(n, F.col(every))
+    repeated = plan.where(F.col(same) > 1)
+    if not repeated.isEmpty():
+        # the same row several times: which of the equal rows carries the extra copy makes no difference
+        w = Window.partitionBy(m_key, m_id, m_source).orderBy(F.lit(1))
+        share = lambda k: F.floor(k * F.col(every) / F.col(same))
+        many = keyed.join(repeated, match).withColumn(no, F.row_number().over(w))
+        many = many.withColumn(n, share(F.col(no)) - share(F.col(no) - 1)).drop(no)
+        out = out.unionByName(many)
+    out = out.where(F.col(n) > 0)
     return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*[f"`{c}`" for c in cols])

@@ -290,14 +290,17 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Rows find their verdict by id and a 64-bit hash of their text.
     """
-    key, verdict = free_names(docs, "text_key", "verdict")
+    key, verdict, k_id, k_key = free_names(docs, "text_key", "verdict", "k_id", "k_key")
     keyed = docs.withColumn(key, text_key(text_col))
     ident = F.col(f"`{id_col}`")
-    found = components_of(docs, id_col, text_col).groupBy(F.col("doc_id").alias("k_id"), F.col("key").alias("k_key"))
+    found = components_of(docs, id_col, text_col).groupBy(F.col("doc_id").alias(k_id), F.col("key").alias(k_key))
     keep = stage(found.agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("same")).where("stays").drop("stays"), "keep")
     cols = [f"`{c}`" for c in docs.columns]
-    match = (F.col(key) == F.col("k_key")) & ident.eqNullSafe(F.col("k_id"))
-    one = keyed.join(keep.where("same = 1"), match, "left_semi").select(*cols)
-    many = keyed.join(keep.where("same > 1"), match, "left_semi").withColumn(verdict, F.struct(ident, F.col(key)))
+    match = (F.col(key) == F.col(k_key)) & ident.eqNullSafe(F.col(k_id))
+    single, repeated = keep.where("same = 1").drop("same"), keep.where("same > 1").drop("same")
+    one = keyed.join(single, match, "left_semi").select(*cols)
+    if repeated.isEmpty():
+        return one
+    many = keyed.join(repeated, match, "left_semi").withColumn(verdict, F.struct(ident, F.col(key)))
     many = many.groupBy(verdict).agg(F.first(F.struct(*map(F.col, cols))).alias(key)).select(f"{key}.*")
     return one.unionByName(many)

@@ -87,7 +87,9 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     once, often = first.join(repeated, same(first, repeated), "left_anti"), first.join(repeated, same(first, repeated), "left_semi")
     bodies = lambda b, f: b.join(f.select(F.col("id").alias("f_id"), F.col("key").alias("f_key"), "first"),
                                  (F.col("key") == F.col("f_key")) & F.col("id").eqNullSafe(F.col("f_id"))).select("id", "body", "first")
-    alone, again = bodies(src, once), bodies(src.dropDuplicates(["id", "key"]), often)
+    laid = bodies(src, once)
+    if not repeated.isEmpty():  # otherwise the texts need not be grouped at all
+        laid = laid.unionByName(bodies(src.dropDuplicates(["id", "key"]), often))
     id_type = src.schema["id"].dataType.simpleString()
     stride = length * width
 
@@ -112,7 +114,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                         pa.array([raw[i * stride:(i + 1) * stride] for i in range(len(parts))], pa.binary())],
                         names=["slot", "doc_id", "part", "n_tokens", "ids"])
 
-    made = alone.unionByName(again).mapInArrow(cut, f"slot bigint, doc_id {id_type}, part bigint, n_tokens bigint, ids binary")
+    made = laid.mapInArrow(cut, f"slot bigint, doc_id {id_type}, part bigint, n_tokens bigint, ids binary")
     out = made.select("slot", F.floor(F.col("slot") / shard_size).alias("shard"), ((F.col("slot") % shard_size) * stride).alias("shard_offset"),
                       "doc_id", "part", "n_tokens", "ids")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -3,14 +3,15 @@ from pyspark.sql import types as T
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
                      T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
-                     T.StructField("row", T.StringType()), T.StructField("key", T.StringType()), T.StructField("text_sha", T.StringType())])
+                     T.StructField("row", T.StringType()), T.StructField("key", T.StringType()), T.StructField("text_sha", T.StringType()),
+                     *[T.StructField(c, T.StringType()) for c in ("copies", "same", "K_ID", "m_key", "rank", "part_no", "block", "digest", "n")]])
 
 
 @pytest.fixture(scope="session")
 def make_docs(spark):
     """Documents with extra columns whose names the operators use themselves."""
     def make(rows):
-        full = [(i, t, *(more + (None,) * (3 - len(more))), "x", "y", "z") for i, t, *m in rows for more in [tuple(m)]]
+        full = [(i, t, *(more + (None,) * (3 - len(more))), "x", "y", "z", *"abcdefghi") for i, t, *m in rows for more in [tuple(m)]]
         return spark.createDataFrame(full, DOCS)
     return make
 
