@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 #: The pre-token pattern of the byte-level vocabularies.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 6_000_000
 DECODE_TOKENS = 1_000_000
-MAX_WORDS = 600_000
+MAX_WORDS = 250_000
 
 
 def byte_symbols() -> dict[str, int]:

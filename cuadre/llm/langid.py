@@ -35,8 +35,8 @@ PENALTY = 12.0
 ALPHA = 0.2
 OUTSIDE = 30.0
 CANDIDATE_SHARE = 0.005
-CHUNK_CHARS = 12_000_000
-MAX_WORDS = 400_000
+CHUNK_CHARS = 4_000_000
+MAX_WORDS = 200_000
 UNKNOWN = "und"
 
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
