@@ -31,6 +31,7 @@ LENGTH = 1024
 SHARD_SIZE = 8192
 KEY = "order-1"
 ROUNDS = 4
+BATCH = 4096
 END_ID, PAD_ID = 256, 257
 
 
@@ -93,26 +94,42 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     id_type = src.schema["id"].dataType.simpleString()
     stride = length * width
 
+    def packed(owners, held):
+        at, parts, sizes, raws = zip(*held)
+        at, parts, sizes, raw = np.concatenate(at), np.concatenate(parts), np.concatenate(sizes), b"".join(raws)
+        rows = np.repeat(np.array([r for r, _ in owners]), [n for _, n in owners])
+        ends = pa.py_buffer((np.arange(len(at) + 1) * stride).astype(np.int32).tobytes())
+        ids = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(raw)])
+        return rows, [pa.array(at), pa.array(parts), pa.array(sizes), ids]
+
     def cut(batches):
         for batch in batches:
-            rows = zip(batch.column("body").to_pylist(), batch.column("first").to_pylist())
-            for r, (b, start) in enumerate(rows):
-                ids = np.frombuffer(b, np.uint8).astype("<u2") if tokens_col is None else np.frombuffer(b, "<u4")
+            owners, held, n_held = [], [], 0
+
+            def flush():
+                rows, (at, parts, sizes, ids) = packed(owners, held)
+                return pa.RecordBatch.from_arrays([at, batch.column("id").take(pa.array(rows)), parts, sizes, ids],
+                                                  names=["slot", "doc_id", "part", "n_tokens", "ids"])
+
+            for r, (b, start) in enumerate(zip(batch.column("body"), batch.column("first").to_pylist())):
+                raw = b.as_buffer()
+                ids = np.frombuffer(raw, np.uint8 if tokens_col is None else "<u4") if raw.size else np.zeros(0, np.uint8)
                 n = -(-(len(ids) + 1) // length)
-                for a in range(0, n, 4096):  # a long document goes out in several batches
-                    parts = np.arange(a, min(n, a + 4096))
-                    at = slots(start + parts, total, key)
+                for a in range(0, n, BATCH):  # a long document goes out in several batches
+                    parts = np.arange(a, min(n, a + BATCH))
                     out = np.full(len(parts) * length, PAD_ID, f"<u{width}")
                     mine = ids[a * length:(a + len(parts)) * length]
                     out[:len(mine)] = mine
                     if len(ids) < (a + len(parts)) * length:
                         out[len(mine)] = END_ID
-                    raw = out.tobytes()
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(at), batch.column("id").slice(r, 1).take(pa.array(np.zeros(len(parts), np.int64))),
-                        pa.array(parts), pa.array(np.minimum(len(ids) + 1 - parts * length, length)),
-                        pa.array([raw[i * stride:(i + 1) * stride] for i in range(len(parts))], pa.binary())],
-                        names=["slot", "doc_id", "part", "n_tokens", "ids"])
+                    owners.append((r, len(parts)))
+                    held.append((slots(start + parts, total, key), parts, np.minimum(len(ids) + 1 - parts * length, length), out.tobytes()))
+                    n_held += len(parts)
+                    if n_held >= BATCH:
+                        yield flush()
+                        owners, held, n_held = [], [], 0
+            if held:
+                yield flush()
 
     made = laid.mapInArrow(cut, f"slot bigint, doc_id {id_type}, part bigint, n_tokens bigint, ids binary")
     out = made.select("slot", F.floor(F.col("slot") / shard_size).alias("shard"), ((F.col("slot") % shard_size) * stride).alias("shard_offset"),
