@@ -93,37 +93,35 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         laid = laid.unionByName(bodies(src.dropDuplicates(["id", "key"]), often))
     id_type = src.schema["id"].dataType.simpleString()
     stride = length * width
+    unit = 1 if tokens_col is None else 4
 
-    def packed(owners, held):
-        at, parts, sizes, raws = zip(*held)
-        at, parts, sizes, raw = np.concatenate(at), np.concatenate(parts), np.concatenate(sizes), b"".join(raws)
-        rows = np.repeat(np.array([r for r, _ in owners]), [n for _, n in owners])
-        ends = pa.py_buffer((np.arange(len(at) + 1) * stride).astype(np.int32).tobytes())
-        ids = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(raw)])
-        return rows, [pa.array(at), pa.array(parts), pa.array(sizes), ids]
+    def binary(raw: bytes, lens: np.ndarray):
+        ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
 
     def cut(batches):
+        """Slots of each document's parts, with the part's bytes as they are: neither end nor padding."""
         for batch in batches:
             owners, held, n_held = [], [], 0
 
             def flush():
-                rows, (at, parts, sizes, ids) = packed(owners, held)
-                return pa.RecordBatch.from_arrays([at, batch.column("id").take(pa.array(rows)), parts, sizes, ids],
-                                                  names=["slot", "doc_id", "part", "n_tokens", "ids"])
+                at, parts, sizes, lens, raws = zip(*held)
+                rows = np.repeat(np.array([r for r, _ in owners]), [n for _, n in owners])
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(at)), batch.column("id").take(pa.array(rows)), pa.array(np.concatenate(parts)),
+                     pa.array(np.concatenate(sizes)), binary(b"".join(raws), np.concatenate(lens))],
+                    names=["slot", "doc_id", "part", "n_tokens", "raw"])
 
             for r, (b, start) in enumerate(zip(batch.column("body"), batch.column("first").to_pylist())):
-                raw = b.as_buffer()
-                ids = np.frombuffer(raw, np.uint8 if tokens_col is None else "<u4") if raw.size else np.zeros(0, np.uint8)
-                n = -(-(len(ids) + 1) // length)
+                raw = b.as_buffer().to_pybytes()
+                size = len(raw) // unit
+                n = -(-(size + 1) // length)
                 for a in range(0, n, BATCH):  # a long document goes out in several batches
                     parts = np.arange(a, min(n, a + BATCH))
-                    out = np.full(len(parts) * length, PAD_ID, f"<u{width}")
-                    mine = ids[a * length:(a + len(parts)) * length]
-                    out[:len(mine)] = mine
-                    if len(ids) < (a + len(parts)) * length:
-                        out[len(mine)] = END_ID
+                    lens = np.clip(size - parts * length, 0, length)
                     owners.append((r, len(parts)))
-                    held.append((slots(start + parts, total, key), parts, np.minimum(len(ids) + 1 - parts * length, length), out.tobytes()))
+                    held.append((slots(start + parts, total, key), parts, np.minimum(size + 1 - parts * length, length), lens * unit,
+                                 raw[a * length * unit:(a + len(parts)) * length * unit]))
                     n_held += len(parts)
                     if n_held >= BATCH:
                         yield flush()
@@ -131,11 +129,30 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
             if held:
                 yield flush()
 
-    made = laid.mapInArrow(cut, f"slot bigint, doc_id {id_type}, part bigint, n_tokens bigint, ids binary")
-    out = made.select("slot", F.floor(F.col("slot") / shard_size).alias("shard"), ((F.col("slot") % shard_size) * stride).alias("shard_offset"),
-                      "doc_id", "part", "n_tokens", "ids")
+    def fill(batches):
+        """The ids of the fixed stride, ended and padded."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                lens = np.fromiter((len(x) for x in batch.column("raw").to_pylist()), np.int64, batch.num_rows) // unit
+                flat = np.frombuffer(b"".join(batch.column("raw").to_pylist()), np.uint8 if unit == 1 else "<u4")
+                out = np.full(batch.num_rows * length, PAD_ID, f"<u{width}")
+                begin = np.arange(batch.num_rows) * length
+                out[np.repeat(begin - (np.cumsum(lens) - lens), lens) + np.arange(len(flat))] = flat
+                ended = batch.column("n_tokens").to_numpy() > lens
+                out[(begin + lens)[ended]] = END_ID
+                ids = binary(out.tobytes(), np.full(batch.num_rows, stride))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], names=[*kept, "ids"])
+
+    kept = ["slot", "shard", "shard_offset", "doc_id", "part", "n_tokens"]
+    made = laid.mapInArrow(cut, f"slot bigint, doc_id {id_type}, part bigint, n_tokens bigint, raw binary")
+    made = made.select("slot", F.floor(F.col("slot") / shard_size).alias("shard"), ((F.col("slot") % shard_size) * stride).alias("shard_offset"),
+                       "doc_id", "part", "n_tokens", "raw")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, "shard").sortWithinPartitions("slot")
+    shards = max(1, -(-int(total) // shard_size))
+    # slots fill 0 .. total - 1 evenly, so the ranges need no sample: each partition gets the same number of whole shards
+    made = made.repartitionById(n, F.floor(F.col("shard") * n / shards).cast("int")).sortWithinPartitions("slot")
+    return made.mapInArrow(fill, f"slot bigint, shard bigint, shard_offset bigint, doc_id {id_type}, part bigint, n_tokens bigint, ids binary")
 
 
 def write_shards(made: DataFrame, uri: str) -> DataFrame:
