@@ -70,12 +70,19 @@ ENTITY = regex.compile("|".join((
     r"(?P<number>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))",
 )))
 PERSON = regex.compile(rf"(?P<titled>(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: {_NAME}){{0,2}})|(?P<named>(?<!\p{{L}}){_FIRST}(?: {_NAME}){{1,2}})")
-#: Where an entity other than a person may be: it has a digit or "@", or begins like an API key.
-SPOT = re.compile(r"[@\d]+|sk[-_]|pk[-_]|ghp[-_]|xox[bp]")
+#: Where an entity other than a person may be: it has a digit or "@", begins like an API key or is a long run of hex letters.
+SPOT = re.compile(r"[@\d]+|sk[-_]|pk[-_]|ghp[-_]|xox[bp]|AKIA|[a-fA-F]{32,}")
 AROUND = 48
-#: Words of which one must be in a text that names a person.
-NAME_WORDS = {f(t) for t in TITLES for f in (str.lower, str.title, str.upper)} | {n for names in FIRST_NAMES.values() for n in names}
-_APART = {c: " " for c in range(128) if not chr(c).isalpha() and chr(c) != "-"}
+WORDS = regex.compile(r"\p{L}+")
+#: Words of which one must be in a text that names a person, in folded case; of a title with a hyphen its first word.
+NAME_WORDS = {WORDS.search(n).group().casefold() for n in (*TITLES, *GENDER)}
+#: The one character besides letters that equals a letter (iota) when case is ignored.
+ODD_IOTA = "\u0345"
+
+
+def may_name(text: str) -> bool:
+    """Whether PERSON may match: a title or first name is a whole run of letters, whatever marks are around it."""
+    return ODD_IOTA in text or not NAME_WORDS.isdisjoint(w.casefold() for w in set(WORDS.findall(text)))
 
 
 def places(text: str):
@@ -120,7 +127,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
         return []
     found, people = [], []
     matches = [m for a, b in places(text) for m in ENTITY.finditer(text, a, b)]
-    if not NAME_WORDS.isdisjoint(text.translate(_APART).split()):
+    if may_name(text):
         ends = [m.span() for m in matches]
         matches += [m for m in PERSON.finditer(text) if not any(a < m.end() and m.start() < b for a, b in ends)]
         matches.sort(key=lambda m: m.start())
