@@ -11,7 +11,9 @@
    valid check digits, a private address stays private; a person gets a first name of the same gender and script.
 3. Collision checks: in each round, a surrogate that equals any original entity of its type, one given out before, or
    one that another entity of the same round also drew is refused, except to the smallest of those that drew it; the
-   others draw again. So different entities keep different surrogates.
+   others draw again. So different entities keep different surrogates. What is compared is what a text shows: persons
+   of any gender and script differ in the surname, and it is no word of an original name. First names are few, so a
+   first name that stands alone may be shared, as among originals.
 4. Replacement in the mention's own format and letter case. Texts meet their replacements by a hash of id and text.
 
 Entities are handled as a distributed table; nothing is collected or broadcast. ``KEY`` is a parameter: the same key
@@ -236,7 +238,7 @@ def surrogate(key: str, kind: str, canon: str, attempt: int) -> str:
     gender_drawn = gender or "fm"[draw.below(2)]
     names = FIRST_NAMES[script, gender_drawn]
     given = " ".join(names[draw.below(len(names))] for _ in first.split()).lower()
-    surname = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(2 + attempt // 4)) + SURNAME_END[script, gender_drawn]
+    surname = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3 + attempt)) + SURNAME_END[script, gender_drawn]
     return "|".join((script, gender, given, surname))
 
 
@@ -290,18 +292,23 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
                                                  names=["kind", "canon", "new"])
         return run
 
+    def shown(form):
+        """What tells entities apart in a text: of a person the surname."""
+        return F.when(F.col("kind") == "person", F.element_at(F.split(form, r"\|"), -1)).otherwise(F.col(form)).alias("shown")
+
     entities = stage(entities.select("kind", "canon").distinct(), "entities")
-    taken = entities.select("kind", F.col("canon").alias("new"))
+    words = F.split(F.concat_ws(" ", F.slice(F.split("canon", r"\|"), 3, 2)), " ")
+    taken = entities.select("kind", F.explode(F.when(F.col("kind") == "person", words).otherwise(F.array("canon"))).alias("shown")).distinct()
     left, given = entities, None
     for attempt in range(MOST_ROUNDS):
         drawn = left.mapInArrow(draw(attempt), "kind string, canon string, new string")
-        first = drawn.groupBy("kind", "new").agg(F.min("canon").alias("canon")).join(taken, ["kind", "new"], "left_anti")
-        good = stage(first.select("kind", "canon", "new"), "surrogates")
-        given = good if given is None else given.unionByName(good)
+        first = drawn.groupBy("kind", shown("new")).agg(F.min(F.struct("canon", "new")).alias("m")).join(taken, ["kind", "shown"], "left_anti")
+        good = stage(first.select("kind", "m.canon", "m.new", "shown"), "surrogates")
+        given = good.drop("shown") if given is None else given.unionByName(good.drop("shown"))
         left = stage(left.join(good, ["kind", "canon"], "left_anti"), "left")
         if left.isEmpty():
             return given
-        taken = taken.unionByName(good.select("kind", "new"))
+        taken = taken.unionByName(good.select("kind", "shown"))
     raise ValueError(f"no free surrogates of the same format after {MOST_ROUNDS} draws")
 
 

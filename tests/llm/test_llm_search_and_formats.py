@@ -265,3 +265,18 @@ def test_detection_filters_lose_nothing(monkeypatch):
     monkeypatch.setattr(pii, "may_name", lambda text: True)
     for text, got in zip(texts, filtered):
         assert got == pii.mentions(text), text
+
+
+def test_surrogate_names_stay_distinct(make_docs):
+    """Hundreds of surnames by title, first names too: no two people share a surname, and none has an original's."""
+    rng = random.Random(3)
+    made = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=7)).title() for _ in range(300)]
+    made += ["Belcarson", "Danmolson", "Garnorson"]  # as surrogates look
+    names = [f"{title} {name}" for name in made for title in ("Mr.", "Mrs.", "Dr.")]
+    names += [f"{first} {name}" for name in made[:100] for first in ("Anna", "Peter")] + [f"{t} {n}ов" for n in ("Петр", "Кол", "Гор") for t in ("г-н", "г-жа")]
+    new = {}
+    for r in pii.replace(make_docs(list(enumerate(names)))).collect():
+        (e,) = r.entities
+        new[names[r.doc_id]] = r.text[e.start:e.end]
+    last = [n.split()[-1] for n in new.values()]
+    assert len(last) == len(names) == len(set(last)) and not set(last) & {n.split()[-1] for n in names}
