@@ -273,8 +273,10 @@ def chunks(lens: np.ndarray, most: int = CHUNK_CHARS):
     return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit), ``decoded`` text."""
+def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
+                     id_bytes: int = 4, decode: bool = True) -> DataFrame:
+    """One row per document: id, ``n_tokens``, ``ids`` (binary, little-endian unsigned of ``id_bytes``) and, if asked
+    for, the ``decoded`` text."""
     spark = docs.sparkSession
     with open(vocab_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
@@ -291,11 +293,11 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(a, b - a),
                     pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
-                    pa.array([enc.decode(x) for x in ids], pa.string()),
-                ], names=["doc_id", "n_tokens", "ids", "decoded"])
+                    pa.array([x.astype(f"<u{id_bytes}").tobytes() for x in ids], pa.binary()),
+                    *([pa.array([enc.decode(x) for x in ids], pa.string())] if decode else []),
+                ], names=["doc_id", "n_tokens", "ids", *(["decoded"] if decode else [])])
 
-    return src.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids binary, decoded string")
+    return src.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids binary" + ", decoded string" * decode)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

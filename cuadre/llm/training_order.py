@@ -10,8 +10,10 @@ and a reader resumes anywhere.
 Numbers come from per-document counts alone: documents are ranked by id in range partitions and the partitions' sums
 are added up, so only (id, count) rows are sorted, not texts. A document of any length is cut where it lies.
 
-Here ids are UTF-8 bytes (0-255), end 256, pad 257, as unsigned 16-bit; ``tokens_col`` takes ids from a binary column
-instead (as ``bpe.encode_documents`` makes them, 32-bit). Null text counts as empty: one sequence with the end id.
+Without ``tokens_col`` ids are UTF-8 bytes (0-255), end 256, pad 257, as unsigned 16-bit; ``tokens_col`` takes ids of
+``id_bytes`` each from a binary column instead (as ``bpe.encode_documents`` makes them). They need an end and a pad id
+that no token has: ``marks`` gives those of a vocabulary. An end id that is a special token may be in a text that spells
+that token out, as for the tokenizer; a pad id in a text, or the byte ids' end in one, is an error. Null text counts as empty: one sequence with the end id.
 Rows that repeat get sequences each; ties of the id are numbered by hash of the text, then row. Other columns are
 ignored. An empty table gives an empty result and no shards.
 """
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuadre.llm.bpe import Vocabulary
 from cuadre.llm.common import stage, text_or_empty
 
 LENGTH = 1024
@@ -33,6 +36,7 @@ KEY = "order-1"
 ROUNDS = 4
 BATCH = 4096
 END_ID, PAD_ID = 256, 257
+END_TOKEN = "<|endoftext|>"
 
 
 def round_keys(key: str, rounds: int = ROUNDS) -> list[np.uint64]:
@@ -59,6 +63,18 @@ def slots(numbers: np.ndarray, count: int, key: str = KEY, rounds: int = ROUNDS)
     return out.astype(np.int64)
 
 
+def marks(vocab: Vocabulary, end_id: int | None = None, pad_id: int | None = None) -> tuple[int, int]:
+    """End and pad id for a vocabulary, checked against it: a special token or an id past it, and another id past it."""
+    past = len(vocab.token_bytes)
+    end = vocab.special.get(END_TOKEN, past) if end_id is None else end_id
+    pad = max(past, end + 1) if pad_id is None else pad_id
+    if end < past and end not in vocab.special.values():
+        raise ValueError(f"end id {end} is an ordinary token")
+    if pad < past or pad == end:
+        raise ValueError(f"pad id {pad} is a token")
+    return end, pad
+
+
 def numbered(docs: DataFrame, id_col: str, sizes) -> DataFrame:
     """(row, first): the number of each row's first sequence; ``sizes`` is the number of its sequences."""
     spark = docs.sparkSession
@@ -74,12 +90,17 @@ def numbered(docs: DataFrame, id_col: str, sizes) -> DataFrame:
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None,
-              length: int = LENGTH, shard_size: int = SHARD_SIZE, key: str = KEY) -> DataFrame:
+              length: int = LENGTH, shard_size: int = SHARD_SIZE, key: str = KEY,
+              id_bytes: int = 4, end_id: int = END_ID, pad_id: int = PAD_ID) -> DataFrame:
     """Per sequence: slot, shard, shard_offset (bytes), doc_id, part, n_tokens, ``ids`` (binary of the fixed stride)."""
-    width = 2 if tokens_col is None else 4
+    unit, width = (1, 2) if tokens_col is None else (id_bytes, id_bytes)
+    if max(end_id, pad_id) >> 8 * width or end_id == pad_id:
+        raise ValueError(f"end id {end_id} and pad id {pad_id} must differ and fit {width} bytes")
+    # no text may hold the pad id, nor the end id of bytes, which is no special token of any vocabulary
+    barred = [] if tokens_col is None else [pad_id, *([end_id] if end_id == END_ID else [])]
     body = F.coalesce(F.col(f"`{tokens_col}`"), F.lit(b"")) if tokens_col else text_or_empty(text_col).cast("binary")
     src = docs.select(F.col(f"`{id_col}`").alias("id"), body.alias("body")).withColumn("key", F.xxhash64("body"))
-    count = F.ceil((F.octet_length("body") / (4 if tokens_col else 1) + 1) / length).cast("long")
+    count = F.ceil((F.octet_length("body") / unit + 1) / length).cast("long")
     first = stage(numbered(src, "id", count), "first")
     total = first.agg(F.sum("n").alias("n")).first()["n"] or 0
     # rows of the same id and text are alike: each of their numbers goes to a copy of one of them
@@ -93,7 +114,6 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         laid = laid.unionByName(bodies(src.dropDuplicates(["id", "key"]), often))
     id_type = src.schema["id"].dataType.simpleString()
     stride = length * width
-    unit = 1 if tokens_col is None else 4
 
     def binary(raw: bytes, lens: np.ndarray):
         ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
@@ -114,6 +134,8 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
             for r, (b, start) in enumerate(zip(batch.column("body"), batch.column("first").to_pylist())):
                 raw = b.as_buffer().to_pybytes()
+                if barred and np.isin(np.frombuffer(raw, f"<u{unit}"), barred).any():
+                    raise ValueError(f"a text holds one of the ids {barred}, which are to mark end and padding")
                 size = len(raw) // unit
                 n = -(-(size + 1) // length)
                 for a in range(0, n, BATCH):  # a long document goes out in several batches
@@ -135,12 +157,12 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
                 lens = np.fromiter((len(x) for x in batch.column("raw").to_pylist()), np.int64, batch.num_rows) // unit
-                flat = np.frombuffer(b"".join(batch.column("raw").to_pylist()), np.uint8 if unit == 1 else "<u4")
-                out = np.full(batch.num_rows * length, PAD_ID, f"<u{width}")
+                flat = np.frombuffer(b"".join(batch.column("raw").to_pylist()), f"<u{unit}")
+                out = np.full(batch.num_rows * length, pad_id, f"<u{width}")
                 begin = np.arange(batch.num_rows) * length
                 out[np.repeat(begin - (np.cumsum(lens) - lens), lens) + np.arange(len(flat))] = flat
                 ended = batch.column("n_tokens").to_numpy() > lens
-                out[(begin + lens)[ended]] = END_ID
+                out[(begin + lens)[ended]] = end_id
                 ids = binary(out.tobytes(), np.full(batch.num_rows, stride))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], names=[*kept, "ids"])
 

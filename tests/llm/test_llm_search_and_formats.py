@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from cuadre.llm import ann, pii, preference, training_order
+from cuadre.llm import ann, bpe, pii, preference, queries, training_order
 
 
 def brute_search(rows, k, asks):
@@ -280,3 +280,19 @@ def test_surrogate_names_stay_distinct(make_docs):
         new[names[r.doc_id]] = r.text[e.start:e.end]
     last = [n.split()[-1] for n in new.values()]
     assert len(last) == len(names) == len(set(last)) and not set(last) & {n.split()[-1] for n in names}
+
+
+def test_marks_are_no_tokens(spark):
+    vocab = bpe.Vocabulary(open(queries.VOCABULARY, "rb").read())
+    end, pad = training_order.marks(vocab)
+    assert (end, pad) == (50256, 50257) == training_order.marks(vocab, 50256, 50257)
+    for wrong in ((256, None), (None, 257), (50256, 50256)):
+        with pytest.raises(ValueError):
+            training_order.marks(vocab, *wrong)
+    df = spark.createDataFrame([(1, " t a" * 3), (2, None)], "doc_id long, text string")
+    coded = bpe.encode_documents(df, queries.VOCABULARY, id_bytes=2, decode=False)
+    laid = lambda **ids: {(r.doc_id, r.part): np.frombuffer(bytes(r.ids), "<u2").tolist()
+                          for r in training_order.sequences(coded, text_col=None, tokens_col="ids", length=5, id_bytes=2, **ids).collect()}
+    assert laid(end_id=end, pad_id=pad) == {(1, 0): [256, 257, 256, 257, 256], (1, 1): [257, end, pad, pad, pad], (2, 0): [end] + [pad] * 4}
+    with pytest.raises(Exception, match="mark end and padding"):
+        laid()  # the ids of bytes are tokens here
