@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuadre.llm import ann, bpe, exact_dedup, langid, mixing, ngram_join, pii, ppm, preference, training_order
-from cuadre.llm.common import documents
+from cuadre.llm.common import documents, stage
+from cuadre.session import ensure_checkpoint_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -38,10 +41,19 @@ def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(pairs, ("chosen_id", "rejected_id"))
 
 
-def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slot and place of every sequence of every document, and the digest of its ids."""
-    made = training_order.sequences(documents(spark, sf_dir))
-    return made.select("slot", "shard", "shard_offset", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+def op6_training_order(spark: SparkSession, sf_dir: str, vocab_path: str = VOCABULARY, folder: str | None = None) -> DataFrame:
+    """Shards of the token ids of every document, written under ``folder`` (in the checkpoint folder unless given); slot
+    and place of every sequence written, and the digest of its ids."""
+    with open(vocab_path, "rb") as f:
+        vocab = bpe.Vocabulary(f.read())
+    end, pad = training_order.marks(vocab)
+    id_bytes = 2 if max(end, pad) < 1 << 16 else 4
+    coded = bpe.encode_documents(documents(spark, sf_dir), vocab_path, id_bytes=id_bytes, decode=False)
+    made = training_order.sequences(stage(coded.select("doc_id", "ids"), "ids"), text_col=None, tokens_col="ids",
+                                    id_bytes=id_bytes, end_id=end, pad_id=pad)
+    folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    written = stage(training_order.write_shards(made, folder, rows=True), "written")  # once, whatever is read of it
+    return written.select("slot", "shard", "shard_offset", "doc_id", "part", "n_tokens", "ids_sha256")
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,10 +177,15 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     return made.mapInArrow(fill, f"slot bigint, shard bigint, shard_offset bigint, doc_id {id_type}, part bigint, n_tokens bigint, ids binary")
 
 
-def write_shards(made: DataFrame, uri: str) -> DataFrame:
+def write_shards(made: DataFrame, uri: str, rows: bool = False) -> DataFrame:
     """Write ``sequences`` as files ``shard-<number>.bin`` under ``uri`` (a folder that all executors can write to);
-    returns the manifest (shard, first_slot, n_sequences, n_bytes, sha256). Each file is written under a name of its
-    task and then moved, so a task that is repeated leaves the same file."""
+    returns the manifest (shard, first_slot, n_sequences, n_bytes, sha256) or, with ``rows``, what was written of every
+    sequence: its columns but ids, and their SHA-256. Each file is written under a name of its task and then moved, so
+    a task that is repeated leaves the same file."""
+    told = [f for f in made.schema.fields if f.name != "ids"]
+    manifest = "shard bigint, first_slot bigint, n_sequences bigint, n_bytes bigint, sha256 string"
+    index = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in told) + ", ids_sha256 string"
+    names = [f.name for f in told]
 
     def write(batches):
         from pyarrow import fs
@@ -197,16 +202,26 @@ def write_shards(made: DataFrame, uri: str) -> DataFrame:
             return pa.RecordBatch.from_pylist([{"shard": shard, "first_slot": first, "n_sequences": n, "n_bytes": size, "sha256": seal.hexdigest()}])
 
         for batch in batches:
+            sums = []
             for s, slot, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "ids"))):
                 if s != shard:
                     if out is not None:
-                        yield close()
+                        sealed = close()
+                        if not rows:
+                            yield sealed
                     shard, first, n, size, seal = s, slot, 0, 0, hashlib.sha256()
                     out = store.open_output_stream(f"{root}/.tmp-{mine}-{s}")
                 out.write(ids)
-                seal.update(ids)
+                if rows:
+                    sums.append(hashlib.sha256(ids).hexdigest())
+                else:
+                    seal.update(ids)
                 n, size = n + 1, size + len(ids)
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sums, pa.string())], names=[*names, "ids_sha256"])
         if out is not None:
-            yield close()
+            sealed = close()
+            if not rows:
+                yield sealed
 
-    return made.mapInArrow(write, "shard bigint, first_slot bigint, n_sequences bigint, n_bytes bigint, sha256 string")
+    return made.mapInArrow(write, index if rows else manifest)

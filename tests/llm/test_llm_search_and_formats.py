@@ -296,3 +296,19 @@ def test_marks_are_no_tokens(spark):
     assert laid(end_id=end, pad_id=pad) == {(1, 0): [256, 257, 256, 257, 256], (1, 1): [257, end, pad, pad, pad], (2, 0): [end] + [pad] * 4}
     with pytest.raises(Exception, match="mark end and padding"):
         laid()  # the ids of bytes are tokens here
+
+
+def test_training_order_query_writes_token_shards(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = queries.op6_training_order(spark, "/root/testdata/sf0.001", folder=f"{tmp_path}/shards").collect()
+    want = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in bpe.encode_documents(docs, queries.VOCABULARY).collect()}
+    files = {s: open(f"{tmp_path}/shards/shard-{s:08d}.bin", "rb").read() for s in {r.shard for r in got}}
+    assert len(os.listdir(f"{tmp_path}/shards")) == len(files) and sum(map(len, files.values())) == len(got) * 2048
+    parts = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.doc_id, r.part)):
+        raw = files[r.shard][r.shard_offset:r.shard_offset + 2048]
+        assert hashlib.sha256(raw).hexdigest() == r.ids_sha256
+        ids = np.frombuffer(raw, "<u2")
+        assert (ids[r.n_tokens:] == 50257).all()
+        parts[r.doc_id] += ids[:r.n_tokens].tolist()
+    assert parts == {i: [*ids, 50256] for i, ids in want.items()}
