@@ -10,8 +10,9 @@ with its first turn is paired with itself without its last assistant turn. Ranks
 from range-partitioned rows (``common.ranked``), so a group may hold any share of the table.
 
 Null text counts as empty; a null role is a role of its own, rendered empty and not trained. Turns are ordered by turn
-number (null first), then role and text; a repeated turn row stays in the conversation. Rows without conversation id
-belong together to the null id. Identical conversations have empty completions. An empty table gives an empty result.
+number (null first), then role and text; a repeated turn row stays in the conversation. Nothing tells which turns without
+conversation id belong together, and any share of the table may have none: each is a conversation of its own, with the
+null id. Identical conversations have empty completions. An empty table gives an empty result.
 Other columns are ignored.
 """
 
@@ -28,11 +29,12 @@ TRAINED = "assistant"
 
 
 def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turns array<struct<role, text>>) with each conversation's turns in order."""
+    """(conv_id, turns array<struct<role, text>>) with each conversation's turns in order; a turn without id is one."""
     q = lambda c: F.col(f"`{c}`")
     rows = turns.select(q(id_col).alias("conv_id"), F.struct(q(turn_col).alias("turn"), q(role_col).cast("string").alias("role"),
                                                              F.coalesce(q(text_col), F.lit("")).alias("text")).alias("t"))
-    got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    got = rows.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    got = got.unionByName(rows.where(F.col("conv_id").isNull()).select("conv_id", F.array("t").alias("t")))
     return got.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 

@@ -312,3 +312,12 @@ def test_training_order_query_writes_token_shards(spark, tmp_path):
         assert (ids[r.n_tokens:] == 50257).all()
         parts[r.doc_id] += ids[:r.n_tokens].tolist()
     assert parts == {i: [*ids, 50256] for i, ids in want.items()}
+
+
+def test_pairs_many_null_ids(spark):
+    """A third of the rows has no conversation id: each is its own conversation, and none holds another's turn."""
+    rows = [(None, i % 3, "user", f"lost {i // 2}") for i in range(400)] + [(i // 2, i % 2, ("user", "assistant")[i % 2], f"t{i}") for i in range(800)]
+    got = preference.format_pairs(preference.pairs_of(convs(spark, rows)), ("chosen_id", "rejected_id")).collect()
+    lost = [r for r in got if r.chosen_id is None]
+    assert len(got) == 800 and len(lost) == 400 and all(r.rejected_id is None for r in lost)
+    assert Counter(r.prompt + r.chosen for r in lost) == Counter(f"<|user|>\nlost {i // 2}<|end|>\n" for i in range(400))
