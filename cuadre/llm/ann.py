@@ -2,13 +2,15 @@
 
 Every distinct vector gets ``CURVES`` keys. For each curve the vectors are projected onto ``DIMS`` orthonormal random
 directions, scaled to a unit cube by mean and deviation, shifted by a random offset and placed on a Hilbert curve.
-Spark range-partitions the (curve, key) pairs, so each vector has a rank on each curve; ranks are cut into cells of
+Keys have ``BITS`` bits a direction, so near but not equal vectors keep their order on the curve at their own scale; equal
+keys are ordered by a projection of each curve's own. Spark range-partitions the (curve, key) pairs, so each vector has a rank on each curve; ranks are cut into cells of
 ``CELL`` rows. A query visits, on every curve, the cells within ``WINDOW`` of the rows around its own rank (at least
 ``LEAST`` rows on either side); each cell scores its visitors exactly, in double precision, and returns their best;
 the windows' answers are merged and reranked.
 
 Vectors without structure need windows in proportion to the table to keep the recall: the defaults find over 0.95 of
-the true neighbours of random unit vectors in 64 dimensions. For clustered vectors a smaller ``window`` does.
+the true neighbours of random unit vectors in 64 dimensions, and ``CURVES`` windows together score more rows than the
+table has (README).
 
 Scaling is fitted on at most ``FIT_ROWS`` vectors, those of the smallest hash; all vectors are indexed. Null or zero
 vectors, vectors with a null or non-finite component, rows with a null id and vectors that don't have the most common
@@ -29,7 +31,7 @@ from cuadre.llm.common import broadcast_by_value, ranked, received, stage
 
 CURVES = 16
 DIMS = 4
-BITS = 5
+BITS = 30
 WINDOW = 0.1
 LEAST = 256
 CELL = 4096
@@ -38,8 +40,8 @@ SEED = 20
 SLACK = 1e-9
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Place on the Hilbert curve of each row of integer coordinates below 2^bits."""
+def hilbert_words(cells: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Place on the Hilbert curve of each row of integer coordinates below 2^bits, in words of at most 63 bits."""
     x = cells.T.astype(np.int64).copy()
     dims = len(x)
     for level in range(bits - 1, 0, -1):  # undo the turns and mirrorings of each level
@@ -55,10 +57,19 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     for level in range(bits - 1, 0, -1):
         turn ^= np.where((x[-1] & (1 << level)) != 0, (1 << level) - 1, 0)
     x ^= turn
-    key = np.zeros(x.shape[1], np.int64)
-    for level in range(bits - 1, -1, -1):
-        for d in range(dims):
-            key = key << 1 | (x[d] >> level) & 1
+    words, per = [], 63 // dims
+    for top in range(bits, 0, -per):
+        key = np.zeros(x.shape[1], np.int64)
+        for level in range(top - 1, max(0, top - per) - 1, -1):
+            for d in range(dims):
+                key = key << 1 | (x[d] >> level) & 1
+        words.append(key)
+    return words
+
+
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The place as one number, for curves of at most 63 bits."""
+    (key,) = hilbert_words(cells, bits)
     return key
 
 
@@ -75,12 +86,15 @@ class Curves:
         self.mean = [sample.dot(d).mean(axis=0) for d in self.direction]
         self.scale = [np.maximum(sample.dot(d).std(axis=0), 1e-12) for d in self.direction]
         self.shift = [rng.random(self.dims) for _ in range(curves)]
+        self.across = [rng.normal(size=size) for _ in range(curves)]
 
-    def keys(self, x: np.ndarray, curve: int) -> np.ndarray:
+    def keys(self, x: np.ndarray, curve: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place on the curve in two words, and a projection that orders equal places."""
         z = (x.dot(self.direction[curve]) - self.mean[curve]) / self.scale[curve]
         unit = 0.5 * (1 + np.tanh(0.8 * z))  # close to the normal distribution function
         cube = (unit * 0.8 + self.shift[curve] * 0.2) * (1 << self.bits)
-        return hilbert_keys(np.clip(cube.astype(np.int64), 0, (1 << self.bits) - 1), self.bits)
+        words = hilbert_words(np.clip(cube.astype(np.int64), 0, (1 << self.bits) - 1), self.bits)
+        return words[0], words[1] if len(words) > 1 else np.zeros_like(words[0]), x.dot(self.across[curve])
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -124,12 +138,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             x = matrix(batch.column("vec"))
             for c in range(curves):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), c, np.int32)), pa.array(model.keys(x, c)), batch.column("point"), batch.column("vec"), batch.column("asks")],
-                    names=["curve", "key", "point", "vec", "asks"])
+                    [pa.array(np.full(len(x), c, np.int32)), *map(pa.array, model.keys(x, c)), batch.column("point"), batch.column("vec"), batch.column("asks")],
+                    names=["curve", "key", "fine", "tie", "point", "vec", "asks"])
 
     laid = points.select("point", "vec").join(ask_points, "point", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    laid = laid.mapInArrow(place, f"curve int, key bigint, point {id_type}, vec array<double>, asks boolean")
-    laid = stage(ranked(laid, ["key", "point"], "curve", name="curve"), "ranks")
+    laid = laid.mapInArrow(place, f"curve int, key bigint, fine bigint, tie double, point {id_type}, vec array<double>, asks boolean")
+    laid = stage(ranked(laid, ["key", "fine", "tie", "point"], "curve", name="curve"), "ranks")
     half = max(least, int(np.ceil(n * window / 2)))
     here = F.floor((F.col("rank") - 1) / cell).cast("int")
     cells = laid.select("curve", here.alias("cell"), "point", "vec")

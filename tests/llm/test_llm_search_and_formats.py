@@ -321,3 +321,18 @@ def test_pairs_many_null_ids(spark):
     lost = [r for r in got if r.chosen_id is None]
     assert len(got) == 800 and len(lost) == 400 and all(r.rejected_id is None for r in lost)
     assert Counter(r.prompt + r.chosen for r in lost) == Counter(f"<|user|>\nlost {i // 2}<|end|>\n" for i in range(400))
+
+
+def test_search_recall_in_a_crowd(spark):
+    """A third of the vectors are near one vector, but none equal, over many cells."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[::3] = x[0] + rng.normal(size=(1000, 64)) * 1e-4
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = x[::60] @ x.T
+    near[np.arange(50), np.arange(50) * 60] = -2
+    want = {(q * 60, int(i)) for q in range(50) for i in np.argsort(-near[q])[:20]}
+    got = {(r.query_id, r.id) for r in ann.search(df, lambda i: i % 60 == 0, 20, least=50, cell=100).collect()}
+    assert len(got & want) / len(want) >= 0.9
