@@ -55,3 +55,27 @@ folded AS (
   FROM leaves JOIN tops ON tops.of = leaves.grp LEFT JOIN paths USING (row))
 SELECT *, folded_root = root AS verified FROM folded
 """
+
+OP11_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+i AS (SELECT lang, size, w, unnest(range(1, len(w) - size + 2)) AS pos FROM w, range(1, 5) s(size)),
+g AS (SELECT lang, size, array_to_string(w[pos:pos + size - 1], ' ') AS phrase, count(*) AS f FROM i GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE size > 1 AND f >= 30),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+x AS (
+  SELECT k.lang, k.phrase, k.a, k.k, h.f AS l, t.f AS r, CAST(CAST(k.a AS HUGEINT) * 2000000 // (h.f + t.f) AS BIGINT) AS score
+  FROM k JOIN g h ON h.lang = k.lang AND h.phrase = array_to_string(k.w[1:k.k], ' ') AND h.size = k.k
+         JOIN g t ON t.lang = k.lang AND t.phrase = array_to_string(k.w[k.k + 1:], ' ') AND t.size = k.size - k.k),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM x),
+s AS (SELECT lang, w, size, a, unnest(range(2, size)) AS m FROM c WHERE size > 2),
+u AS (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS pos FROM s),
+v AS (SELECT lang, array_to_string(w[pos:pos + m - 1], ' ') AS phrase, max(a) AS longer FROM u GROUP BY ALL),
+o AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank, b.phrase, a, l, r, score
+  FROM b LEFT JOIN v ON v.lang = b.lang AND v.phrase = b.phrase
+  WHERE o = 1 AND (longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
