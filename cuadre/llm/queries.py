@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuadre.llm import ann, bpe, exact_dedup, langid, merkle, mixing, ngram_join, phrases, pii, ppm, preference, training_order
+from cuadre.llm import ann, bpe, exact_dedup, langid, merkle, minhash, mixing, ngram_join, phrases, pii, ppm, preference, training_order
 from cuadre.llm.common import documents, stage
-from cuadre.llm.sql import OP11_SQL, OP13_SQL
+from cuadre.llm.sql import OP11_SQL, OP12_SQL, OP13_SQL
 from cuadre.session import ensure_checkpoint_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -125,6 +125,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of at least 0.85 Jaccard on 5-word shingles."""
+    return minhash.near_copies(documents(spark, sf_dir))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and verdict of every document, a fifth of them tampered with."""
     return merkle.manifest(documents(spark, sf_dir))
@@ -133,6 +138,6 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_ppm": op1_ppm, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_ngram_join": op4_ngram_join,
            "op5_preference": op5_preference, "op6_training_order": op6_training_order, "op7_langid": op7_langid,
            "op8_mixing": op8_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_curves": op10_curves,
-           "op11_phrases": op11_phrases, "op13_merkle": op13_merkle}
+           "op11_phrases": op11_phrases, "op12_minhash": op12_minhash, "op13_merkle": op13_merkle}
 ORACLES = {"op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op11_phrases": OP11_SQL,
-           "op13_merkle": OP13_SQL}
+           "op12_minhash": OP12_SQL, "op13_merkle": OP13_SQL}

@@ -79,3 +79,22 @@ o AS (
   WHERE o = 1 AND (longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80))
 SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
 """
+
+OP12_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT row, array_to_string(w[pos:pos + 4], ' ') AS shingle
+  FROM (SELECT row, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS pos FROM d WHERE len(w) > 0)),
+z AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+k AS (SELECT s.row, s.shingle, z.n FROM s JOIN z USING (row)),
+c AS (
+  SELECT x.row AS a, y.row AS b, x.n AS an, y.n AS bn, count(*) AS same FROM k x JOIN k y
+  ON x.shingle = y.shingle AND x.row < y.row AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * same >= 85 * (an + bn - same)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT row AS a, row AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, min(o.doc_id) AS component_id, d.doc_id IS NOT DISTINCT FROM min(o.doc_id) AS kept
+FROM d JOIN r ON r.a = d.row JOIN d o ON o.row = r.b LEFT JOIN z ON z.row = d.row GROUP BY d.row, d.doc_id
+"""
