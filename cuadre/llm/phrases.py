@@ -5,20 +5,24 @@ words. Per language, the frequent phrases of 2 to ``LONGEST`` words are counted
 
 1. Blocks. Each task turns its texts into blocks of about ``BLOCK_BYTES`` of one language: a stream of word numbers of
    the block's own, with a break after each piece, and the block's word list with counts.
-2. Ranks. Spark sums the word lists. Words that occur ``MIN_COUNT`` times are numbered by falling frequency (number 0 is
-   the most frequent), and each block gets the numbers of its own words back. Other words break a phrase: every part of
-   a phrase occurs at least as often as the phrase.
+2. Ranks. A block sends its words with their counts to shards of the words by hash; a shard adds them up. Words that
+   occur ``MIN_COUNT`` times are numbered by falling frequency (number 0 is the most frequent), and the shards answer each
+   block with the numbers of its own words. Other words break a phrase: every part of a phrase occurs at least as often
+   as the phrase.
 3. Tiles. A block's pairs of numbers fall into tiles of ``TILE`` x ``TILE`` cells. As the numbers are ranks, the leading
    tiles are dense: a tile with a pair for every ``SPARSE`` cells is counted by ``bincount`` over its cells, addressed
-   directly. The pairs of all other tiles are sorted once as coordinates and counted by runs. Both give one row
-   for each distinct pair of a block, and Spark adds the rows up, combining before it shuffles.
-4. Recursion. Frequent pairs are numbered by falling frequency in turn. Each block asks with its own distinct pairs and
-   replaces the stream by the numbers of the pairs that start at each place; a pair of (number of the frequent phrase of
-   k words, word that follows) is a phrase of k + 1 words, and its tiles are dense at the front again.
+   directly. The pairs of all other tiles are sorted as coordinates and counted by runs. Both give the sorted distinct
+   pairs of the block with their counts, which travel as gaps to shards of the pairs by hash and are added up there.
+4. Recursion. Frequent pairs are numbered by falling frequency in turn, and the shards answer each block with the numbers
+   of its own pairs. The block replaces its stream by the numbers of the pairs that start at each place; a pair of
+   (number of the frequent phrase of k words, word that follows) is a phrase of k + 1 words, and its tiles are dense at the
+   front again.
 
 Every part of a candidate is itself frequent, so scores need only the tables of frequent phrases: l and r are joins on
-them. Scores are integer divisions in decimal(38, 0). Nothing is collected; a block is bounded by its bytes, and a
-hot pair, word or language is one row of a block at most before it is shuffled.
+them. Scores are integer divisions in decimal(38, 0). No corpus table is collected or broadcast; a block is bounded by its
+bytes. Shards are by hash of the single word or pair and their number follows the number of words, so a shard holds about
+``SHARD_WORDS`` entries; the most frequent pair of all is one entry for each block. A message from a block to a shard
+holds one entry at least, so there are never more messages than distinct pairs of blocks.
 
 Null text counts as empty, null lang as ``und``. Rows that repeat count each time. Words are byte strings, so any text
 is whole; a piece never spans two texts. Other columns are ignored. An empty table gives an empty result.
@@ -26,6 +30,7 @@ is whole; a piece never spans two texts. Other columns are ignored. An empty tab
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from itertools import count
 
@@ -35,6 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuadre.llm import blocks
 from cuadre.llm.common import ranked, stage, text_or_empty
 
 LONGEST = 4
@@ -44,11 +50,14 @@ COVERED = 80
 TOP = 2000
 UNKNOWN = "und"
 
-BLOCK_BYTES = 4_000_000
+#: Text of a block, text that is split into words at once, and documents that are.
+BLOCK_BYTES, CHUNK_BYTES, CHUNK_ROWS = 8_000_000, 1_000_000, 256
+#: Words of the corpus for each shard, and rows of a range partition where phrases are numbered.
+SHARD_WORDS, PART_ROWS = 2_000_000, 1_000_000
 #: Side of a tile, side of the square of tiles that may be dense, and cells for each pair from which a tile is sparse.
 TILE, DENSE, SPARSE = 1024, 4096, 64
-#: Rows of a range partition where phrases are numbered.
-PART_ROWS = 1_000_000
+#: A pair is one 64-bit number: this many bits for the word, the others for the phrase before it.
+WORD_BITS = 28
 
 # fixed by the definition: A-Z in lower case, tab as space, and 0xFF, which is no byte of UTF-8, for the ends of a piece
 _TABLE = bytearray(range(256))
@@ -60,11 +69,43 @@ _TABLE = bytes(_TABLE)
 _BREAK = b"\xff"
 
 
+class Block:
+    """Texts of one language as a stream of the block's own word numbers; 0 is a break."""
+
+    def __init__(self):
+        self.number = defaultdict(count(1).__next__)
+        self.number[_BREAK] = 0
+        self.streams, self.waiting, self.bytes, self.size = [], [], 0, 0
+
+    def add(self, raw: bytes):
+        self.waiting.append(raw)
+        self.bytes += len(raw)
+        self.size += len(raw)
+        if self.bytes >= CHUNK_BYTES:
+            self.split()
+
+    def split(self):
+        # bytes.split takes the white space of ASCII, of which the table left only the space
+        tokens = _BREAK.join([*self.waiting, b""]).replace(_BREAK, b" \xff ").split()
+        self.streams.append(np.fromiter(map(self.number.__getitem__, tokens), np.uint32, len(tokens)))
+        self.waiting, self.bytes = [], 0
+
+    def row(self, block: int, lang: str) -> pa.RecordBatch:
+        self.split()
+        stream = np.concatenate(self.streams)
+        words = [w.decode() for w in self.number if w != _BREAK]
+        counts = np.bincount(stream, minlength=len(words) + 1)[1:].astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([blocks.planes(stream)], pa.binary()),
+             pa.array([words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))],
+            names=["block", "lang", "stream", "words", "counts"])
+
+
 def stretches(text: str):
     """The text's bytes, mapped by the table; a long text in stretches that end with a piece."""
     raw, start = text.encode().translate(_TABLE), 0
-    while len(raw) - start > BLOCK_BYTES:
-        end = raw.find(_BREAK, start + BLOCK_BYTES)
+    while len(raw) - start > CHUNK_BYTES:
+        end = raw.find(_BREAK, start + CHUNK_BYTES)
         if end < 0:
             break
         yield raw[start:end]
@@ -72,64 +113,105 @@ def stretches(text: str):
     yield raw[start:]
 
 
-def block_row(block: int, lang: str, texts: list[bytes]) -> pa.RecordBatch:
-    """The stream of word numbers of some texts (0: a break) and the list of their words with counts."""
-    # bytes.split takes the white space of ASCII, of which the table left only the space
-    tokens = _BREAK.join(texts).replace(_BREAK, b" \xff ").split()
-    number = defaultdict(count(1).__next__)
-    number[_BREAK] = 0
-    stream = np.fromiter(map(number.__getitem__, tokens), np.uint32, len(tokens))
-    words = [w.decode() for w in number if w != _BREAK]
-    counts = np.bincount(stream, minlength=len(words) + 1)[1:].astype(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([stream.tobytes()], pa.binary()),
-         pa.array([words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))],
-        names=["block", "lang", "stream", "words", "counts"])
-
-
 def blocks_of(batches):
     """(block, lang, stream, words, counts) of (lang, text) batches: texts gather per language up to ``BLOCK_BYTES``."""
     part = TaskContext.get().partitionId()
-    made = count()
-    waiting, size = defaultdict(list), defaultdict(int)
+    made, open_ = count(), defaultdict(Block)
 
-    def flush(lang):
-        size.pop(lang)
-        return block_row((part << 32) | next(made), lang, waiting.pop(lang))
+    def close(lang):
+        return open_.pop(lang).row((part << 32) | next(made), lang)
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            for raw in stretches(text):
-                waiting[lang].append(raw)
-                size[lang] += len(raw)
-                if size[lang] >= BLOCK_BYTES:
-                    yield flush(lang)
-        while sum(size.values()) > 2 * BLOCK_BYTES:  # many languages at once
-            yield flush(max(size, key=size.get))
-    for lang in list(waiting):
-        yield flush(lang)
-
-
-def tally(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and their counts, by tiles."""
-    out = []
+        for at in range(0, batch.num_rows, CHUNK_ROWS):
+            rows = batch.slice(at, CHUNK_ROWS)
+            for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist()):
+                for raw in stretches(text):
+                    open_[lang].add(raw)
+                    if open_[lang].size >= BLOCK_BYTES:
+                        yield close(lang)
+            while sum(b.size for b in open_.values()) > 2 * BLOCK_BYTES:  # many languages at once
+                yield close(max(open_, key=lambda x: open_[x].size))
+    for lang in list(open_):
+        yield close(lang)
+
+
+def ask_words(shards: int):
+    """A block's words for each shard, with their numbers in the block."""
+    def rows(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch.column("words")[i].values
+                counts = batch.column("counts")[i].values
+                shard = np.fromiter((zlib.crc32(w.encode()) % shards for w in words.to_pylist()), np.int64, len(words))
+                by = np.argsort(shard, kind="stable")
+                for mine in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
+                    if len(mine):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([shard[mine[0]]], pa.int32()), batch.column("block").slice(i, 1), batch.column("lang").slice(i, 1),
+                             pa.array([blocks.planes((mine + 1).astype("<u4"))], pa.binary()),
+                             pa.array([words.take(mine)], pa.list_(pa.string())), pa.array([counts.take(mine)], pa.list_(pa.int64()))],
+                            names=["shard", "block", "lang", "at", "words", "counts"])
+    return rows
+
+
+ASKED_WORDS = "shard int, block bigint, lang string, at binary, words array<string>, counts array<bigint>"
+
+
+def count_words(least: int):
+    def counted(table: pa.Table) -> pa.Table:
+        """The frequent words of a shard."""
+        words, counts = table["words"].combine_chunks(), table["counts"].combine_chunks()
+        lang = table["lang"].combine_chunks().take(pa.array(np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))))
+        found = pa.table({"lang": lang, "phrase": words.flatten(), "n": counts.flatten()}).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        found = found.filter(pa.array(found["n_sum"].to_numpy() >= least))
+        shard = pa.array(np.full(found.num_rows, table["shard"][0].as_py(), np.int32))
+        return pa.table({"shard": shard, "lang": found["lang"], "phrase": found["phrase"], "f": found["n_sum"]})
+    return counted
+
+
+def answer_words(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """For each block, its numbers ``at`` and the global numbers of its frequent words."""
+    number = dict(zip(zip(known["lang"].to_pylist(), known["phrase"].to_pylist()), known["number"].to_pylist()))
+    ats, numbers = [], []
+    for i, (lang, at) in enumerate(zip(asked["lang"].to_pylist(), asked["at"].to_pylist())):
+        got = np.array([number.get((lang, w), -1) for w in asked["words"][i].as_py()], np.int64)
+        ats.append(blocks.planes(blocks.from_planes(at, "<u4")[got >= 0]))
+        numbers.append(blocks.planes(got[got >= 0]))
+    return answers(asked, ats, numbers)
+
+
+ANSWERS = "of bigint, keys binary, numbers binary"
+
+
+def answers(asked: pa.Table, keys: list[bytes], numbers: list[bytes]) -> pa.Table:
+    return pa.table({"of": asked["block"], "keys": pa.array(keys, pa.binary()), "numbers": pa.array(numbers, pa.binary())})
+
+
+def pair_keys(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+    if len(word) and (int(word.max()) >> WORD_BITS or int(phrase.max()) >> (63 - WORD_BITS)):
+        raise ValueError("more frequent words or phrases than a pair's 63 bits can number")
+    return (phrase << WORD_BITS) | word
+
+
+def tally(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the distinct pairs and their counts, by tiles."""
+    keys, counts = [], []
     front = (a < DENSE) & (b < DENSE)
-    for tile in range((DENSE // TILE) ** 2):
-        if not front.any():
-            break
-        row, col = divmod(tile, DENSE // TILE)
-        mine = front & (a // TILE == row) & (b // TILE == col)
-        pairs = int(mine.sum())
-        if pairs * SPARSE >= TILE * TILE:
-            cells = np.bincount((a[mine] - row * TILE) * TILE + b[mine] - col * TILE, minlength=TILE * TILE)
-            hit = np.flatnonzero(cells)
-            out.append((row * TILE + hit // TILE, col * TILE + hit % TILE, cells[hit]))
-            a, b, front = a[~mine], b[~mine], front[~mine]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    out.append((a[new], b[new], np.diff(np.append(new, len(a)))))
-    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out))
+    tile = np.where(front, a // TILE * (DENSE // TILE) + b // TILE, -1)
+    filled = np.bincount(tile[front], minlength=(DENSE // TILE) ** 2)
+    for t in np.flatnonzero(filled * SPARSE >= TILE * TILE):
+        row, col = divmod(int(t), DENSE // TILE)
+        mine = tile == t
+        cells = np.bincount((a[mine] - row * TILE) * TILE + b[mine] - col * TILE, minlength=TILE * TILE)
+        hit = np.flatnonzero(cells)
+        keys.append(pair_keys(row * TILE + hit // TILE, col * TILE + hit % TILE))
+        counts.append(cells[hit])
+        a, b, tile = a[~mine], b[~mine], tile[~mine]
+    rest = np.sort(pair_keys(a, b))
+    new = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]])) if len(rest) else np.zeros(0, np.int64)
+    keys, counts = np.concatenate([*keys, rest[new]]), np.concatenate([*counts, np.diff(np.append(new, len(rest)))])
+    order = np.argsort(keys, kind="stable")
+    return keys[order].astype(np.int64), counts[order].astype(np.int64)
 
 
 def places(phrase: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
@@ -139,65 +221,115 @@ def places(phrase: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero((phrase[:len(word) - k] >= 0) & (phrase[1:len(word) - k + 1] >= 0))
 
 
-def pair_rows(k: int):
-    """Counts of (phrase of k words, next word) in each block."""
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from -1 on."""
+    return blocks.planes((x + 1).astype("<u8"))
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return blocks.from_planes(blob, "<u8").astype(np.int64) - 1
+
+
+def ask_pairs(k: int, shards: int):
+    """Counts of (phrase of k words, next word) in each block, for each shard."""
     def rows(batches):
         for batch in batches:
-            for block, lang, phrase, word in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "phrase", "word"))):
-                phrase, word = np.frombuffer(phrase, np.int64), np.frombuffer(word, np.int64)
+            for i in range(batch.num_rows):
+                phrase, word = (unpacked(batch.column(c)[i].as_py()) for c in ("phrase", "word"))
                 at = places(phrase, word, k)
-                if len(at):
-                    a, b, n = tally(phrase[at], word[at + k])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), block)), pa.array([lang] * len(a)), pa.array(a), pa.array(b), pa.array(n)],
-                                                     names=["block", "lang", "a", "b", "n"])
+                keys, counts = tally(phrase[at], word[at + k])
+                shard = (blocks.mix64(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                by = np.argsort(shard, kind="stable")
+                parts = [p for p in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1) if len(p)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard[p[0]] for p in parts], pa.int32()), pa.array([batch.column("block")[i].as_py()] * len(parts), pa.int64()),
+                     pa.array([batch.column("lang")[i].as_py()] * len(parts), pa.string()),
+                     pa.array([blocks.pack(keys[p].astype(np.uint64)) for p in parts], pa.binary()), pa.array([blocks.planes(counts[p]) for p in parts], pa.binary())],
+                    names=["shard", "block", "lang", "keys", "counts"])
     return rows
 
 
-def streams(batch_like, phrase: list, word: list) -> pa.Table:
-    return pa.table({"block": batch_like["block"], "lang": batch_like["lang"], "phrase": pa.array([p.tobytes() for p in phrase], pa.binary()),
-                     "word": pa.array([w.tobytes() for w in word], pa.binary())})
+ASKED_PAIRS = "shard int, block bigint, lang string, keys binary, counts binary"
+
+
+def count_pairs(least: int):
+    def counted(table: pa.Table) -> pa.Table:
+        """The frequent pairs of a shard."""
+        out = {k: [] for k in ("lang", "keys", "f")}
+        lang = np.array(table["lang"].to_pylist(), object)
+        for one in sorted(set(lang)):
+            mine = np.flatnonzero(lang == one)
+            keys = np.concatenate([blocks.unpack(table["keys"][int(i)].as_py()) for i in mine])
+            counts = np.concatenate([blocks.from_planes(table["counts"][int(i)].as_py(), "<i8") for i in mine])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            f = np.add.reduceat(counts[order], new) if len(new) else new
+            out["keys"].append(keys[new][f >= least].astype(np.int64))
+            out["f"].append(f[f >= least])
+            out["lang"] += [one] * len(out["f"][-1])
+        keys, f = np.concatenate(out["keys"]), np.concatenate(out["f"])
+        return pa.table({"shard": pa.array(np.full(len(f), table["shard"][0].as_py(), np.int32)), "lang": pa.array(out["lang"], pa.string()),
+                         "a": pa.array(keys >> WORD_BITS), "b": pa.array(keys & ((1 << WORD_BITS) - 1)), "f": pa.array(f.astype(np.int64))})
+    return counted
+
+
+def answer_pairs(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """For each block, the frequent ones among its pairs and their numbers."""
+    lang = np.array(known["lang"].to_pylist(), object)
+    keys, number = pair_keys(known["a"].to_numpy(), known["b"].to_numpy()), known["number"].to_numpy()
+    tables = {}
+    for one in set(lang):
+        mine = np.flatnonzero(lang == one)
+        mine = mine[np.argsort(keys[mine])]
+        tables[one] = keys[mine], number[mine]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    out, numbers = [], []
+    for one, wanted in zip(asked["lang"].to_pylist(), asked["keys"].to_pylist()):
+        want = blocks.unpack(wanted).astype(np.int64)
+        mine, known_as = tables.get(one, none)
+        at = np.searchsorted(mine, want)
+        at[at == len(mine)] = 0
+        hit = mine[at] == want if len(mine) else np.zeros(len(want), bool)
+        out.append(blocks.pack(want[hit].astype(np.uint64)))
+        numbers.append(blocks.planes(known_as[at[hit]] if len(mine) else known_as))
+    return answers(asked, out, numbers)
 
 
 STREAMS = "block bigint, lang string, phrase binary, word binary"
 
 
+def streams(block: pa.Table, phrase: bytes, word: bytes) -> pa.Table:
+    return pa.table({"block": block["block"], "lang": block["lang"], "phrase": pa.array([phrase], pa.binary()), "word": pa.array([word], pa.binary())})
+
+
 def number_words(block: pa.Table, known: pa.Table) -> pa.Table:
     """A block's stream in global word numbers; -1 for breaks and words that are not frequent."""
-    word = []
-    at, number = known["at"].to_numpy(), known["number"].to_numpy()
-    for stream in block["stream"].to_pylist():
-        local = np.frombuffer(stream, np.uint32)
-        table = np.full(int(local.max(initial=0)) + 1, -1, np.int64)
-        table[at] = number
-        word.append(table[local])
+    local = blocks.from_planes(block["stream"][0].as_py(), "<u4")
+    table = np.full(int(local.max(initial=0)) + 1, -1, np.int64)
+    for at, numbers in zip(known["keys"].to_pylist(), known["numbers"].to_pylist()):
+        table[blocks.from_planes(at, "<u4")] = blocks.from_planes(numbers, "<i8")
+    word = packed(table[local])
     return streams(block, word, word)
 
 
 def number_phrases(k: int):
     def renumber(block: pa.Table, known: pa.Table) -> pa.Table:
         """A block's stream with the numbers of the frequent phrases of k + 1 words in place of those of k words."""
-        order = np.lexsort((known["b"].to_numpy(), known["a"].to_numpy()))
-        a, b, number = (known[c].to_numpy()[order] for c in ("a", "b", "number"))
-        phrases, words = [], []
-        for phrase, word in zip(block["phrase"].to_pylist(), block["word"].to_pylist()):
-            phrase, word = np.frombuffer(phrase, np.int64), np.frombuffer(word, np.int64)
-            at = places(phrase, word, k)
-            longer = np.full(len(word), -1, np.int64)
-            if len(a) and len(at):
-                # number the left phrases densely, so that a pair is one key
-                left, first = np.unique(a, return_index=True)
-                wide = int(max(b.max(), word.max())) + 1
-                of = np.searchsorted(left, phrase[at])
-                of[of == len(left)] = 0
-                met = left[of] == phrase[at]
-                keys = np.searchsorted(left, a) * wide + b
-                want = of * wide + word[at + k]
-                spot = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                met &= keys[spot] == want
-                longer[at[met]] = number[spot[met]]
-            phrases.append(longer)
-            words.append(word)
-        return streams(block, phrases, words)
+        keys = np.concatenate([np.zeros(0, np.int64), *(blocks.unpack(x).astype(np.int64) for x in known["keys"].to_pylist())])
+        number = np.concatenate([np.zeros(0, np.int64), *(blocks.from_planes(x, "<i8") for x in known["numbers"].to_pylist())])
+        order = np.argsort(keys)
+        keys, number = keys[order], number[order]
+        same = block["word"][0].as_py()
+        phrase, word = unpacked(block["phrase"][0].as_py()), unpacked(same)
+        at = places(phrase, word, k)
+        longer = np.full(len(word), -1, np.int64)
+        if len(keys):
+            want = pair_keys(phrase[at], word[at + k])
+            spot = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            met = keys[spot] == want
+            longer[at[met]] = number[spot[met]]
+        return streams(block, packed(longer), same)
     return renumber
 
 
@@ -215,27 +347,29 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     src = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), text_or_empty(text_col).alias("text"))
     made = stage(src.mapInArrow(blocks_of, "block bigint, lang string, stream binary, words array<string>, counts array<bigint>"), "blocks")
     totals = stage(made.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n")), "totals")
+    total = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
 
-    lists = made.select(F.col("block").alias("of"), "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-    lists = lists.select("of", "lang", (F.col("at") + 1).cast("long").alias("at"), F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
-    heard = lists.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    level = numbered(heard, ["phrase"], "words")
+    asked = stage(made.select("block", "lang", "words", "counts").mapInArrow(ask_words(shards), ASKED_WORDS), "asked")
+    level = numbered(asked.groupBy("shard").applyInArrow(count_words(min_count), "shard int, lang string, phrase string, f bigint"), ["phrase"], "words")
     words = level.select("lang", F.col("number").alias("b"), F.col("phrase").alias("last"))
-    known = lists.join(level, ["lang", "phrase"]).select("of", "at", "number")
-    coded = stage(made.select("block", "lang", "stream").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(number_words, STREAMS), "coded")
+    known = level.select(F.col("shard").alias("in_shard"), "lang", "phrase", "number")
+    told = asked.groupBy("shard").cogroup(known.groupBy("in_shard")).applyInArrow(answer_words, ANSWERS)
+    coded = stage(made.select("block", "lang", "stream").groupBy("block").cogroup(told.groupBy("of")).applyInArrow(number_words, STREAMS), "coded")
     found = level.select("lang", "phrase", F.lit(1).alias("size"), "f")
 
     for k in range(1, longest):
-        pairs = stage(coded.mapInArrow(pair_rows(k), "block bigint, lang string, a bigint, b bigint, n bigint"), "pairs")
-        often = pairs.groupBy("lang", "a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+        asked = stage(coded.mapInArrow(ask_pairs(k, shards), ASKED_PAIRS), "asked")
+        often = asked.groupBy("shard").applyInArrow(count_pairs(min_count), "shard int, lang string, a bigint, b bigint, f bigint")
         counted = numbered(often, ["a", "b"], "phrases")
         shorter = level.select("lang", F.col("number").alias("a"), F.col("phrase").alias("start"))
         level = stage(counted.join(shorter, ["lang", "a"]).join(words, ["lang", "b"])
-                      .select("lang", "a", "b", "number", "f", F.concat_ws(" ", "start", "last").alias("phrase")), "phrases")
+                      .select("shard", "lang", "a", "b", "number", "f", F.concat_ws(" ", "start", "last").alias("phrase")), "phrases")
         found = found.unionByName(level.select("lang", "phrase", F.lit(k + 1).alias("size"), "f"))
         if k + 1 < longest:
-            known = pairs.join(level.select("lang", "a", "b", "number"), ["lang", "a", "b"]).select("block", "a", "b", "number")
-            coded = stage(coded.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(number_phrases(k), STREAMS), "coded")
+            known = level.select(F.col("shard").alias("in_shard"), "lang", "a", "b", "number")
+            told = asked.groupBy("shard").cogroup(known.groupBy("in_shard")).applyInArrow(answer_pairs, ANSWERS)
+            coded = stage(coded.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(number_phrases(k), STREAMS), "coded")
     return totals, found
 
 
