@@ -11,13 +11,15 @@ A document's set is its distinct 5-word shingles (fewer words: the whole sequenc
    two classes with similarity s, a band agrees with chance s^ROWS: at s = 0.85 all 32 bands of 6 miss with a chance
    of 3e-7, at 0.9 with 1e-10.
 3. Stars. In a bucket, one class is the centre and the others are paired with it alone: k - 1 candidates for k classes.
-   Confirmed pairs tie components together. Where a bucket still holds classes of several components, it needs more: its
-   largest component stays, centres are drawn among the others (twice as many in each round), paired with the members of other
-   components, and taken out. A bucket is done when one component is left. So every two classes of a bucket are tied
-   already, or one of them was a centre and the pair was looked at: no link between members of a bucket is lost, and all
-   pairs are looked at only among classes that really are apart.
-4. Confirming. A centre's members are dealt into slices of ``SLICE`` and slices into tasks by bytes of text; a task makes
-   the sets from the texts. So a centre with any number of members is spread out.
+   Confirmed pairs tie components together; a bucket with one component left is done.
+4. The rest. A star may miss a link between two members that are not like its centre. Buckets that still hold several
+   components tie these to neighbourhoods (k - 1 edges between k components), and the classes of a neighbourhood are compared in
+   tasks, by counting shared shingles for ``MOST`` classes at a time; a larger neighbourhood is cut into blocks, and each
+   task gets two of them. So every two classes of a bucket are tied, or were compared: no link between members of a
+   bucket is lost. Pairs that no star confirmed are never rows.
+5. Confirming. A centre's members are dealt into slices of ``SLICE`` and slices into tasks by bytes of text; a task makes
+   the sets from the texts. So a centre with any number of members is spread out. Only the texts of classes that share a
+   bucket are moved.
 
 Buckets are rows and are only counted, reduced by partial aggregates and joined, never gathered. Null or empty text, or text
 without words, has no shingles and links with nothing. Repeated rows are rows of their own with the same set. The
@@ -36,12 +38,14 @@ from pyspark.sql import functions as F
 
 from cuadre.llm import blocks
 from cuadre.llm.common import stage, text_or_empty
-from cuadre.llm.ngram_join import components, shingle_sets
+from cuadre.llm.ngram_join import components, shared_counts, shingle_sets
 
 PERCENT = 85
 BANDS, ROWS = 32, 6
 #: Documents whose signatures are made at once, members of a centre in a slice, and bytes of text in a task.
 BATCH, SLICE, TASK_BYTES = 512, 256, 16_000_000
+#: Classes that one task compares after the stars.
+MOST = 2048
 
 
 def draws(bins: int, attempt: int) -> np.ndarray:
@@ -111,58 +115,87 @@ def confirm(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _, _ in pairs], pa.int64()), "b": pa.array([y for _, y, _ in pairs], pa.int64()), "linked": pa.array(linked, pa.bool_())})
 
 
+def dealt(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` (rep, ...) with the class's text; by a merge join at every size, as neither side is known to be small."""
+    return rows.join(texts.hint("merge"), "rep")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, linked) of the pairs (a, b); ``texts`` has (rep, text)."""
-    slices = F.ceil(F.col("k") / SLICE).cast("int")
-    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).withColumn("slices", slices)
-    sliced = pairs.join(stars, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int"))
-    members = stage(sliced.join(texts.withColumnRenamed("rep", "b"), "b").select("a", "slice", "b", "text"), "members")
-    size = members.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).withColumn("slices", F.ceil(F.col("k") / SLICE).cast("int"))
+    members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), "b", F.col("b").alias("rep"))
+    centres = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("long").alias("b"), F.col("a").alias("rep"))
+    rows = stage(dealt(members.unionByName(centres), texts), "members")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    centres = stars.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).join(texts.withColumnRenamed("rep", "a"), "a")
-    rows = members.unionByName(centres.select("a", "slice", F.lit(None).cast("long").alias("b"), "text"))
-    dealt = rows.withColumn("task", F.pmod(F.xxhash64("a", "slice"), F.lit(tasks)).cast("int"))
-    return dealt.groupBy("task").applyInArrow(confirm, "a bigint, b bigint, linked boolean")
-
-
-def star_labels(posts: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """(rep, label) of the classes tied to others, from ``posts`` (bucket, rep, n); None without any link."""
-    labels, seen, centres = None, None, 1
-    while True:
-        if labels is None:
-            live = posts.withColumn("label", F.col("rep"))
-        else:
-            live = posts.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        live = live.withColumn("turn", F.xxhash64("rep"))
-        held = live.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"), F.max("turn").alias("turn"))
-        open_ = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("k"), F.max(F.struct("k", "turn", "label")).alias("big")).where("labels > 1")
-        open_ = open_.select("bucket", F.col("big.label").alias("big"), (F.col("k") - F.col("big.k")).alias("others"))
-        live = stage(live.join(open_, "bucket"), "live")
-        if live.isEmpty():
-            return labels
-        apart = live.where("label <> big")
-        star = F.struct("turn", "rep", "n", "label")
-        chosen = apart.groupBy("bucket").agg(F.min(star).alias("c"))
-        if centres > 1:
-            drawn = F.pmod(F.xxhash64("rep", F.lit(centres)), F.ceil(F.col("others") / centres)) == 0
-            chosen = chosen.unionByName(apart.where(drawn).select("bucket", star.alias("c"))).distinct()
-        chosen = stage(chosen.select("bucket", F.col("c.rep").alias("a"), F.col("c.n").alias("a_n"), F.col("c.label").alias("a_label")), "centres")
-        near = live.join(chosen, "bucket").where("rep <> a and label <> a_label").where(
-            100 * F.least("n", "a_n") >= PERCENT * F.greatest("n", "a_n"))
-        lo, hi = F.least("a", "rep").alias("lo"), F.greatest("a", "rep").alias("hi")
-        pairs = near.groupBy(lo, hi).agg(F.min("a").alias("a")).select("lo", "hi", "a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
-        if seen is not None:
-            pairs = pairs.join(seen, ["lo", "hi"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        told = stage(confirmed(pairs.select("a", "b"), texts), "told")
-        both = told.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "linked")
-        links = both.where("linked").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-        seen = both.select("lo", "hi") if seen is None else seen.unionByName(both.select("lo", "hi"))
-        if labels is not None:  # a component so far is a star around its label
-            links = links.unionByName(labels.where("rep <> label").select(F.col("label").alias("a"), F.col("rep").alias("b")))
-        labels = components(links)
-        posts = live.select("bucket", "rep", "n").join(chosen.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
-        centres *= 2
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("a", "slice"), F.lit(tasks)).cast("int"))
+    return rows.groupBy("task").applyInArrow(confirm, "a bigint, b bigint, linked boolean")
+
+
+def compare(table: pa.Table) -> pa.Table:
+    """A spanning forest of the links of every neighbourhood (or two blocks of one) in a task."""
+    table = table.sort_by([("home", "ascending"), ("rep", "ascending")])
+    home, rep, label = (table[c].to_numpy() for c in ("home", "rep", "label"))
+    sets = shingle_sets(table["text"].to_pylist())
+    cut = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]]))
+    out = []
+    for x, y in zip(cut[:-1], cut[1:]):
+        size = np.fromiter(map(len, sets[x:y]), np.int64, y - x)
+        same = shared_counts(sets[x:y])
+        i, j = np.nonzero((100 + PERCENT) * same >= PERCENT * np.add.outer(size, size))
+        up = {}
+
+        def top(v):
+            while up.get(v, v) != v:
+                v = up[v]
+            return v
+
+        for a, b in zip(i.tolist(), j.tolist()):
+            if a < b and label[x + a] != label[x + b]:
+                p, q = top(label[x + a]), top(label[x + b])
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    out.append((rep[x + a], rep[x + b]))
+    return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
+
+
+def neighbourhood_links(live: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) links that tie the components of the open buckets ``live`` (bucket, rep, label), found by comparing all
+    classes of a neighbourhood."""
+    held = live.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    lead = held.groupBy("bucket").agg(F.min_by("label", F.xxhash64("label")).alias("a"))
+    near = held.join(lead, "bucket").where("label <> a").select("a", F.col("label").alias("b")).distinct()
+    homes = components(near).select(F.col("rep").alias("label"), F.col("label").alias("home"))
+    classes = stage(live.select("rep", "label").distinct().join(homes, "label"), "homes")
+    sizes = classes.groupBy("home").agg(F.count(F.lit(1)).alias("members"))
+    rows = stage(dealt(classes.join(sizes, "home"), texts), "homes")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    tasks = max(int(live.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    small = rows.where(F.col("members") <= MOST).withColumn("task", F.concat(F.lit("t"), F.pmod(F.xxhash64("home"), F.lit(tasks)).cast("string")))
+    parts = F.ceil(F.col("members") / (MOST // 2)).cast("int")
+    large = rows.where(F.col("members") > MOST).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    large = large.withColumn("task", F.concat_ws("/", "home", F.least("part", "other"), F.greatest("part", "other"))).drop("part", "other")
+    return small.unionByName(large).select("task", "home", "rep", "label", "text").groupBy("task").applyInArrow(compare, "a bigint, b bigint")
+
+
+def star_labels(posts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, label) of the classes tied to others, from ``posts`` (bucket, rep, n) of buckets with several classes."""
+    turn = F.xxhash64("rep")
+    centres = posts.groupBy("bucket").agg(F.min(F.struct(turn.alias("turn"), "rep", "n")).alias("c"))
+    near = posts.join(centres, "bucket").where(F.col("rep") != F.col("c.rep")).where(100 * F.least("n", "c.n") >= PERCENT * F.greatest("n", "c.n"))
+    pairs = stage(near.select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    labels = components(confirmed(pairs, texts).where("linked").select("a", "b"))
+
+    live = posts.join(labels, "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+    several = live.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
+    live = stage(live.join(several, "bucket"), "live")
+    return labels if live.isEmpty() else joined(labels, neighbourhood_links(live, texts))
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links (a, b); a component so far is a star around its label."""
+    return components(links.unionByName(labels.where("rep <> label").select(F.col("label").alias("a"), F.col("rep").alias("b"))))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,11 +208,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     reps = able.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     posts = stage(reps.select(F.explode("bands").alias("bucket"), F.col("row").alias("rep"), "n"), "posts")
     met = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    labels = star_labels(posts.join(met, "bucket"), able.select(F.col("row").alias("rep"), "text"))
+    met = stage(posts.join(met, "bucket"), "met")
+    texts = stage(dealt(met.select("rep").distinct(), able.select(F.col("row").alias("rep"), "text")), "texts")
+    labels = star_labels(met, texts)
 
-    groups = classes.withColumn("label", F.col("rep"))
-    if labels is not None:
-        groups = classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    groups = classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     rows = sets.select("row", "doc_id", "n", "digest").join(groups.select("digest", "label"), "digest", "left").withColumn("label", F.coalesce("label", "row"))
     least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id",
