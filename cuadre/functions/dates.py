@@ -195,9 +195,10 @@ def date_decisions(df: DataFrame, fields: list[str], order_col: str, group_cols:
     fields = [f for f in fields if f in df.columns]
     if not fields:
         return None
-    base = df.select(*g, F.col(order_col).alias("__o"),
+    times = time_columns(df, fields)
+    base = df.select(*g, F.col(order_col).alias("__o"), *[F.col(t).alias(f"__t_{t}") for t in times],
                      *[_strip(F.col(f)).alias(f) for f in fields])
-    long = base.unpivot(ids=g + ["__o"], values=fields, variableColumnName="__field", valueColumnName="__v")
+    long = base.select(*g, "__o", *fields).unpivot(ids=g + ["__o"], values=fields, variableColumnName="__field", valueColumnName="__v")
     long = long.where(F.col("__v").isNotNull())
     w = W.partitionBy(*g, "__field").orderBy("__o")
     smp = (long.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= sample)
@@ -223,6 +224,7 @@ def date_decisions(df: DataFrame, fields: list[str], order_col: str, group_cols:
         b = F.regexp_extract(F.col(f), rx, 2).try_cast("int")
         day.append((~(F.max(F.coalesce(b > 12, F.lit(False))) & ~F.max(F.coalesce(a > 12, F.lit(False)))))
                    .alias(f"__d_{f}"))
+    day += [(F.count(f"__t_{t}") == 0).alias(f"__e_{t}") for t in times]
     days = base.groupBy(*g).agg(*day) if g else base.agg(*day)
     return wide.join(days, g, "full") if g else wide.crossJoin(days)
 
@@ -269,12 +271,19 @@ def time_field_name(field: str) -> tuple[str, str]:
     return field, (f"{field}_time" if t == field else t)
 
 
+def time_columns(df: DataFrame, fields) -> list[str]:
+    """Columns of ``df`` that would receive the times of the date fields."""
+    names = [time_field_name(f)[1] for f in fields if f in df.columns]
+    return [t for t in dict.fromkeys(names) if t in df.columns]
+
+
 def split_datetime(df: DataFrame, fields=("entry_date", "entry_time", "posting_date"), order_col: str = "row_id",
                    group_cols: list[str] | None = None, keep_format: bool = False,
                    decisions_attached: bool = False) -> DataFrame:
     """D06 (D07 with ``keep_format``): per date field present, decide the action per column (and group), then
-    convert to ISO, leave, or split into a date and a time column. Decisions are a tiny per-group table joined back
-    (a 1-row broadcast for a single ledger), the rows are rewritten with native expressions."""
+    convert to ISO, leave, or split into a date and a time column. A time column that is there and holds nothing in
+    the group receives the times; where it holds values they go to a twin (``_1``). Decisions are a tiny per-group table
+    joined back (a 1-row broadcast for a single ledger), the rows are rewritten with native expressions."""
     g = group_cols or []
     present = [f for f in fields if f in df.columns]
     if not present:
@@ -283,10 +292,14 @@ def split_datetime(df: DataFrame, fields=("entry_date", "entry_time", "posting_d
         # all decisions from the input in one pass; one row per group, attached once
         dec = date_decisions(df, present, order_col, g)
         df = df.join(dec, g, "left") if g else df.crossJoin(F.broadcast(dec))  # 1-row broadcast only
+    decided = [c for c in df.columns if c.startswith("__e_")]
     for field in present:
         a, d = F.col(f"__a_{field}"), F.coalesce(F.col(f"__d_{field}"), F.lit(True))
         date_field, time_field = time_field_name(field)
+        fill = None
         if time_field in df.columns and time_field != field:
+            if f"__e_{time_field}" in decided:
+                fill = (time_field, F.coalesce(F.col(f"__e_{time_field}"), F.lit(True)))
             n = 1
             while f"{time_field}_{n}" in df.columns:
                 n += 1
@@ -307,9 +320,13 @@ def split_datetime(df: DataFrame, fields=("entry_date", "entry_time", "posting_d
         if field in ("entry_date", "entry_time") or time_field not in df.columns:
             base_time = F.col(time_field) if time_field in df.columns else F.lit(None).cast("string")
             cols[time_field] = F.when(a == "split", time_out).otherwise(base_time)
+        if fill:
+            whole, empty = fill
+            cols[time_field] = F.when((a == "split") & ~empty, time_out)
+            cols[whole] = F.when((a == "split") & empty, time_out).otherwise(F.col(whole))
         if field == "entry_time":
             cols = {"entry_date": F.when(a == "split", date_out).otherwise(
                         F.col("entry_date") if "entry_date" in df.columns else F.lit(None).cast("string")),
                     "entry_time": F.when(a == "split", time_out).otherwise(F.col("entry_time"))}
         df = df.withColumns(cols).drop(f"__a_{field}", f"__d_{field}", "__ts", "__s", "__pd", "__pt")
-    return df
+    return df.drop(*decided)

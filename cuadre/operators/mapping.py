@@ -28,8 +28,18 @@ SPECIFICITY_KEYWORDS = {
     "posting_date": ["fecha", "date"], "gl_account_number": ["cuenta", "account"],
     "gl_account_name": ["nombre", "name"], "vendor_id": ["proveedor", "vendor", "supplier"],
 }
+# fixed values: keyword groups of the priority order (K03), the first group that a name contains counts
+PRIORITY_GROUPS = [
+    (["saldo", "balance"], 1), (["debe", "debit"], 1), (["haber", "credit"], 1),
+    (["fecha", "date"], 2), (["asiento", "journal"], 2), (["cuenta", "account"], 2),
+    (["cabecera", "header"], 3), (["concepto", "concept"], 3),
+    (["descripcion", "description"], 4),
+    (["doc", "documento", "numero"], 5), (["proveedor", "vendor", "supplier"], 5), (["nombre", "name"], 5),
+]
+LAST_PRIORITY = 6
 CONFIDENCE_THRESHOLD = 0.75
 MIN_CONFIDENCE = 0.3
+LEARNED_RAISES = 0.7
 
 
 def normalize_field_name(name: Column) -> Column:
@@ -156,7 +166,49 @@ def forced_headers(best: DataFrame) -> DataFrame:
                 .withColumn("confidence", F.when(F.col("__force"), F.lit(0.95)).otherwise(F.col("confidence"))))
 
 
-def fold_claims(best: DataFrame, better_amount: DataFrame, balance: DataFrame | None = None) -> DataFrame:
+def column_priority(name: Column) -> Column:
+    """1 for the most specific names to 6 for all others."""
+    low = F.lower(name)
+    out = None
+    for words, priority in PRIORITY_GROUPS:
+        hit = reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+        out = F.when(hit, priority) if out is None else out.when(hit, priority)
+    return out.otherwise(LAST_PRIORITY)
+
+
+def forced_by_priority(best: DataFrame, columns: DataFrame) -> DataFrame:
+    """T05 in the priority order: the first column, by (K03, ordinal), that claims ``description`` decides. If it is named
+    as a header (whether or not anything else matches it), it is forced to ``description`` at 0.95; if a column took the
+    field before, nothing is forced."""
+    low = F.lower(F.col("column"))
+    named = (low.contains("cabecera") | low.contains("header")) & low.contains("description")
+    all_ = columns.select("file_id", "column", "ordinal").join(best.drop("ordinal"), ["file_id", "column"], "left")
+    claims = named | (F.col("field_type") == "description")
+    place = F.struct(column_priority(F.col("column")), "ordinal", "column")
+    first = all_.where(claims).groupBy("file_id").agg(F.min_by(F.when(named, F.col("column")), place).alias("__first"))
+    j = all_.join(first, "file_id", "left").withColumn("__force", F.coalesce(F.col("column") == F.col("__first"), F.lit(False)))
+    return (j.withColumn("field_type", F.when(F.col("__force"), F.lit("description")).otherwise(F.col("field_type")))
+             .withColumn("confidence", F.when(F.col("__force"), F.lit(0.95)).otherwise(F.col("confidence")))
+             .where(F.col("field_type").isNotNull()).drop("__first"))
+
+
+def harmonise_by_priority(best: DataFrame, columns: DataFrame, better_amount: DataFrame, balance: DataFrame | None = None) -> DataFrame:
+    """One pass over each file's columns in the priority order (K03), without a global resolution afterwards.
+
+    A column asks for its best field; it gets it if the field is free or if it beats the holder by the rules of W06 (for
+    journal ids W10). Every column that got its field in its turn stays in the result, also where a later one took the
+    field over (``taken_over``); a column that lost, or has no match, has no row with a field. One row per column:
+    (file_id, column, ordinal, priority, field_type, confidence, taken_over)."""
+    order = column_priority(F.col("column"))
+    kept = fold_claims(best, better_amount, balance, forced=forced_by_priority(best, columns), first=order)
+    last = Window.partitionBy("file_id", "field_type").orderBy(F.desc("pos"))
+    kept = kept.withColumn("taken_over", F.row_number().over(last) > 1)
+    return columns.select("file_id", "column", "ordinal", order.alias("priority")).join(
+        kept.select("file_id", "column", "field_type", "confidence", "taken_over"), ["file_id", "column"], "left")
+
+
+def fold_claims(best: DataFrame, better_amount: DataFrame, balance: DataFrame | None = None,
+                forced: DataFrame | None = None, first: Column | None = None) -> DataFrame:
     """K04 + W06: the columns each field keeps, (file_id, field_type, pos, column, confidence, quality).
 
     Processing order: the forced header (T05), then columns whose names hold an amount word (by ordinal), then the
@@ -164,14 +216,15 @@ def fold_claims(best: DataFrame, better_amount: DataFrame, balance: DataFrame |
     the current by more than 0.2, or, for ``amount``, if it is a better amount candidate (A18), or, for other fields,
     if its name is more specific (T06). For ``journal_entry_id`` the combined score 0.7 * balance + 0.3 * confidence
     must be strictly greater (W10); ``balance`` holds the trial's (file_id, column, quality), and without a trial the
-    balance part falls back to the confidence. Losers are dropped.
+    balance part falls back to the confidence. Losers are dropped. ``forced`` (best matches with ``__force``) and
+    ``first`` (the leading order) replace the processing order and T05's rule (X02).
     """
     low = F.lower(F.col("column"))
     amount_first = reduce(lambda a, b: a | b, [low.contains(w) for w in AMOUNT_PRIORITY_WORDS])
-    b = forced_headers(best).join(better_amount, ["file_id", "column"], "left")
+    b = (forced_headers(best) if forced is None else forced).join(better_amount, ["file_id", "column"], "left")
     b = (b.join(balance.select("file_id", "column", "quality"), ["file_id", "column"], "left") if balance is not None
          else b.withColumn("quality", F.lit(None).cast("double")))
-    b = (b.withColumn("proc_order", F.when(F.col("__force"), F.lit(0)).when(amount_first, F.lit(1)).otherwise(F.lit(2)))
+    b = (b.withColumn("proc_order", F.when(F.col("__force"), F.lit(0)).when(amount_first, F.lit(1)).otherwise(F.lit(2)) if first is None else first)
           .withColumn("spec", name_specificity(F.col("column"), F.col("field_type"))))
     cand = F.struct(F.col("proc_order"), F.col("ordinal"), F.col("column"), F.col("confidence"),
                     F.coalesce(F.col("better_amount"), F.lit(False)).alias("better_amount"), F.col("spec"), F.col("quality"))
@@ -267,18 +320,21 @@ def best_matches(sample: DataFrame, columns: DataFrame, synonyms: DataFrame, fie
 
 
 def map_columns(sample: DataFrame, synonyms: DataFrame, fields: DataFrame, threshold: float = CONFIDENCE_THRESHOLD,
-                columns: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+                columns: DataFrame | None = None, cells: DataFrame | None = None, trial=None) -> DataFrame:
     """The lake's sample -> final mappings (file_id, column, field_type, confidence, resolution_type), P08
-    applied (confidence >= threshold). With ``cells`` journal-id conflicts are decided by balance (J08, W10)."""
+    applied (confidence >= threshold). With ``cells``, or with ``trial``, a function of (best matches, trusted amounts),
+    journal-id conflicts are decided by balance (J08, W10)."""
     columns = sample.select("file_id", "column", "ordinal").distinct() if columns is None else columns
     from cuadre.session import cut_lineage
     best = best_matches(sample, columns, synonyms, fields)
     flags = better_amount_flags(sample)
-    if cells is not None:  # one row per column: computed once, read by every step below
+    if trial is None and cells is not None:
+        trial = lambda best, amounts: balance_trial(cells, best, amounts)
+    if trial is not None:  # one row per column: computed once, read by every step below
         best, flags = cut_lineage(best), cut_lineage(flags)
     final = resolve_conflicts(best, flags)
-    if cells is not None and not id_conflicts(best).isEmpty():  # the whole ledger is read only where ids compete
-        final = resolve_conflicts(best, flags, cut_lineage(balance_trial(cells, best, trusted_amounts(final))))
+    if trial is not None and not id_conflicts(best).isEmpty():  # the whole ledger is read only where ids compete
+        final = resolve_conflicts(best, flags, cut_lineage(trial(best, trusted_amounts(final))))
     return final.where(F.col("confidence") >= threshold)
 
 
@@ -374,8 +430,10 @@ def detect_erp(columns: DataFrame) -> DataFrame:
                       F.when(best["score"] > 0.3, best["erp"]).otherwise(F.lit("Generic_ES")).alias("erp"))
 
 
-def merge_candidate_sources(mapper: DataFrame, validators: DataFrame) -> DataFrame:
-    """Per (file, column, field): mapper and validator both -> average; one source -> its score."""
+def merge_candidate_sources(mapper: DataFrame, validators: DataFrame, learned: DataFrame | None = None) -> DataFrame:
+    """Per (file, column, field): mapper and validator both -> average; one source -> its score. ``learned`` (V15
+    scores) comes last: above 0.7 it raises a candidate that is there to its own score, and a field that no other source
+    names becomes a candidate."""
     m = mapper.select("file_id", "column", "field_type", F.col("confidence").alias("m"))
     v = validators.select("file_id", "column", "field_type", F.col("score").alias("v"))
     j = m.join(v, ["file_id", "column", "field_type"], "full")
@@ -383,8 +441,17 @@ def merge_candidate_sources(mapper: DataFrame, validators: DataFrame) -> DataFra
         .otherwise(F.coalesce("m", "v"))
     src = F.when(F.col("m").isNotNull() & F.col("v").isNotNull(), F.lit("mapper+validator")) \
         .when(F.col("m").isNotNull(), F.lit("mapper")).otherwise(F.lit("content_validator"))
-    return j.select("file_id", "column", "field_type", conf.alias("confidence"), src.alias("source"),
-                    F.col("v").alias("validator_score"))
+    out = j.select("file_id", "column", "field_type", conf.alias("confidence"), src.alias("source"),
+                   F.col("v").alias("validator_score"))
+    if learned is None:
+        return out
+    p = learned.select("file_id", "column", "field_type", F.col("score").alias("p"))
+    j = out.join(p, ["file_id", "column", "field_type"], "full")
+    raised = F.col("confidence").isNotNull() & (F.col("p") > LEARNED_RAISES)
+    return j.select("file_id", "column", "field_type",
+                    F.when(raised, F.greatest("confidence", "p")).otherwise(F.coalesce("confidence", "p")).alias("confidence"),
+                    F.when(F.col("source").isNull(), F.lit("learned_pattern")).when(raised, F.concat("source", F.lit("+learned_pattern")))
+                    .otherwise(F.col("source")).alias("source"), "validator_score")
 
 
 def top_candidates(cands: DataFrame, k: int = 3) -> DataFrame:

@@ -45,6 +45,17 @@ def pattern_to_regex(pattern_col: str = "char_pattern") -> F.Column:
     return F.when(F.col(pattern_col).isNotNull(), F.concat(F.lit("^"), F.array_join(parts, ""), F.lit("$")))
 
 
+def learn_patterns(decided: DataFrame, sample: DataFrame, confidence: float = 0.8) -> DataFrame:
+    """T10 + T11 on the columns of ``decided`` (file_id, column, field_type): (field_type, regex, boost, confidence,
+    sample_values), one row for each field and regex; columns whose values have no common pattern teach nothing."""
+    mine = sample.join(decided.select("file_id", "column", "field_type"), ["file_id", "column"])
+    regex = char_class_pattern(mine).select("file_id", "column", pattern_to_regex().alias("regex")).where("regex is not null")
+    values = mine.where("rn <= 5").groupBy("file_id", "column", "field_type").agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("v"))
+    rows = values.join(regex, ["file_id", "column"]).groupBy("field_type", "regex").agg(
+        F.min_by(F.col("v.value"), F.struct("file_id", "column")).alias("sample_values"))
+    return rows.select("field_type", "regex", F.lit(0.25).alias("boost"), F.lit(confidence).alias("confidence"), "sample_values")
+
+
 def upsert_learned_patterns(existing: DataFrame, new: DataFrame, keep_examples: int = 20) -> DataFrame:
     """Append unseen (field_type, regex) with boost 0.25; for seen ones merge sample values (last
     ``keep_examples`` distinct) and raise confidence by 0.05 up to 0.95. Both inputs:

@@ -301,18 +301,12 @@ def validator_scores(sample: DataFrame, threshold: float = 0.35, field_types: li
 def learned_pattern_scores(sample: DataFrame, patterns: DataFrame, threshold: float = 0.65) -> DataFrame:
     """Share of a column's sampled values matching any learned regex of a field; keep > ``threshold``.
 
-    ``patterns`` (field_type, regex) is the learned-pattern catalogue: configuration whose size is the catalogue's,
-    so it is read once and turned into one alternation per field - a plain aggregate over the sample, no join."""
-    rows = patterns.select("field_type", "regex").collect()  # catalogue-sized metadata
-    by_field: dict[str, list[str]] = {}
-    for r in rows:
-        by_field.setdefault(r.field_type, []).append(r.regex)
-    if not by_field:
-        return sample.sparkSession.createDataFrame([], "file_id string, column string, field_type string, "
-                                                       "score double")
-    aggs = [F.avg(F.col("value").rlike("|".join(f"(?:{p})" for p in pats)).cast("double")).alias(f)
-            for f, pats in by_field.items()]
-    wide = sample.groupBy("file_id", "column").agg(*aggs)
-    stack = ", ".join(f"'{f}', `{f}`" for f in by_field)
-    long = wide.selectExpr("file_id", "`column`", f"stack({len(by_field)}, {stack}) AS (field_type, score)")
-    return long.where(F.col("score") > threshold)
+    ``patterns`` (field_type, regex) is the learned-pattern table. Its regexes become one alternation per field by
+    aggregation, and the fields' alternations one row, which every sampled value meets: the pattern is data, a column
+    of the join, and nothing is read by the driver. The row has one entry for each field of the catalogue."""
+    per = patterns.where("regex is not null").groupBy("field_type").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("(?:"), "regex", F.lit(")")))), "|").alias("regex"))
+    one = per.agg(F.array_sort(F.collect_list(F.struct("field_type", "regex"))).alias("learned"))
+    met = sample.select("file_id", "column", "value").crossJoin(F.broadcast(one))  # a one-row aggregate
+    met = met.select("file_id", "column", "value", F.explode("learned").alias("l"))
+    hit = F.regexp_like(F.col("value"), F.col("l.regex")).cast("double")
+    return met.groupBy("file_id", "column", F.col("l.field_type").alias("field_type")).agg(F.avg(hit).alias("score")).where(F.col("score") > threshold)

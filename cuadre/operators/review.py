@@ -143,3 +143,35 @@ def apply_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:
         "file_id", "column", field.alias("field_type"), conf.alias("confidence"), kind.alias("decision_type"),
         (F.col("choice").isin("alternative", "manual") & (F.col("chosen_field") != F.col("field_type")))
         .alias("learn"))
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# feedback (X06 -> U05, U06)
+
+SYNONYM_KEY = ["field_type", "erp", "name"]
+
+
+def catalogue_changes(queue: DataFrame, decisions: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """U05 as data: what the decisions change in the catalogue, in its columns. A column whose field was chosen by hand
+    becomes a synonym of that field; a rejected suggestion deactivates the synonym that the column's name is."""
+    from cuadre.operators import catalog_ops as CO
+    add = CO.learned_synonyms(apply_decisions(queue, decisions).where("learn"), synonyms)
+    gone = queue.join(decisions.where("choice = 'reject'").select("file_id", "column"), ["file_id", "column"], "left_semi")
+    gone = gone.select("field_type", F.lower(F.trim("column")).alias("__k")).distinct()
+    off = synonyms.withColumn("__k", F.lower(F.trim("name"))).join(gone, ["field_type", "__k"], "left_semi").withColumn("deprecated", F.lit(True))
+    return add.select(*synonyms.columns).unionByName(off.select(*synonyms.columns))
+
+
+def merge_feedback(queue: DataFrame, decisions: DataFrame, sample: DataFrame, seed: DataFrame, catalogue_path: str, patterns_path: str) -> tuple[int, int]:
+    """X06's learning job: decisions in, the next version of the synonym catalogue and of the learned-pattern table out;
+    (catalogue version, pattern version). The same decisions again change nothing."""
+    from cuadre.operators import catalog_ops as CO
+    from cuadre.operators import patterns as PT
+    from cuadre.sources import versions as V
+    spark = decisions.sparkSession
+    run = V.run_id(decisions)
+    known = V.read_current(spark, catalogue_path, seed)
+    catalogue = V.commit(CO.upsert_synonyms(known, catalogue_changes(queue, decisions, known)), catalogue_path, run)
+    new = PT.learn_patterns(apply_decisions(queue, decisions).where("decision_type <> 'automatic'"), sample)
+    old = V.read_current(spark, patterns_path, new.limit(0))  # no row: the shape only
+    return catalogue, V.commit(PT.upsert_learned_patterns(old, new), patterns_path, run)

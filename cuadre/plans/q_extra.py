@@ -14,14 +14,18 @@ from cuadre.operators import journal as J
 from cuadre.operators import lines as L
 from cuadre.operators import mapping as M
 from cuadre.operators import profile as P
+from cuadre.operators import review as RV
 from cuadre.plans import duck
 from cuadre.plans.q_balance import ENTRY_SQL, JOURNAL_SQL
 from cuadre.plans.q_journal import RAW, ROW_ORDER
 from cuadre.plans.q_lines import _CONV_SQL, conv_lines
-from cuadre.plans.q_mapping import _mappings, _sample_sql, lake_cells, lake_columns, lake_sample
+from cuadre.plans.q_lake import new_folder
+from cuadre.plans.q_mapping import _mappings, _sample_sql, conflict_inputs, lake_cells, lake_columns, lake_sample
 from cuadre.plans.registry import query
 from cuadre.plans.views import lineitem_journal, raw_ledger
+from cuadre.session import cut_lineage
 from cuadre.sources import catalog as C
+from cuadre.sources import versions as V
 
 
 def _erp_sql():
@@ -121,6 +125,28 @@ def q_detect_fields(spark, sf):
     return fixed.join(quality, "file_id", "left")
 
 
+@query("learned_detection", ("X03", "X06", "V15", "N14", "U05", "U06", "S12", "T10", "T11"))
+def q_learned_detection(spark, sf):
+    """Decisions on the conflict ledger, merged as feedback, and what the learned patterns do to the other ledgers' fields:
+    every candidate with its confidence before and after."""
+    s1, c1, _ = conflict_inputs(spark, sf)
+    sample, cols = s1.unionByName(lake_sample(spark, sf)), c1.unionByName(lake_columns(spark))
+    seed = C.synonyms(spark)
+    best = cut_lineage(M.best_matches(sample, cols, seed, C.field_definitions(spark)))
+    vals = cut_lineage(P.validator_scores(sample))
+    queue = RV.review_queue(c1, best.where("file_id = 'cierre'").drop("ordinal"), RV.alternatives(vals, best, sample))
+    decisions = spark.createDataFrame([("cierre", "Fecha", "manual", "posting_date"), ("cierre", "Fecha date", "manual", "entry_date"), ("cierre", "Importe", "reject", None)],
+                                      "file_id string, column string, choice string, chosen_field string")
+    catalogue, patterns = new_folder(spark, "catalogue"), new_folder(spark, "patterns")
+    for _ in range(2):  # the second run finds its decisions merged
+        RV.merge_feedback(queue, decisions, sample, seed, catalogue, patterns)
+    learned = P.learned_pattern_scores(sample, spark.read.parquet(f"{patterns}/versions/1"))
+    before = M.merge_candidate_sources(best, vals).select("file_id", "column", "field_type", F.col("confidence").alias("before"))
+    after = M.merge_candidate_sources(best, vals, learned)
+    return after.join(before, ["file_id", "column", "field_type"], "left").select(
+        "file_id", "column", "field_type", "before", "confidence", "source", F.lit(V.current_version(spark, catalogue)).alias("catalogue_version"))
+
+
 @query("column_coverage", ("A20", "A33"), oracle=f"""
   WITH {_sample_sql(1)}
   SELECT file_id, "column", ordinal, count(*) AS "rows", count(value) AS nonnull, count(DISTINCT value) AS distinct_values,

@@ -278,6 +278,18 @@ def q_map_columns_conflicts(spark, sf):
     return M.map_columns(sample, C.synonyms(spark, CONFLICT_SYNONYMS), C.field_definitions(spark), columns=columns, cells=cells)
 
 
+@query("map_columns_priority", ("X02", "K03", "T05", "W06"))
+def q_map_columns_priority(spark, sf):
+    """The lake and the conflict ledger in the priority order."""
+    s1, c1, cells = conflict_inputs(spark, sf)
+    sample, columns = s1.unionByName(lake_sample(spark, sf)), c1.unionByName(lake_columns(spark))
+    best = cut_lineage(M.best_matches(sample, columns, C.synonyms(spark, CONFLICT_SYNONYMS), C.field_definitions(spark)))
+    flags = cut_lineage(M.better_amount_flags(sample))
+    amounts = M.trusted_amounts(M.resolve_conflicts(best, flags))
+    trial = cut_lineage(M.balance_trial(cells, best.where("file_id = 'cierre'"), amounts))
+    return M.harmonise_by_priority(best, columns, flags, trial)
+
+
 @query("balance_trial", ("J08", "W10", "P21", "A05"), oracle="""
   WITH j AS (SELECT l_orderkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem
              UNION ALL SELECT l_orderkey, l_suppkey, -CAST(l_extendedprice AS DECIMAL(18,2)) FROM lineitem WHERE l_linestatus = 'F'),
