@@ -141,7 +141,7 @@ def apply_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     kept = (F.coalesce(F.col("choice"), F.lit("accept")) != "reject") & field.isNotNull()
     return j.where(kept).select(
         "file_id", "column", field.alias("field_type"), conf.alias("confidence"), kind.alias("decision_type"),
-        (F.col("choice").isin("alternative", "manual") & (F.col("chosen_field") != F.col("field_type")))
+        (F.coalesce(F.col("choice"), F.lit("accept")).isin("alternative", "manual") & ~F.col("chosen_field").eqNullSafe(F.col("field_type")))
         .alias("learn"))
 
 
