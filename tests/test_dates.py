@@ -56,3 +56,13 @@ def test_day_first_decision(spark):
     assert dec["__d_posting_date"] is False          # a second component > 12, none first -> month-first
     out = {r.row_id: r.posting_date for r in D.split_datetime(df, fields=("posting_date",)).collect()}
     assert out == {1: "2024-01-15", 2: "2024-02-03"}
+
+
+def test_empty_time_column_receives_the_times(spark):
+    schema = "file_id string, row_id int, entry_date string, entry_time string"
+    rows = [("empty", 1, "05.01.2024 07:05:09", None), ("empty", 2, "06.01.2024 08:00:00", None),
+            ("filled", 1, "05.01.2024 07:05:09", "x"), ("filled", 2, "06.01.2024 08:00:00", None)]
+    out = D.split_datetime(spark.createDataFrame(rows, schema), fields=("entry_date",), group_cols=["file_id"])
+    got = {(r.file_id, r.row_id): (r.entry_date, r.entry_time, r.entry_time_1) for r in out.collect()}
+    assert got == {("empty", 1): ("2024-01-05", "07:05:09", None), ("empty", 2): ("2024-01-06", "08:00:00", None),
+                   ("filled", 1): ("2024-01-05", "x", "07:05:09"), ("filled", 2): ("2024-01-06", None, "08:00:00")}
