@@ -85,7 +85,8 @@ _YMD_RE = r"^(\d{4})([./-])(\d{1,2})\2(\d{1,2})" + _TIME_TAIL
 _COMPACT_RE = r"^(\d{4})(\d{2})(\d{2})(?:(\d{2})(\d{2})(\d{2}))?$"
 _DMY_RE = r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})" + _TIME_TAIL
 _MON_RE = r"^(\d{1,2})-([A-Za-z]{3})-(\d{4}|\d{2})$"
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"  # fixed value: English month abbreviations in calendar order
+# fixed values: English month abbreviations in calendar order
+_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
 def _norm_ts(y: Column, m: Column, d: Column, hh: Column, mi: Column, ss: Column) -> Column:
@@ -124,10 +125,10 @@ def _parse_formula(with_time: bool) -> S.Formula:
 
     def month_name(g):
         s = g("s")
-        mpos = F.position(F.nullif(F.lower(F.regexp_extract(s, _MON_RE, 2)), F.lit("")), F.lit(_MONTHS))
+        month = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(F.regexp_extract(s, _MON_RE, 2)))
         my = _grp(s, _MON_RE, 3)
         return _norm_ts(F.when(my < 100, my + 2000).otherwise(my),
-                        F.when((mpos > 0) & (mpos % 3 == 1), (mpos - 1) / 3 + 1).cast("int"), _grp(s, _MON_RE, 1),
+                        F.when(month > 0, month).cast("int"), _grp(s, _MON_RE, 1),
                         F.lit(None), F.lit(None), F.lit(None))
 
     def out(g):

@@ -79,6 +79,7 @@ FIELD_NAME_PATTERNS = [
     ("entrada", "entry_date", 0.8), ("entry", "entry_date", 0.8), ("proveedor", "vendor_id", 0.7),
     ("vendor", "vendor_id", 0.7), ("supplier", "vendor_id", 0.7),
 ]
+# fixed values: words of vendor and account names
 VENDOR_NAME_WORDS = ["proveedor", "vendor", "supplier", "fornecedor", "fournisseur", "fornitore", "lieferant"]
 VENDOR_ID_WORDS = ["id", "codigo", "code", "num"]
 ACCOUNT_NAME_WORDS = ["nombre", "name", "denominacion", "description", "desc", "titel", "titre", "titolo"]

@@ -25,6 +25,7 @@ MANUAL_DATE_PREFIXES = [
     r"^\d{1,2} (ene|feb|mar|abr|may|jun|jul|ago|sep|oct|nov|dic) \d{4}",
     r"^\d{4}-\d{2}-\d{2}T", r"^\d{4}-\d{2}-\d{2} ", r"^\d{8}", r"^\d{6}",
 ]
+# fixed values: date shapes that need no further check, and the fields that are offered for review
 STRICT_DATE_PREFIXES = [r"^\d{4}-\d{2}-\d{2}", r"^\d{2}/\d{2}/\d{4}", r"^\d{4}/\d{2}/\d{2}"]
 REVIEW_FIELDS = ["amount", "debit_amount", "credit_amount", "posting_date", "entry_date", "description",
                  "line_description", "gl_account_name", "journal_entry_id", "line_number", "fiscal_year",

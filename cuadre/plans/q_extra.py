@@ -20,7 +20,7 @@ from cuadre.plans.q_balance import ENTRY_SQL, JOURNAL_SQL
 from cuadre.plans.q_journal import RAW, ROW_ORDER
 from cuadre.plans.q_lines import _CONV_SQL, conv_lines
 from cuadre.plans.q_lake import new_folder
-from cuadre.plans.q_mapping import _mappings, _sample_sql, conflict_inputs, lake_cells, lake_columns, lake_sample
+from cuadre.plans.q_mapping import _mappings, _sample_sql, conflict_inputs, lake_cells, lake_columns, lake_sample, scanned_columns
 from cuadre.plans.registry import query
 from cuadre.plans.views import lineitem_journal, raw_ledger
 from cuadre.session import cut_lineage
@@ -44,7 +44,7 @@ def _erp_sql():
   b AS (SELECT file_id, arg_max(erp, (score, -o)) AS erp, max(score) AS erp_score FROM s GROUP BY file_id)
   SELECT file_id, erp_score, CASE WHEN erp_score > 0.3 THEN erp ELSE 'Generic_ES' END AS erp FROM b""")
 def q_erp_detect(spark, sf):
-    return M.detect_erp(lake_columns(spark))
+    return M.detect_erp(scanned_columns(spark, sf))
 
 
 @query("weighted_balance_score", ("A09",), oracle=f"""

@@ -12,10 +12,12 @@ from cuadre.operators import closeout as X
 from cuadre.operators import mapping as M
 from cuadre.operators import profile as P
 from cuadre.plans import duck
+from cuadre.plans.q_lake import new_folder
 from cuadre.plans.registry import query
 from cuadre.plans.views import raw_ledger
 from cuadre.session import cut_lineage
 from cuadre.sources import catalog as C
+from cuadre.sources.lake import read_lake
 from cuadre.sources.tables import table
 
 LEDGER_COLS = ["asiento", "linea", "cuenta", "tercero", "fecha", "fecha_hora", "importe", "debe", "haber", "signo"]
@@ -36,6 +38,14 @@ def lake_columns(spark):
     return spark.createDataFrame(rows, "file_id string, column string, ordinal int")
 
 
+def scanned_columns(spark, sf):
+    """(file_id, column, ordinal) as the lake scan finds them in the headers of the lake's ledgers, written as files."""
+    folder = new_folder(spark, "lake")
+    for f in lake_files(spark, sf):
+        f[1].select(*[F.col(c).cast("string") for c in f[3]]).write.option("header", True).csv(f"{folder}/{f[0]}")
+    return read_lake(spark, folder, by="folder").columns()
+
+
 def lake_cells(spark, sf):
     """Every cell of the lake: (file_id, column, ordinal, row_key, value)."""
     parts = [P.cells(f[1], f[0], f[2], f[3]).withColumn("row_key", F.to_json(F.struct("row_order"))) for f in lake_files(spark, sf)]
@@ -220,7 +230,7 @@ _PROBLEM = " OR ".join(f"(starts_with(lower(c.\"column\"), '{p}') AND strpos('{p
   SELECT h.file_id, h."column", h.field_type, max(conf) AS exact_conf, any_value(f.field_order) AS field_order
   FROM hits h LEFT JOIN fld f USING (field_type) GROUP BY h.file_id, h."column", h.field_type""")
 def q_name_matches(spark, sf):
-    return M.exact_matches(lake_columns(spark), C.synonyms(spark), C.field_definitions(spark)).select(
+    return M.exact_matches(scanned_columns(spark, sf), C.synonyms(spark), C.field_definitions(spark)).select(
         "file_id", "column", "field_type", "exact_conf", "field_order")
 
 
