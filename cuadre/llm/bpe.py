@@ -26,11 +26,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuadre.llm.blocks import _BASE, mix64
+
 #: The pre-token pattern of the byte-level vocabularies.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 CHUNK_CHARS = 6_000_000
+#: Characters whose pre-tokens are found at once.
+BLOCK_CHARS = 1_000_000
 DECODE_TOKENS = 1_000_000
-MAX_WORDS = 250_000
+MAX_WORDS = 400_000
+#: Kinds of characters, as the pattern tells them apart; ``ODD`` ones are left to the library.
+LETTER, NUMBER, SPACE, OTHER, ODD, UNKNOWN = range(6)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -68,6 +74,9 @@ class Vocabulary:
         keys = self.left << 32 | self.right
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], order
+        self.rank_type = np.uint16 if len(merges) <= 1 << 16 else np.int64  # short numbers sort faster
+        two = np.arange(1 << 16)
+        self.byte_pairs = self.ranks(self.of_byte[two >> 8], self.of_byte[two & 255])
         made = np.full(size, -1, np.int64)
         made[self.new] = np.arange(len(merges))
         ranks = np.arange(len(merges))
@@ -103,15 +112,17 @@ class PairIndex:
         self.starts, self.ends = ends - lens, ends
         self.lists: dict[int, list[np.ndarray]] = {}
         self.active: list[int] = []
-        self.add(np.flatnonzero(self.nxt[:n] < n))
+        pos = np.flatnonzero(self.nxt[:n] < n)
+        self.add(pos, vocab.byte_pairs[raw[pos].astype(np.int64) << 8 | raw[self.nxt[pos]]])
 
-    def add(self, pos: np.ndarray) -> None:
+    def add(self, pos: np.ndarray, r: np.ndarray | None = None) -> None:
         """Enter the pairs that begin at ``pos``."""
-        r = self.vocab.ranks(self.tok[pos], self.tok[self.nxt[pos]])
+        if r is None:
+            r = self.vocab.ranks(self.tok[pos], self.tok[self.nxt[pos]])
         pos, r = pos[r >= 0], r[r >= 0]
         if not len(pos):
             return
-        order = np.argsort(r, kind="stable")
+        order = np.argsort(r.astype(self.vocab.rank_type), kind="stable")
         pos, r = pos[order], r[order]
         cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
         for rank, part in zip(r[np.r_[0, cuts]].tolist(), np.split(pos, cuts)):
@@ -171,83 +182,176 @@ class _Numbered(dict):
         return i
 
 
+def token_starts(kind: np.ndarray, chars: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Marks the characters that begin a pre-token, for texts that lie one after the other and begin at ``begins``."""
+    n = len(chars)
+    text = np.zeros(n + 1, bool)
+    text[begins] = text[n] = True
+    edge = text[:n].copy()
+    edge[1:] |= kind[1:] != kind[:-1]
+    run = np.flatnonzero(edge)
+    end = np.append(run[1:], n)
+    goes_on = ~text[end]
+    spaces = (kind[run] == SPACE) & goes_on
+    out = edge
+    out[end[spaces] - 1] = True  # the last white space before something else stands apart
+    out[end[spaces & (chars[end - 1] == 0x20)]] = False  # and a space begins what follows
+    quote = run[(end - run == 1) & (chars[run] == ord("'")) & goes_on]
+    quote = quote[out[quote]]
+    c, d = chars[quote + 1], np.append(chars, [0])[quote + 2]
+    two = (np.isin(c, [ord("r"), ord("v")]) & (d == ord("e")) | (c == ord("l")) & (d == ord("l"))) & ~text[quote + 2]
+    taken = np.where(np.isin(c, [ord(x) for x in "stmd"]), 1, 2 * two)
+    quote, taken = quote[taken > 0], taken[taken > 0]
+    out[quote + 1] = False
+    after = quote + 1 + taken
+    out[after[after < n]] = True
+    return out
+
+
+class Collision(Exception):
+    """Two different pre-tokens have one hash."""
+
+
 class Encoder:
-    """Encodes batches of texts; pre-tokens already met in the partition keep their tokens."""
+    """Encodes batches of texts; pre-tokens already met in the partition keep their tokens.
+
+    Texts are cut and their pre-tokens numbered by array operations: a 64-bit hash finds a pre-token's number, and its
+    characters are then compared with those kept for the number; should they ever differ, the texts are encoded again
+    with other hashes."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.known: set[str] = set()
-        self.odd: set[str] = set()
+        self.kind = np.full(0x110000, UNKNOWN, np.uint8)
         self.library = None
+        self.seed = 0
         self.reset()
 
     def reset(self) -> None:
-        self.index = _Numbered()
-        self.done = 0
-        self.flat = np.zeros(0, np.int32)
-        self.count = np.zeros(0, np.int64)
-        self.first = np.zeros(0, np.int64)
+        """Forget all words; the first numbers are the special tokens'."""
+        special = list(self.vocab.special.values())
+        self.letter = mix64((np.arange(0x110000, dtype=np.uint64) + np.uint64(self.seed << 32 | 1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size = np.zeros(len(special), np.int64)
+        self.begin = np.zeros(len(special), np.int64)
+        self.chars = np.zeros(0, np.uint32)
+        self.fresh: list[bytes] = []
+        self.flat = np.array(special, np.int32)
+        self.count = np.ones(len(special), np.int64)
+        self.first = np.arange(len(special))
+
+    def kinds(self, chars: np.ndarray) -> np.ndarray:
+        kind = self.kind[chars]
+        for c in np.unique(chars[kind == UNKNOWN]).tolist():
+            x = chr(c)
+            # a character newer than this Python's tables may be a letter to one library and none to the other
+            self.kind[c] = (ODD if unicodedata.category(x) == "Cn" else LETTER if regex.match(r"\p{L}", x) else NUMBER if regex.match(r"\p{N}", x)
+                            else SPACE if regex.match(r"\s", x) else OTHER)
+        return self.kind[chars]
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text that holds no special token."""
-        fresh = set() if text.isascii() else set(text) - self.known
-        if fresh:
-            # a character newer than this Python's tables may be a letter to one library and none to the other
-            self.odd |= {c for c in fresh if unicodedata.category(c) == "Cn"}
-            self.known |= fresh
-        if self.odd and not self.odd.isdisjoint(text):
+        if (self.kinds(np.frombuffer(text.encode("utf-32-le"), np.uint32)) == ODD).any():
             if self.library is None:
                 from tokenizers import Tokenizer
                 self.library = Tokenizer.from_str(self.vocab.raw.decode()).pre_tokenizer
             return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
         return PATTERN.findall(text)
 
-    def words(self, text: str) -> np.ndarray:
-        """Word numbers of a text; special token i is -1 - i."""
-        get = self.index.__getitem__
-        v = self.vocab
-        if v.split is None or not any(s in text for s in v.special):
-            p = self.pieces(text)
-            return np.fromiter(map(get, p), np.int64, len(p))
-        out: list[int] = []
-        for part in v.split.split(text):
-            if part in v.special:
-                out.append(-1 - v.special[part])
-            elif part:
-                out.extend(map(get, self.pieces(part)))
-        return np.array(out, np.int64)
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the texts' pre-tokens, one after the other, and how many each text has."""
+        joined = "".join(texts)
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        n, lens = len(chars), np.fromiter(map(len, texts), np.int64, len(texts))
+        if not n:
+            return np.zeros(0, np.int64), lens
+        ends = np.cumsum(lens)
+        kind = self.kinds(chars)
+        begins = token_starts(kind, chars, (ends - lens)[lens > 0])
+        slow = set(np.searchsorted(ends, np.flatnonzero(kind == ODD), "right").tolist())
+        special = {t: i for i, t in enumerate(self.vocab.special)}
+        if any(t in joined for t in special):
+            slow |= {i for i, text in enumerate(texts) if any(t in text for t in special)}
+        marked = {}
+        for i in slow:  # texts with special tokens or odd characters are cut one by one
+            at = int(ends[i] - lens[i])
+            begins[at:ends[i]] = False
+            for part in self.vocab.split.split(texts[i]) if self.vocab.split else [texts[i]]:
+                if part in special:
+                    marked[at] = special[part]
+                for piece in [part] if part in special else self.pieces(part):
+                    begins[at] = True
+                    at += len(piece)
+        starts = np.flatnonzero(begins)
+        numbers = self.numbered(joined, chars, starts)
+        if marked:
+            numbers[np.searchsorted(starts, list(marked))] = list(marked.values())
+        before = np.append(0, np.cumsum(begins))
+        return numbers, before[ends] - before[ends - lens]
+
+    def numbered(self, joined: str, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The number of each pre-token; new ones are entered as known, and as ``fresh`` for ``learn``."""
+        n = len(chars)
+        size = np.diff(np.append(starts, n))
+        power = np.cumprod(np.full(int(size.max()), _BASE, np.uint64), dtype=np.uint64)
+        hashed = np.add.reduceat(self.letter[chars] * power[np.arange(n) - np.repeat(starts, size)], starts, dtype=np.uint64)
+        hashed += size.astype(np.uint64)
+        order = np.argsort(hashed)
+        keys = hashed[order]
+        head = np.append(True, keys[1:] != keys[:-1])
+        keys, sample = keys[head], order[head]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(head) - 1
+        begin, many = starts[sample], size[sample]
+        if (many[which] != size).any() or (chars[np.repeat(begin[which] - starts, size) + np.arange(n)] != chars).any():
+            raise Collision
+        at = np.searchsorted(self.hashes, keys)
+        met = np.zeros(len(keys), bool)
+        if len(self.hashes):
+            met = self.hashes[np.minimum(at, len(self.hashes) - 1)] == keys
+        number = np.empty(len(keys), np.int64)
+        number[met] = old = self.numbers[at[met]]
+        if (self.size[old] != many[met]).any() or (spans(self.chars, self.begin[old], many[met]) != spans(chars, begin[met], many[met])).any():
+            raise Collision
+        new = ~met
+        number[new] = len(self.size) + np.arange(np.count_nonzero(new))
+        self.hashes, self.numbers = np.insert(self.hashes, at[new], keys[new]), np.insert(self.numbers, at[new], number[new])
+        self.begin = np.append(self.begin, len(self.chars) + np.cumsum(many[new]) - many[new])
+        self.size = np.append(self.size, many[new])
+        self.chars = np.append(self.chars, spans(chars, begin[new], many[new]))
+        self.fresh += [joined[a:b].encode() for a, b in zip(begin[new].tolist(), (begin + many)[new].tolist())]
+        return number[which]
 
     def learn(self) -> None:
         """Tokens of the words that are new since the last call."""
-        if len(self.index) == self.done:
+        if not self.fresh:
             return
-        fresh = [w.encode() for w in list(self.index)[self.done:]]
-        pairs = PairIndex(self.vocab, fresh)
+        pairs = PairIndex(self.vocab, self.fresh)
         pairs.merge_all()
         flat, count = pairs.tokens()
         self.flat = np.concatenate([self.flat, flat])
         self.count = np.concatenate([self.count, count])
         self.first = np.cumsum(self.count) - self.count
-        self.done = len(self.index)
+        self.fresh = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > MAX_WORDS:  # the next batch meets its words anew; bounds memory only
+        if len(self.size) > MAX_WORDS:  # the next batch meets its words anew; bounds memory only
             self.reset()
-        words = [self.words(t) for t in texts]
+        while True:
+            try:
+                found = [self.words(texts[a:b]) for a, b in chunks(np.fromiter(map(len, texts), np.int64, len(texts)), BLOCK_CHARS)]
+                break
+            except Collision:
+                self.seed += 1
+                self.reset()
         self.learn()
         out = []
-        for w in words:
-            special = w < 0
-            if special.any():
-                parts = np.split(w, np.flatnonzero(np.diff(special, prepend=special[0])))
-                out.append(np.concatenate([(-1 - p).astype(np.int32) if p[0] < 0 else self.gather(p) for p in parts if len(p)]))
-            else:
-                out.append(self.gather(w))
+        for w, n_words in found:
+            count = self.count[w]
+            before = np.append(0, np.cumsum(count))
+            to = before[np.cumsum(n_words)]
+            out += np.split(spans(self.flat, self.first[w], count), to[:-1])
         return out
 
-    def gather(self, w: np.ndarray) -> np.ndarray:
-        return spans(self.flat, self.first[w], self.count[w])
-
     def decode(self, ids: np.ndarray) -> str:
         v = self.vocab
         parts = [spans(v.all_bytes, v.byte_first[x], v.byte_count[x]).tobytes()
@@ -273,15 +377,10 @@ def chunks(lens: np.ndarray, most: int = CHUNK_CHARS):
     return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
-                     id_bytes: int = 4, decode: bool = True) -> DataFrame:
-    """One row per document: id, ``n_tokens``, ``ids`` (binary, little-endian unsigned of ``id_bytes``) and, if asked
-    for, the ``decoded`` text."""
-    spark = docs.sparkSession
+def encoding(spark, vocab_path: str, id_bytes: int = 4, decode: bool = False):
+    """A function for tasks: Arrow batches of (doc_id, text) to batches of what ``encode_documents`` returns."""
     with open(vocab_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    id_type = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         enc = Encoder(vocabulary(shared.value))
@@ -297,6 +396,16 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                     *([pa.array([enc.decode(x) for x in ids], pa.string())] if decode else []),
                 ], names=["doc_id", "n_tokens", "ids", *(["decoded"] if decode else [])])
 
+    return run
+
+
+def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
+                     id_bytes: int = 4, decode: bool = True) -> DataFrame:
+    """One row per document: id, ``n_tokens``, ``ids`` (binary, little-endian unsigned of ``id_bytes``) and, if asked
+    for, the ``decoded`` text."""
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    id_type = src.schema["doc_id"].dataType.simpleString()
+    run = encoding(docs.sparkSession, vocab_path, id_bytes, decode)
     return src.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids binary" + ", decoded string" * decode)
 
 

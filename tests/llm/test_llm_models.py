@@ -148,6 +148,32 @@ def test_bpe_forgets_words_safely(sample_rows, monkeypatch):
     assert [enc.encode([t])[0].tolist() for t in texts] == library(texts)[0]
 
 
+def test_bpe_many_texts_at_once(monkeypatch):
+    """Texts of odd beginnings and ends side by side, in one array and in small ones."""
+    rng = random.Random(12)
+    bits = ["'", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'l", "'r", "l", "e", "s", " ", " ", "  ", "\n", "\t", "\x0b", "\x85", "\u00a0", "\u3000", "\u200b", "\x1c", "\x00",
+            "word", "Été", "日本", "١٢", "12", "½", "!", "?!", "…", "é", "e\u0301", "😀", "\ua7ce", "\U000323b0", "<|endoftext|>", "<|endof", "text|>", "ǅ", "ª", "Ⅷ", "_"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(0, 9))) for _ in range(30000)]
+    want = library(texts)[0]
+    enc = bpe.Encoder(bpe.Vocabulary(open(VOCABULARY, "rb").read()))
+    assert [x.tolist() for x in enc.encode(texts)] == want
+    assert [x.tolist() for x in enc.encode(texts[:500])] == want[:500]
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 40)
+    assert [x.tolist() for x in bpe.Encoder(enc.vocab).encode(texts[:3000])] == want[:3000]
+    assert enc.encode([]) == [] and [x.tolist() for x in enc.encode(["", ""])] == [[], []]
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_bpe_hashes_that_collide(known):
+    texts = ["ab ba abc cab bca", " it's its 'tis", "aa bb"] * 3
+    enc = bpe.Encoder(bpe.Vocabulary(open(VOCABULARY, "rb").read()))
+    enc.letter = np.ones_like(enc.letter)  # words of one length are alike
+    if known:
+        assert [x.tolist() for x in enc.encode(["zz"])] == library(["zz"])[0] and enc.seed == 0
+    assert [x.tolist() for x in enc.encode(texts[2:3] if known else texts)] == library(texts[2:3] if known else texts)[0] and enc.seed == 1
+    assert [x.tolist() for x in enc.encode(texts)] == library(texts)[0]
+
+
 def test_bpe_refuses_unordered_ranks():
     raw = '{"added_tokens": [], "model": {"vocab": {%s, "ab": 256, "abc": 257}, "merges": [["ab", "c"], ["a", "b"]]}}'
     import json
