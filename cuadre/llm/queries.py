@@ -49,12 +49,10 @@ def op6_training_order(spark: SparkSession, sf_dir: str, vocab_path: str = VOCAB
         vocab = bpe.Vocabulary(f.read())
     end, pad = training_order.marks(vocab)
     id_bytes = 2 if max(end, pad) < 1 << 16 else 4
-    coded = bpe.encode_documents(documents(spark, sf_dir), vocab_path, id_bytes=id_bytes, decode=False)
-    made = training_order.sequences(stage(coded.select("doc_id", "ids"), "ids"), text_col=None, tokens_col="ids",
-                                    id_bytes=id_bytes, end_id=end, pad_id=pad)
     folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
-    written = stage(training_order.write_shards(made, folder, rows=True), "written")  # once, whatever is read of it
-    return written.select("slot", "shard", "shard_offset", "doc_id", "part", "n_tokens", "ids_sha256")
+    made = training_order.write_shards(documents(spark, sf_dir), folder, rows=True, encode=bpe.encoding(spark, vocab_path, id_bytes),
+                                       id_bytes=id_bytes, end_id=end, pad_id=pad)
+    return stage(made, "written")  # once, whatever is read of it
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from cuadre.llm import ann, bpe, pii, preference, queries, training_order
 
@@ -133,41 +134,76 @@ def test_slots_are_a_permutation(count):
         assert at.tolist() != list(range(count)) and at.tolist() != training_order.slots(np.arange(count), count, "other").tolist()
 
 
-def check_sequences(rows, got, length, shard_size):
-    assert sorted(r.slot for r in got) == list(range(len(got)))
-    parts = defaultdict(dict)
-    for r in got:
-        ids = np.frombuffer(bytes(r.ids), "<u2")
-        assert len(ids) == length and (ids[r.n_tokens:] == training_order.PAD_ID).all()
-        assert (r.shard, r.shard_offset) == (r.slot // shard_size, r.slot % shard_size * length * 2)
-        parts[r.doc_id].setdefault(r.part, []).append(ids[:r.n_tokens].tolist())
-    want = defaultdict(list)
-    for i, t, *_ in rows:
-        want[i].append([*(t or "").encode(), training_order.END_ID])
-    for i, texts in want.items():
-        if len(texts) == 1:
-            assert [x for p in sorted(parts[i]) for x in parts[i][p][0]] == texts[0]
-        assert sum(len(x) for p in parts[i].values() for x in p) == sum(map(len, texts))
-
-
-def test_sequences_odd_rows(make_docs, odd_rows):
-    got = training_order.sequences(make_docs(odd_rows), length=64, shard_size=100).collect()
-    check_sequences(odd_rows, got, 64, 100)
-    again = training_order.sequences(make_docs(odd_rows).repartition(5), length=64, shard_size=100).collect()
-    assert Counter((r.slot, bytes(r.ids)) for r in got) == Counter((r.slot, bytes(r.ids)) for r in again)
+def stream_of(got, length, shard_size, end, pad, dtype="<u2", key=training_order.KEY):
+    """The documents (id, ids) that the sequences hold, in the order of the stream; checks every index column."""
+    at = training_order.slots(np.arange(len(got)), len(got), key)
+    by_slot = {r.slot: r for r in got}
+    assert sorted(by_slot) == list(range(len(got)))
+    docs, open_doc = [], False
+    for k, slot in enumerate(at.tolist()):
+        r = by_slot[slot]
+        ids = np.frombuffer(bytes(r.ids), dtype)
+        assert len(ids) == length and (ids[r.n_tokens:] == pad).all() and (r.n_tokens == length or k == len(got) - 1)
+        assert (r.shard, r.shard_offset) == (slot // shard_size, slot % shard_size * length * ids.itemsize)
+        assert r.doc_id == r.doc_ids[0] and r.first_token == (len(docs[-1][1]) if open_doc else 0)
+        owners = iter(r.doc_ids)
+        if open_doc:
+            assert next(owners) == docs[-1][0]
+        for i in ids[:r.n_tokens].tolist():
+            if not open_doc:
+                docs.append((next(owners), []))
+            docs[-1][1].append(i)
+            open_doc = i != end
+        assert next(owners, "none left") == "none left"
+    assert not open_doc
+    return [(i, x[:-1]) for i, x in docs]
+
+
+@pytest.mark.parametrize("length, shard_size, parts", [(64, 100, 3), (1, 1000, 7), (7, 3, 1), (100000, 2, 4)])
+def test_sequences_odd_rows(make_docs, odd_rows, length, shard_size, parts):
+    rows = [(i, t and t[:900]) for i, t, *_ in odd_rows] if length == 1 else odd_rows
+    rows = rows + [(None, "no id")] * 30
+    docs = make_docs(rows).repartition(parts)
+    got = training_order.sequences(docs, length=length, shard_size=shard_size).collect()
+    docs_of = stream_of(got, length, shard_size, 256, 257)
+    assert Counter((i, bytes(x)) for i, x in docs_of) == Counter((i, (t or "").encode()) for i, t, *_ in rows)
+    again = training_order.sequences(docs, length=length, shard_size=shard_size).collect()
+    assert {r.slot: r for r in got} == {r.slot: r for r in again}
+    other = stream_of(training_order.sequences(docs, length=length, shard_size=shard_size, key="other").collect(), length, shard_size, 256, 257, key="other")
+    assert other == docs_of
+
+
+def test_sequences_meet_across_tasks(make_docs, monkeypatch):
+    """Pieces of a sequence from many tasks and many batches: each document is shorter than a sequence, or much longer."""
+    monkeypatch.setattr(training_order, "BATCH", 1)
+    rows = [(i, f"{i} " * (i % 5 if i % 50 else 3000)) for i in range(400)]
+    got = training_order.sequences(make_docs(rows).repartition(40), length=128, shard_size=16).collect()
+    assert Counter((i, bytes(x)) for i, x in stream_of(got, 128, 16, 256, 257)) == Counter((i, t.encode()) for i, t in rows)
 
 
 def test_sequences_of_token_ids(spark):
     ids = np.arange(10, dtype="<u4") * 70000
-    df = spark.createDataFrame([(1, bytearray(ids.tobytes())), (2, None)], "doc_id long, ids binary")
-    got = {(r.doc_id, r.part): np.frombuffer(bytes(r.ids), "<u4").tolist() for r in training_order.sequences(df, text_col=None, tokens_col="ids", length=6).collect()}
-    assert got[1, 0] + got[1, 1] == [*ids.tolist(), 256, 257] and got[2, 0] == [256] + [257] * 5
+    df = spark.createDataFrame([(1, bytearray(ids.tobytes())), (2, None)], "doc_id long, ids binary").coalesce(1)
+    got = training_order.sequences(df, text_col=None, tokens_col="ids", length=7).collect()
+    assert stream_of(got, 7, training_order.SHARD_SIZE, 256, 257, "<u4") == [(1, ids.tolist()), (2, [])]
+    assert sum(7 - r.n_tokens for r in got) == 2
+
+
+def test_a_lost_piece_is_an_error(make_docs, sample_rows):
+    made, cut, _ = training_order.laid_out(make_docs(sample_rows), length=128, shard_size=50)
+    batches = made.toArrow().sort_by("shard").to_batches(max_chunksize=1)
+    assert sum(rows.num_rows for _, rows, _ in cut.joined(batches)) == cut.count
+    for i in range(0, len(batches), 7):
+        rest = [b for j, b in enumerate(batches) if j != i and b.column("shard") == batches[i].column("shard")]
+        if rest:
+            with pytest.raises(ValueError, match="pieces"):
+                list(cut.joined(rest))
 
 
 def test_shards_on_disk(make_docs, sample_rows, tmp_path):
-    made = training_order.sequences(make_docs(sample_rows), length=128, shard_size=500)
-    manifest = training_order.write_shards(made, f"file://{tmp_path}").collect()
-    rows = {r.slot: bytes(r.ids) for r in made.collect()}
+    docs = make_docs(sample_rows)
+    manifest = training_order.write_shards(docs, f"file://{tmp_path}", length=128, shard_size=500).collect()
+    rows = {r.slot: bytes(r.ids) for r in training_order.sequences(docs, length=128, shard_size=500).collect()}
     assert sum(m.n_sequences for m in manifest) == len(rows) and len({m.shard for m in manifest}) == len(manifest)
     for m in manifest:
         raw = open(os.path.join(tmp_path, f"shard-{m.shard:08d}.bin"), "rb").read()
@@ -291,9 +327,8 @@ def test_marks_are_no_tokens(spark):
             training_order.marks(vocab, *wrong)
     df = spark.createDataFrame([(1, " t a" * 3), (2, None)], "doc_id long, text string")
     coded = bpe.encode_documents(df, queries.VOCABULARY, id_bytes=2, decode=False)
-    laid = lambda **ids: {(r.doc_id, r.part): np.frombuffer(bytes(r.ids), "<u2").tolist()
-                          for r in training_order.sequences(coded, text_col=None, tokens_col="ids", length=5, id_bytes=2, **ids).collect()}
-    assert laid(end_id=end, pad_id=pad) == {(1, 0): [256, 257, 256, 257, 256], (1, 1): [257, end, pad, pad, pad], (2, 0): [end] + [pad] * 4}
+    laid = lambda **ids: training_order.sequences(coded, text_col=None, tokens_col="ids", length=5, id_bytes=2, **ids).collect()
+    assert sorted(stream_of(laid(end_id=end, pad_id=pad), 5, training_order.SHARD_SIZE, end, pad)) == [(1, [256, 257] * 3), (2, [])]
     with pytest.raises(Exception, match="mark end and padding"):
         laid()  # the ids of bytes are tokens here
 
@@ -304,14 +339,10 @@ def test_training_order_query_writes_token_shards(spark, tmp_path):
     want = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in bpe.encode_documents(docs, queries.VOCABULARY).collect()}
     files = {s: open(f"{tmp_path}/shards/shard-{s:08d}.bin", "rb").read() for s in {r.shard for r in got}}
     assert len(os.listdir(f"{tmp_path}/shards")) == len(files) and sum(map(len, files.values())) == len(got) * 2048
-    parts = defaultdict(list)
-    for r in sorted(got, key=lambda r: (r.doc_id, r.part)):
-        raw = files[r.shard][r.shard_offset:r.shard_offset + 2048]
-        assert hashlib.sha256(raw).hexdigest() == r.ids_sha256
-        ids = np.frombuffer(raw, "<u2")
-        assert (ids[r.n_tokens:] == 50257).all()
-        parts[r.doc_id] += ids[:r.n_tokens].tolist()
-    assert parts == {i: [*ids, 50256] for i, ids in want.items()}
+    read = [Row(**r.asDict(), ids=files[r.shard][r.shard_offset:r.shard_offset + 2048]) for r in got]
+    assert all(hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 for r in read)
+    laid = stream_of(read, 1024, training_order.SHARD_SIZE, 50256, 50257)
+    assert len(laid) == len(want) and dict(laid) == want
 
 
 def test_pairs_many_null_ids(spark):
