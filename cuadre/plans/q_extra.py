@@ -20,7 +20,7 @@ from cuadre.plans.q_balance import ENTRY_SQL, JOURNAL_SQL
 from cuadre.plans.q_journal import RAW, ROW_ORDER
 from cuadre.plans.q_lines import _CONV_SQL, conv_lines
 from cuadre.plans.q_lake import new_folder
-from cuadre.plans.q_mapping import _mappings, _sample_sql, conflict_inputs, lake_cells, lake_columns, lake_sample, scanned_columns
+from cuadre.plans.q_mapping import _mappings, _sample_sql, conflict_inputs, lake_cells, lake_columns, lake_files, lake_sample, scanned_columns
 from cuadre.plans.registry import query
 from cuadre.plans.views import lineitem_journal, raw_ledger
 from cuadre.session import cut_lineage
@@ -121,7 +121,7 @@ def q_detect_fields(spark, sf):
     vals = P.validator_scores(s)
     top = M.top_candidates(M.merge_candidate_sources(best, vals), 3)
     fixed = M.smart_corrections(top, vals)
-    quality = M.detection_quality(fixed, cols, P.whole_column_counts(lake_cells(spark, sf)))
+    quality = M.detection_quality(fixed, cols, P.whole_column_counts(lake_files(spark, sf)))
     return fixed.join(quality, "file_id", "left")
 
 
@@ -152,7 +152,7 @@ def q_learned_detection(spark, sf):
   SELECT file_id, "column", ordinal, count(*) AS "rows", count(value) AS nonnull, count(DISTINCT value) AS distinct_values,
          round((count(*) - count(value)) * 100.0::DOUBLE / count(*), 2) AS null_pct FROM allcells GROUP BY ALL""")
 def q_column_coverage(spark, sf):
-    return P.whole_column_counts(lake_cells(spark, sf))
+    return P.whole_column_counts(lake_files(spark, sf))
 
 
 @query("mapping_checks", ("A21", "A22", "A24", "A25", "D12"))
