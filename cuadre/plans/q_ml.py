@@ -92,7 +92,7 @@ def labelled_lines(spark, sf):
 def _train(spark, sf):
     data = labelled_lines(spark, sf)
     train = ml.with_weights(data.where(F.col("split") != "test"))
-    return ml.build_pipeline(LF.FEATURE_NAMES, num_trees=20, max_depth=6).fit(train), data
+    return ml.fit_once(ml.build_pipeline(LF.FEATURE_NAMES, num_trees=20, max_depth=6), train), data
 
 
 @query("predict_lines", ("M01", "M04", "M05", "P13", "X09", "X11"))
