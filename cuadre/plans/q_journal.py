@@ -95,9 +95,9 @@ def q_amount_scenarios(spark, sf):
     return _scenarios(spark, sf)
 
 
-def canonical_lineitem(spark, sf):
+def canonical_lineitem(spark, sf, first_of=None):
     raw = raw_ledger(spark, sf).select(*LEDGER_MAPPING, "row_id")
-    return J.canonical_journal(raw, LEDGER_MAPPING)
+    return J.canonical_journal(raw, LEDGER_MAPPING, first_of=first_of)
 
 
 _DETAIL_SQL_COLS = {
@@ -126,7 +126,7 @@ _HEADER_SQL_COLS = {"journal_entry_id": "asiento", "entry_date": "strftime(l_shi
   SELECT {_conform_sql(J.HEADER_FIELDS, _HEADER_SQL_COLS)} FROM raw
   QUALIFY row_number() OVER (PARTITION BY asiento ORDER BY {ROW_ORDER}) = 1""")
 def q_journal_header(spark, sf):
-    return J.journal_header(canonical_lineitem(spark, sf))
+    return J.journal_header(canonical_lineitem(spark, sf, first_of="journal_entry_id"))
 
 
 @query("journal_header_first_nonnull", ("A27",), oracle=f"""
