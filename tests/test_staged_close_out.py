@@ -1,4 +1,5 @@
 """Close-out of a lake at size: lines read once, few rows ordered for the dates, other files left out early."""
+
 from pyspark.sql import functions as F
 
 from cuadre.functions import dates as D
@@ -51,3 +52,16 @@ def test_files_are_left_out_before_their_lines_are_cut(spark, tmp_path):
     assert sorted(r.cells for r in some.collect()) == [["1", "2"], ["1", "2"], ["3", "4"], ["3", "4"]]
     text = lake.rows_of(lake.headers.where("file = 'b.csv'").select("file"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert next(i for i, x in enumerate(text) if "LeftSemi" in x) > next(i for i, x in enumerate(text) if "regexp_replace" in x)
+
+
+def test_entries_are_summed_once(spark):
+    """Before, ``close_out`` cleaned and summed every row twice: for the report and for the counts."""
+    headers = spark.createDataFrame([("f", "f", "table", ["Asiento", "Importe"])], "file string, file_id string, kind string, names array<string>")
+    cells = spark.createDataFrame([("f", "f", str(i), [str(i // 2), f"{(-1) ** i * 3},50"]) for i in range(6)], "file string, file_id string, row_order string, cells array<string>")
+    maps = spark.createDataFrame([("f", "Asiento", "journal_entry_id", 0.9, ""), ("f", "Importe", "amount", 0.9, "")],
+                                 "file_id string, column string, field_type string, confidence double, resolution_type string")
+    out = X.close_out_rows(K.Lake(headers, cells), maps)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in text and text.count("parquet") == 2
+    (r,) = out.collect()
+    assert (r.rows, r.rows_with_amount, r.entries_count, r.balanced_entries_count) == (6, 6, 3, 3)
